@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolake.llm import encoding, leakage, lookalike, splitting
+from foliolake.llm import encoding, leakage, lookalike, noise, splitting
 from foliolake.session import table
 
 RECORDS = {"text_box": ("text_boxes", "box_id"), "table_cell": ("table_cells", "cell_id")}
@@ -16,6 +16,26 @@ def records(spark, sf_dir, *columns):
     return parts[0].unionByName(parts[1])
 
 
+def scanned(spark, sf_dir):
+    """Pages and distinct boxes with what tells furniture: title, page number, place."""
+    pages = table(spark, sf_dir, "book_pages").select(F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "project_id", F.col("ocr_text").alias("text"), F.col("page_number").alias("number"), F.lit(None).cast("int").alias("y"))
+    boxes = table(spark, sf_dir, "text_boxes").select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "project_id", "text", F.lit(None).cast("int").alias("number"), "y")
+    both = pages.unionByName(boxes).filter("text is not null")
+    return noise.with_titles(both, table(spark, sf_dir, "projects"))
+
+
+def p3_found(spark, sf_dir):
+    """Noisy lines of pages and boxes. Boxes delivered twice give the same few rows, made distinct at the end."""
+    editor = noise.fit_on(table(spark, sf_dir, "book_pages"))
+    return noise.find_noise(scanned(spark, sf_dir), editor).distinct()
+
+
+def p3_repaired(spark, sf_dir):
+    """Pages and boxes as continuous paragraphs."""
+    editor = noise.fit_on(table(spark, sf_dir, "book_pages"))
+    return noise.repaired(scanned(spark, sf_dir), editor).distinct()
+
+
 def p4_found(spark, sf_dir):
     """Boxes, or cells, of a page that look the same but are stored differently."""
     return lookalike.same_look_pairs(records(spark, sf_dir, "page_id", "text"), ["rec_kind", "page_id"], "rec_id", "text").select("rec_kind", "id_a", "id_b")
@@ -59,5 +79,5 @@ def p10_found(spark, sf_dir):
     return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
