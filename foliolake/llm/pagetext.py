@@ -17,7 +17,7 @@ _NUMBER = re.compile(r"^(?P<open>[-—–·•\[(]\s*)?(?P<p>(?:p|pp|pg|page|s|
 _DIGITS = str.maketrans("OolI|", "00111")
 _SPACED_OUT = re.compile(r"^(?:\S ){4}|^(?:\S\s+){6}")
 #: Marks before a list item; a heading's number (2.9 Title) is no such mark.
-LIST_MARK = re.compile(r"[ \t]*(?:[-–—•·*▪◦‣○●■□►]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])[ \t]+(?=\S)")
+LIST_MARK = re.compile(r"[ \t]*(?:[-–—•·*▪◦‣○●■□►]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))[ \t]+(?=\S)")
 HEADING_NUMBER = re.compile(r"[ \t]*\d{1,2}(?:\.\d{1,2})+\.?[ \t]+\S")
 _UNSPACED_CHAR = re.compile(r"[぀-ヿ㐀-鿿豈-﫿･-ﾟ々〆〇]")
 
@@ -28,12 +28,10 @@ def squash(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalpha() or unicodedata.combining(c))
 
 
-def _roman(n: int) -> str:
-    out = ""
-    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-        while n >= value:
-            out, n = out + sign, n - value
-    return out
+def _unroman(s: str) -> int:
+    values = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+    ns = [values[c] for c in s.casefold()]
+    return sum(-a if b > a else a for a, b in zip(ns, [*ns[1:], 0], strict=True))
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -71,6 +69,9 @@ def is_header(line: str, title: str | None) -> bool:
         return False
     if a == b:
         return True
+    # a header starts like the title: of its first characters some two in a row are right
+    if not any(a[i : i + 2] in (b[i : i + 2], b[i + 1 : i + 3]) or a[i + 1 : i + 3] == b[i : i + 2] for i in (0, 1, 2, 3)):
+        return False
     if len(a) > len(b) + max(2, len(b) // 5):
         return False
     if len(a) >= len(b) - 2:
@@ -120,10 +121,11 @@ def furniture(lines: list[str], title: str | None, number: int | None) -> list[s
     near = {i for i, k in enumerate(out) if k}
     for i, n, decorated in maybe:
         digits = n.translate(_DIGITS) if any(c.isdigit() for c in n) else ""
-        own = number is not None and (digits.isdigit() and abs(int(digits) - number) <= 2 or n.casefold() == _roman(number) if 0 < (number or 0) < 400 else digits.isdigit() and abs(int(digits) - number) <= 2)
+        value = int(digits) if digits.isdigit() else _unroman(n) if not digits else None
+        own = number is not None and value is not None and abs(value - number) <= 2
         edge = i in (first, last) or (len(solid) > 1 and (i == solid[1] and out[first] or i == solid[-2] and out[last]))
         beside = any(j in near for j in (i - 1, i + 1))
-        if decorated and (edge or own or beside or not digits.isdigit() or n.isdigit()) or own and (edge or beside or digits.isdigit()) or edge and (digits.isdigit() or len(n) > 0):
+        if decorated and (edge or own or beside or not digits.isdigit() or n.isdigit()) or own or edge:
             out[i] = PAGE_NUMBER
             near.add(i)
     return out
@@ -148,9 +150,11 @@ def box_furniture(text: str, title: str | None, y: int | None, top: int = 40, bo
 
 
 def wrap_width(lines: list[str]) -> int:
-    """The width lines were broken at, or 0 if the text is not wrapped."""
-    sizes = sorted((len(s) for s in lines), reverse=True)
-    if not sizes or sizes[0] > 110 or len(sizes) < 2:
+    """The width lines were broken at, or 0 if the text is not wrapped.
+
+    Thai words may be longer than the line, so only its lines of several words tell.
+    """
+    sizes = [len(s) for s in lines if s and not ("\u0e00" <= s.strip()[:1] <= "\u0e7f" and " " not in s.strip())]
+    if len(lines) < 2 or not sizes or max(map(len, lines)) > 110 and max(sizes) > 110:
         return 0
-    near = sum(1 for n in sizes if n >= 0.72 * sizes[0])
-    return sizes[0] if near >= 3 or near * 2 >= len(sizes) else 0
+    return max(sizes) if max(sizes) <= 110 else 0

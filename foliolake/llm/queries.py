@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolake.llm import encoding, leakage, lookalike, noise, splitting
+from foliolake.llm import encoding, leakage, lookalike, noise, sentences, splitting
 from foliolake.session import table
 
 RECORDS = {"text_box": ("text_boxes", "box_id"), "table_cell": ("table_cells", "cell_id")}
@@ -46,6 +46,24 @@ def p4_forms(spark, sf_dir):
     return lookalike.consistent_form(records(spark, sf_dir, "text").distinct(), "text").select("rec_kind", "rec_id", "form")
 
 
+def titled_pages(spark, sf_dir):
+    """Pages with their book's title."""
+    return noise.with_titles(table(spark, sf_dir, "book_pages"), table(spark, sf_dir, "projects").select("project_id", "title"))
+
+
+def p7_found(spark, sf_dir):
+    """Starts of the sentences, headings and list items of every page."""
+    pages = titled_pages(spark, sf_dir)
+    return sentences.unit_starts(pages, sentences.fit_on(pages)).select("page_id", "start_pos").distinct()
+
+
+def p7_units(spark, sf_dir):
+    """The units with their text."""
+    pages = titled_pages(spark, sf_dir)
+    units = sentences.unit_starts(pages, sentences.fit_on(pages))
+    return units.join(table(spark, sf_dir, "book_pages").select("page_id", "ocr_text"), "page_id").select("page_id", "start_pos", F.expr("substring(ocr_text, start_pos + 1, end_pos - start_pos)").alias("unit"))
+
+
 def p8_ids(spark, sf_dir):
     """Token ids of every document."""
     return encoding.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -79,5 +97,5 @@ def p10_found(spark, sf_dir):
     return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
