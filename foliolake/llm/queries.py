@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolake.llm import encoding, leakage, lookalike, noise, sentences, splitting
-from foliolake.session import table
+from foliolake.llm import encoding, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
+from foliolake.session import bounded_sample, table
 
 RECORDS = {"text_box": ("text_boxes", "box_id"), "table_cell": ("table_cells", "cell_id")}
 
@@ -16,6 +16,36 @@ def records(spark, sf_dir, *columns):
     return parts[0].unionByName(parts[1])
 
 
+def text_pairs(spark, sf_dir, boxes=None, cells=None):
+    """Distinct boxes and cells with text, translation, the project's target and its source label."""
+    projects = table(spark, sf_dir, "projects").select("project_id", F.col("target_language").alias("target"), F.col("source_language").alias("label"))
+    few = projects.count() <= noise.BROADCAST_TITLES
+    to_project = lambda df: df.join(F.broadcast(projects) if few else projects, "project_id")
+    boxes = table(spark, sf_dir, "text_boxes") if boxes is None else boxes
+    cells = table(spark, sf_dir, "table_cells") if cells is None else cells
+    page_target = to_project(table(spark, sf_dir, "book_pages").select("page_id", "project_id")).select("page_id", "target", "label")
+    some = lambda df: df.filter("text is not null and translation is not null")
+    b = to_project(some(boxes.select("box_id", "project_id", "text", "translation"))).select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "text", "translation", "target", "label")
+    c = some(cells.select("cell_id", "page_id", "text", "translation")).join(page_target, "page_id").select(F.lit("table_cell").alias("rec_kind"), F.col("cell_id").alias("rec_id"), "text", "translation", "target", "label")
+    return b.unionByName(c)
+
+
+def language_rows(spark, sf_dir, most=10_000):
+    rows = table(spark, sf_dir, "languages").select("code", "code3", "name").filter("code is not null").limit(most).collect()
+    return [tuple(r) for r in rows]
+
+
+def p1_found(spark, sf_dir):
+    """Defective translations of boxes and cells."""
+    languages = language_rows(spark, sf_dir)
+    codes = naivebayes.label_codes(languages)
+    half = pairs.SAMPLE_PAIRS // 2
+    boxes, cells = (bounded_sample(table(spark, sf_dir, name), key, half) for name, key in (("text_boxes", "box_id"), ("table_cells", "cell_id")))
+    sample = [(r.text[:4000], naivebayes.normal_label(r.label, codes), r.translation[:4000], r.target) for r in text_pairs(spark, sf_dir, boxes, cells).collect()]
+    model = spark.sparkContext.broadcast(pairs.fit_model(sample, [x[0] for x in languages]))
+    return pairs.broken_pairs(text_pairs(spark, sf_dir), model)
+
+
 def scanned(spark, sf_dir):
     """Pages and distinct boxes with what tells furniture: title, page number, place."""
     pages = table(spark, sf_dir, "book_pages").select(F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "project_id", F.col("ocr_text").alias("text"), F.col("page_number").alias("number"), F.lit(None).cast("int").alias("y"))
@@ -97,5 +127,5 @@ def p10_found(spark, sf_dir):
     return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
