@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolake.llm import encoding, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
-from foliolake.session import bounded_sample, table
+from foliolake.llm import encoding, languages, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
+from foliolake.session import bounded_sample, checkpointed, table
 
 RECORDS = {"text_box": ("text_boxes", "box_id"), "table_cell": ("table_cells", "cell_id")}
 
@@ -81,6 +81,30 @@ def titled_pages(spark, sf_dir):
     return noise.with_titles(table(spark, sf_dir, "book_pages"), table(spark, sf_dir, "projects").select("project_id", "title"))
 
 
+def language_decisions(spark, sf_dir):
+    """Decisions of every page, with the code table."""
+    rows = language_rows(spark, sf_dir)
+    codes, langs = naivebayes.label_codes(rows), [r[0] for r in rows]
+    pages, projects = titled_pages(spark, sf_dir), table(spark, sf_dir, "projects")
+    model = sentences.fit_on(pages)
+    sample = bounded_sample(pages.filter("ocr_text is not null").select("page_id", F.substring("ocr_text", 1, 20_000).alias("t"), "title", "page_number", "detected_language"), "page_id", languages.SAMPLE_PAGES)
+    nb = spark.sparkContext.broadcast(languages.fit_languages([(r.t, r.title, r.page_number, r.detected_language) for r in sample.collect()], langs, codes))
+    seen = checkpointed(languages.evidence(pages, model, nb))
+    few = projects.count() <= noise.BROADCAST_TITLES
+    return languages.decided(seen, languages.host_priors(seen, projects, langs), langs, codes, few), projects, codes
+
+
+def p6_labels(spark, sf_dir):
+    """Missing or wrong labels and mixed stretches, with the confidence of the right language."""
+    decisions, projects, codes = language_decisions(spark, sf_dir)
+    return languages.mislabelled(checkpointed(decisions), projects, codes)
+
+
+def p6_found(spark, sf_dir):
+    """The same without the confidence."""
+    return p6_labels(spark, sf_dir).drop("confidence").distinct()
+
+
 def p7_found(spark, sf_dir):
     """Starts of the sentences, headings and list items of every page."""
     pages = titled_pages(spark, sf_dir)
@@ -127,5 +151,5 @@ def p10_found(spark, sf_dir):
     return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
