@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliolake.llm import encoding, languages, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
+from foliolake.llm import alignment, encoding, languages, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
 from foliolake.session import bounded_sample, checkpointed, table
 
 RECORDS = {"text_box": ("text_boxes", "box_id"), "table_cell": ("table_cells", "cell_id")}
@@ -81,6 +81,16 @@ def titled_pages(spark, sf_dir):
     return noise.with_titles(table(spark, sf_dir, "book_pages"), table(spark, sf_dir, "projects").select("project_id", "title"))
 
 
+def p5_found(spark, sf_dir):
+    """Source and target sentences of every page that render each other."""
+    titles = table(spark, sf_dir, "projects").select("project_id", "title", F.col("target_language").alias("target"))
+    if titles.count() <= noise.BROADCAST_TITLES:
+        titles = F.broadcast(titles)
+    pages = table(spark, sf_dir, "book_pages").join(titles, "project_id", "left")
+    model, lexicon = alignment.fit_on(pages)
+    return alignment.aligned(pages, model, lexicon).distinct()
+
+
 def language_decisions(spark, sf_dir):
     """Decisions of every page, with the code table."""
     rows = language_rows(spark, sf_dir)
@@ -151,5 +161,5 @@ def p10_found(spark, sf_dir):
     return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}

@@ -281,6 +281,14 @@ class Segmenter:
             return False
         if a[0] in _ENDERS:
             return True
+        if a[3] == "u" or b[3] == "u":
+            return b[3] != "p"
+        if a[3] == "w" and (b[0][0].isupper() or b[3] == "c"):
+            # a heading run on: a unit of a few words may have ended
+            for j in range(i - 2, max(-1, i - 5), -1):
+                if syms[j][0] in _ENDERS:
+                    return True
+            return i <= 3 or "\n" in text[syms[i - 4][2] : a[1]]
         if a[0] in _CLOSERS:
             j = i - 2
             while j >= 0 and syms[j][0] in _CLOSERS:
@@ -323,7 +331,9 @@ def rule_units(text: str, lo: int, hi: int) -> list[tuple[str, ...]]:
     out, start, depth = [], 0, 0
     for i in range(1, len(syms)):
         a, b = syms[i - 1], syms[i]
-        if a[0] in "「『„«“" and not (a[0] == "“" and depth):
+        if a[0] == '"':
+            depth = 1 - depth
+        elif a[0] in "「『„«“" and not (a[0] == "“" and depth):
             depth = 1
         elif a[0] in "」』»”" or a[0] == "“":
             depth = 0
