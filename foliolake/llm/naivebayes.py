@@ -96,21 +96,37 @@ class NaiveBayes:
         return out
 
     def many(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages) log-likelihoods of cleaned texts, in one pass."""
-        if not texts:
-            return np.zeros((0, len(self.langs)))
-        ends = np.cumsum([len(t) for t in texts])
-        sums = self.running(codepoints("".join(texts)))
-        return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        """(texts, languages) log-likelihoods of cleaned texts, in blocks of bounded size."""
+        out = np.zeros((len(texts), len(self.langs)))
+        for lo, hi in blocks(texts):
+            part = texts[lo:hi]
+            ends = np.cumsum([len(t) for t in part])
+            sums = self.running(codepoints("".join(part)))
+            out[lo:hi] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        return out
+
+
+def blocks(texts: list[str], chars: int = 200_000) -> list[tuple[int, int]]:
+    """Ranges of texts of about so many characters together."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            out.append((lo, i))
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        out.append((lo, len(texts)))
+    return out
 
 
 def count_grams(texts: list[str], labels: np.ndarray, weights: np.ndarray, n_langs: int) -> np.ndarray:
     out = np.zeros((1 << BITS, n_langs), np.float32)
     for k in range(n_langs):
         some = [t for t, lab in zip(texts, labels, strict=True) if lab == k]
-        if some:
-            w = np.repeat(weights[labels == k], [len(t) for t in some])
-            for g in grams(codepoints("".join(some))):
+        own = weights[labels == k]
+        for lo, hi in blocks(some):
+            w = np.repeat(own[lo:hi], [len(t) for t in some[lo:hi]])
+            for g in grams(codepoints("".join(some[lo:hi]))):
                 out[:, k] += np.bincount(g, weights=w, minlength=1 << BITS)
     out[0] = 0
     return out
