@@ -1,0 +1 @@
+"""Column functions over text, names and JSON."""
