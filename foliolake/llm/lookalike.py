@@ -32,6 +32,8 @@ OTHER_AS = "iga------''..o"
 SPACES = "               　\t"
 #: Characters that can't be seen (zero width, joiners, direction marks, variation selectors, controls), as a class for DuckDB.
 INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{FEFF}\x{0}-\x{8}\x{B}-\x{1F}\x{7F}-\x{9F}]"
+#: Texts of these characters alone are their own form: printable ASCII, Latin-1 letters and signs, kana, ideographs, CJK marks.
+PLAIN = r"[\n\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{B3}\x{B5}-\x{FF}\x{2013}-\x{2019}\x{201C}-\x{201E}\x{2022}\x{2116}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}]*"
 # Ligatures and other forms of one character that stand for several (fixed values).
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u01c8": "Lj", "\u01c9": "lj", "\u01cb": "Nj", "\u01cc": "nj", "\u2026": "...", "\u0e4d\u0e32": "\u0e33", "\u0e40\u0e40": "\u0e41", "\u2103": "\u00b0C", "\u338f": "kg", "\u339c": "mm", "\u33a1": "m\u00b2", "\u33be": "kW"}
 
@@ -59,16 +61,19 @@ def _quoted(s: str) -> str:
 def form_sql(column: str) -> str:
     """DuckDB expression of the consistent form of ``column``."""
     have, want = _compat()
+    plain = f"regexp_full_match({column}, {_quoted(PLAIN)})"
     e = f"regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g')"
     e = f"nfc_normalize(translate({e}, {_quoted(have + SPACES)}, {_quoted(want + ' ' * len(SPACES))}))"
     for a, b in LIGATURES.items():
         if a != b:
             e = f"replace({e}, {_quoted(a)}, {_quoted(b)})"
-    return f"translate({e}, {_quoted(CYRILLIC + GREEK + ARMENIAN + OTHER)}, {_quoted(CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + OTHER_AS)})"
+    e = f"translate({e}, {_quoted(CYRILLIC + GREEK + ARMENIAN + OTHER)}, {_quoted(CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + OTHER_AS)})"
+    return f"case when {plain} then {column} else {e} end"
 
 
 def consistent_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
-    """``df`` with ``out``, the consistent form of ``text``. Plain texts pass through the same SQL."""
+    """``df`` with ``out``, the consistent form of ``text``; a column of that name is replaced. Plain texts pass through the same SQL."""
+    df = df.drop(out) if out in df.columns and out != text else df
     schema = df.schema
     sql = f"select *, {form_sql('cast(\"' + text + '\" as varchar)')} as \"{out}\" from batch"
 
@@ -97,10 +102,13 @@ def same_look_pairs(df: DataFrame, group: list[str], key: str, text: str) -> Dat
     hot ones, copies of one text - are dropped by a pre-aggregated minimum and maximum before
     anything is paired; the rest are joined by key, never crossed.
     """
-    rows = consistent_form(df.select(*group, F.col(key).alias("id"), F.col(text).alias("t")).filter("t is not null and t <> ''"), "t")
-    slim = checkpointed(rows.select(*group, "id", F.xxhash64("form").alias("look"), F.xxhash64(F.lit(7), "form").alias("look2"), F.xxhash64("t").alias("th")).distinct())
-    by = [*group, "look", "look2"]
+    inner = [f"g{i}" for i in range(len(group))]  # the caller's names can't clash with ours
+    some = df.select(*[F.col(c).alias(g) for c, g in zip(group, inner, strict=True)], F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
+    rows = consistent_form(some.filter("t is not null and t <> '' and id is not null"), "t")
+    slim = checkpointed(rows.select(*inner, "id", F.xxhash64("form").alias("look"), F.xxhash64(F.lit(7), "form").alias("look2"), F.xxhash64("t").alias("th")).distinct())
+    by = [*inner, "look", "look2"]
     mixed = slim.groupBy(*by).agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select(*by)
     some = slim.join(mixed, by, "left_semi")
     a, b = some.withColumnRenamed("id", "id_a").withColumnRenamed("th", "ta"), some.withColumnRenamed("id", "id_b").withColumnRenamed("th", "tb")
-    return a.join(b, by).filter("id_a < id_b and ta <> tb").select(*group, "id_a", "id_b").distinct()
+    pairs = a.join(b, by).filter("id_a < id_b and ta <> tb").distinct()
+    return pairs.select(*[F.col(g).alias(c) for c, g in zip(group, inner, strict=True)], "id_a", "id_b").distinct()
