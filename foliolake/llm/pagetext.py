@@ -28,6 +28,9 @@ def squash(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalpha() or unicodedata.combining(c))
 
 
+_ROMAN = re.compile(r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+
+
 def _unroman(s: str) -> int:
     values = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
     ns = [values[c] for c in s.casefold()]
@@ -125,7 +128,8 @@ def furniture(lines: list[str], title: str | None, number: int | None) -> list[s
         own = number is not None and value is not None and abs(value - number) <= 2
         edge = i in (first, last) or (len(solid) > 1 and (i == solid[1] and out[first] or i == solid[-2] and out[last]))
         beside = any(j in near for j in (i - 1, i + 1))
-        if decorated and (edge or own or beside or not digits.isdigit() or n.isdigit()) or own or edge:
+        roman = not digits and _ROMAN.fullmatch(n) is not None and (len(n) > 1 or n in "ivx")
+        if decorated or roman or own or edge or beside and digits.isdigit():
             out[i] = PAGE_NUMBER
             near.add(i)
     return out
