@@ -3,17 +3,17 @@
 from pyspark.sql import functions as F
 
 from foliolake.operators.nested import dewey_nodes
-from foliolake.session import table
+from foliolake.session import spread, table
 
 
 def p2_found(spark, sf_dir):
     """Every table, cell, rendering and annotation of every artifact body, linked to its parent."""
-    return dewey_nodes(table(spark, sf_dir, "artifacts"), "artifact_id", "body").select("artifact_id", "node_kind", "parent_path", "node_path")
+    return dewey_nodes(spread(table(spark, sf_dir, "artifacts").select("artifact_id", "body")), "artifact_id", "body").select("artifact_id", "node_kind", "parent_path", "node_path")
 
 
 def p2_tables(spark, sf_dir):
     """How many rows each flat table has, and how many have a parent."""
-    nodes = dewey_nodes(table(spark, sf_dir, "artifacts"), "artifact_id", "body")
+    nodes = dewey_nodes(spread(table(spark, sf_dir, "artifacts").select("artifact_id", "body")), "artifact_id", "body")
     return nodes.groupBy("schema_path", "node_kind").agg(F.count("*").alias("n"), F.count_if(F.col("parent_path") != "").alias("n_child"))
 
 

@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` in at least ``per_core`` partitions a core, for work that is heavy for each row.
+
+    A table of few files would keep most cores idle; it is small then, and dealing it out is cheap.
+    A table that already has the partitions - any large one - is left alone, without a shuffle.
+    Call it on a plain scan, whose partitions are known without running anything.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
 
