@@ -121,17 +121,14 @@ def furniture(lines: list[str], title: str | None, number: int | None) -> list[s
         elif is_header(line, title) and not _sentence_part(lines, solid, rank):
             out[i] = HEADER
     first, last = solid[0], solid[-1]
-    near = {i for i, k in enumerate(out) if k}
     for i, n, decorated in maybe:
         digits = n.translate(_DIGITS) if any(c.isdigit() for c in n) else ""
         value = int(digits) if digits.isdigit() else _unroman(n) if not digits else None
         own = number is not None and value is not None and abs(value - number) <= 2
         edge = i in (first, last) or (len(solid) > 1 and (i == solid[1] and out[first] or i == solid[-2] and out[last]))
-        beside = any(j in near for j in (i - 1, i + 1))
         roman = not digits and _ROMAN.fullmatch(n) is not None and (len(n) > 1 or n in "ivx")
-        if decorated or roman or own or edge or beside and digits.isdigit():
+        if decorated or roman or own or edge:
             out[i] = PAGE_NUMBER
-            near.add(i)
     return out
 
 
