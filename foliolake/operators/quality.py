@@ -24,9 +24,19 @@ def blank(c: str) -> Column:
     return F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("")) == ""
 
 
-def issue(df: DataFrame, component: str, severity: Column | str, kind: str, message: str, n: Column | None = None) -> DataFrame:
-    s = F.lit(severity) if isinstance(severity, str) else severity
-    return df.select("page_id", F.lit(component).alias("component"), s.alias("severity"), F.lit(kind).alias("issue_type"), F.lit(message).alias("message"), (F.lit(1) if n is None else n).cast("long").alias("n"))
+Rule = tuple  # (condition, component, severity, issue_type, message[, number])
+
+
+def emit(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row for each rule that a row of ``df`` meets; ``df`` is read once whatever the number of rules."""
+    found = [
+        F.when(
+            cond,
+            F.struct(F.lit(component).alias("component"), F.lit(severity).alias("severity"), F.lit(kind).alias("issue_type"), F.lit(message).alias("message"), (n[0] if n else F.lit(1)).cast("long").alias("n")),
+        )
+        for cond, component, severity, kind, message, *n in rules
+    ]
+    return df.select("page_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("page_id", "i.*")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -35,20 +45,20 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def file_issues(pages: DataFrame) -> DataFrame:
     """Missing input or output of finished pages."""
-    done = pages.filter("status in ('COMPLETED', 'NEEDS_REVIEW')")
-    return union([
-        issue(done.filter(blank("original_image_path")), "files", "critical", "missing_input", "Input file missing"),
-        issue(done.filter(blank("output_pdf_path")), "pdf_generation", "critical", "missing_output", "Output file missing"),
+    done = F.col("status").isin("COMPLETED", "NEEDS_REVIEW")
+    return emit(pages, [
+        (done & blank("original_image_path"), "files", "critical", "missing_input", "Input file missing"),
+        (done & blank("output_pdf_path"), "pdf_generation", "critical", "missing_output", "Output file missing"),
     ])
 
 
 def diagram_issues(annotations: DataFrame) -> DataFrame:
     """Diagrams (page_id, diagram_id, label or null, has_region): few labels, no region, blank labels."""
     g = annotations.groupBy("page_id", "diagram_id").agg(F.count("seq").alias("labels"), F.bool_or("has_region").alias("region"), F.count_if(F.col("seq").isNotNull() & blank("label")).alias("blanks"))
-    return union([
-        issue(g.filter("labels < 2"), "diagram_agent", "warning", "few_labels", "Diagram has few labels", F.col("labels")),
-        issue(g.filter("not region"), "diagram_agent", "error", "no_region", "Diagram has no region"),
-        issue(g.filter("blanks > 0"), "diagram_agent", "warning", "blank_labels", "Diagram has blank labels", F.col("blanks")),
+    return emit(g, [
+        (F.col("labels") < 2, "diagram_agent", "warning", "few_labels", "Diagram has few labels", F.col("labels")),
+        (~F.col("region"), "diagram_agent", "error", "no_region", "Diagram has no region"),
+        (F.col("blanks") > 0, "diagram_agent", "warning", "blank_labels", "Diagram has blank labels", F.col("blanks")),
     ])
 
 
@@ -57,22 +67,22 @@ def table_issues(cells: DataFrame) -> DataFrame:
     g = cells.groupBy("page_id", "table_id").agg(
         (F.max("row_idx") + 1).alias("rows"), (F.max("col_idx") + 1).alias("cols"), F.count("*").alias("k"), F.count_if(blank("text")).alias("empty"), F.count_if(~blank("text") & blank("translation")).alias("open")
     )
-    size = g.filter("rows > 0 and cols > 0")
-    return union([
-        issue(g.filter("rows <= 0 or cols <= 0"), "table_agent", "error", "no_size", "Table has no size"),
-        issue(size.filter("k < rows * cols"), "table_agent", "error", "missing_cells", "Table lacks cells", F.col("rows") * F.col("cols") - F.col("k")),
-        issue(size.filter("empty / k > 0.3D"), "table_agent", "warning", "empty_cells", "Table has many empty cells", F.col("empty")),
-        issue(size.filter("open > 0"), "table_agent", "error", "untranslated", "Table has untranslated cells", F.col("open")),
+    sized, places = (F.col("rows") > 0) & (F.col("cols") > 0), F.col("rows") * F.col("cols")
+    return emit(g, [
+        (~sized, "table_agent", "error", "no_size", "Table has no size"),
+        (sized & (F.col("k") < places), "table_agent", "error", "missing_cells", "Table lacks cells", places - F.col("k")),
+        (sized & (F.col("empty") / F.col("k") > 0.3), "table_agent", "warning", "empty_cells", "Table has many empty cells", F.col("empty")),
+        (sized & (F.col("open") > 0), "table_agent", "error", "untranslated", "Table has untranslated cells", F.col("open")),
     ])
 
 
 def chart_issues(charts: DataFrame) -> DataFrame:
     """Charts (page_id, chart, has_spec, n_values, mark): no spec ends it; no data, no mark."""
-    spec = charts.filter("has_spec")
-    return union([
-        issue(charts.filter("not has_spec"), "chart_agent", "error", "no_spec", "Chart has no spec"),
-        issue(spec.filter("n_values = 0"), "chart_agent", "error", "no_data", "Chart has no data"),
-        issue(spec.filter(blank("mark")), "chart_agent", "warning", "no_mark", "Chart has no mark"),
+    spec = F.col("has_spec")
+    return emit(charts, [
+        (~spec, "chart_agent", "error", "no_spec", "Chart has no spec"),
+        (spec & (F.col("n_values") == 0), "chart_agent", "error", "no_data", "Chart has no data"),
+        (spec & blank("mark"), "chart_agent", "warning", "no_mark", "Chart has no mark"),
     ])
 
 
@@ -80,21 +90,21 @@ def translation_issues(pages: DataFrame) -> DataFrame:
     """Only where both texts are there: an empty translation, or one much shorter or longer than the text."""
     n = lambda c: F.length(F.regexp_replace(c, r"^\s+|\s+$", ""))
     both = pages.filter("ocr_text <> '' and translated_text <> ''").select("page_id", n("ocr_text").alias("a"), n("translated_text").alias("b"))
-    ratio = F.col("b") / F.col("a")
-    rated = both.filter("a > 0 and b > 0")
-    return union([
-        issue(both.filter("b = 0"), "translator", "critical", "empty_translation", "Translation is empty"),
-        issue(rated.filter(ratio < 0.5), "translator", "warning", "short_translation", "Translation is short"),
-        issue(rated.filter(ratio > 2.5), "translator", "warning", "long_translation", "Translation is long"),
+    rated, ratio = (F.col("a") > 0) & (F.col("b") > 0), F.col("b") / F.nullif("a", F.lit(0))
+    return emit(both, [
+        (F.col("b") == 0, "translator", "critical", "empty_translation", "Translation is empty"),
+        (rated & (ratio < 0.5), "translator", "warning", "short_translation", "Translation is short"),
+        (rated & (ratio > 2.5), "translator", "warning", "long_translation", "Translation is long"),
     ])
 
 
 def processing_issues(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Failed pages, and pages that have boxes of text but no artifacts."""
-    bare = pages.filter("status = 'COMPLETED'").join(artifacts, "page_id", "left_anti")
-    return union([
-        issue(pages.filter("status = 'FAILED'"), "pdf_generation", "critical", "failed", "PDF creation failed"),
-        issue(bare, "processing", "warning", "no_artifacts", "Page has no artifacts"),
+    """Failed pages, and finished pages without artifacts."""
+    have = artifacts.select("page_id").distinct().withColumn("have", F.lit(True))
+    j = pages.select("page_id", "status").filter("status in ('FAILED', 'COMPLETED')").join(have, "page_id", "left")
+    return emit(j, [
+        (F.col("status") == "FAILED", "pdf_generation", "critical", "failed", "PDF creation failed"),
+        ((F.col("status") == "COMPLETED") & F.col("have").isNull(), "processing", "warning", "no_artifacts", "Page has no artifacts"),
     ])
 
 
@@ -137,8 +147,8 @@ ADVICE = {
 CRITICAL_ADVICE = "Critical issues: process again or review by hand"
 
 
-def recommendations(issues: DataFrame) -> DataFrame:
-    """Advice for each page: the critical one first, then by component; diagrams need an error, tables empty cells."""
+def advice() -> Column:
+    """Aggregate: advice for a group of issues, the critical one first, then by component; diagrams need an error, tables empty cells."""
     c = lambda name: F.col("component") == name
     tests = {
         "diagram_agent": c("diagram_agent") & F.col("severity").isin("error", "critical"),
@@ -146,7 +156,12 @@ def recommendations(issues: DataFrame) -> DataFrame:
         **{k: c(k) for k in ("chart_agent", "translator", "pdf_generation")},
     }
     parts = [F.when(F.bool_or(F.col("severity") == "critical"), CRITICAL_ADVICE), *[F.when(F.bool_or(t), ADVICE[k]) for k, t in tests.items()]]
-    return issues.groupBy("page_id").agg(F.array_join(F.array_compact(F.array(*parts)), "; ").alias("advice"))
+    return F.array_join(F.array_compact(F.array(*parts)), "; ")
+
+
+def recommendations(issues: DataFrame) -> DataFrame:
+    """Advice for each page with issues."""
+    return issues.groupBy("page_id").agg(advice().alias("advice"))
 
 
 def review_gate(pages: DataFrame, least: int = PASS_SCORE) -> DataFrame:
@@ -156,8 +171,8 @@ def review_gate(pages: DataFrame, least: int = PASS_SCORE) -> DataFrame:
 
 def report(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """Score, level, counts and advice of each page."""
-    g = issues.groupBy("page_id").agg(F.sum(weight()).alias("lost"), *[F.count_if(F.col("severity") == s).alias(s) for s in WEIGHTS])
-    j = pages.select("page_id").join(g, "page_id", "left").join(recommendations(issues), "page_id", "left")
+    g = issues.groupBy("page_id").agg(F.sum(weight()).alias("lost"), *[F.count_if(F.col("severity") == s).alias(s) for s in WEIGHTS], advice().alias("advice"))
+    j = pages.select("page_id").join(g, "page_id", "left")
     score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.coalesce("lost", F.lit(0)))).cast("int")
     j = j.withColumn("score", score)
     return j.select("page_id", "score", level(F.col("score")).alias("level"), (F.col("score") >= PASS_SCORE).alias("passed"), *[F.coalesce(s, F.lit(0)).alias(s) for s in WEIGHTS], F.coalesce("advice", F.lit("")).alias("advice"))
