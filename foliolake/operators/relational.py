@@ -9,6 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def rank_within(df: DataFrame, group: str, bucket: Column, order: list[Column], name: str = "position") -> DataFrame:
+    """Position of each row in its group, without one task for a hot group.
+
+    ``bucket`` must not fall as ``order`` rises. Rows are numbered within (group, bucket); the
+    buckets before are counted by a grouped aggregate and added, so a group that holds a third of
+    all rows is spread over its buckets. Null groups are one group.
+    """
+    b = df.withColumn("_bucket", bucket)
+    sizes = b.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = b.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
+    joined = numbered.join(offsets, numbered[group].eqNullSafe(offsets["_g"]) & numbered["_bucket"].eqNullSafe(offsets["_b"]))
+    return joined.withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_bucket", "_rank", "_g", "_b", "_before")
+
+
 #: Page and project statuses (fixed values).
 PAGE_STATUSES = ("UPLOADED", "QUEUED", "PROCESSING", "COMPLETED", "FAILED", "NEEDS_REVIEW")
 MAX_PAGE_SIZE = 500
@@ -37,7 +53,7 @@ def list_pages(pages: DataFrame, project_id: int, skip: int = 0, limit: int = 20
             some = some.filter(F.col("status").isin(wanted))
     total = some.agg(F.count("*").alias("total"))
     top = some.orderBy("page_number", "page_id").offset(skip).limit(min(limit, MAX_PAGE_SIZE))
-    return top.crossJoin(F.broadcast(total))  # the total is one row
+    return top.select("*", total.scalar().alias("total"))
 
 
 def list_projects(projects: DataFrame, user_id: int, skip: int = 0, limit: int = 100) -> DataFrame:
@@ -46,11 +62,10 @@ def list_projects(projects: DataFrame, user_id: int, skip: int = 0, limit: int =
 
 
 def book_files(pages: DataFrame, projects: DataFrame) -> DataFrame:
-    """For each project the paths of its finished pages in page order, and the file name of the book."""
-    done = pages.filter("status = 'COMPLETED' and output_pdf_path is not null")
-    parts = done.groupBy("project_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("page_number", "page_id", "output_pdf_path"))).alias("p"))
-    paths = parts.select("project_id", "n", F.concat_ws("|", F.transform("p", lambda s: s["output_pdf_path"])).alias("paths"))
-    return paths.join(projects.select("project_id", book_filename(F.col("title")).alias("filename")), "project_id")
+    """The finished pages of each book in page order: project_id, position, path, and the book's file name."""
+    done = pages.filter("status = 'COMPLETED' and output_pdf_path is not null").select("project_id", "page_number", "page_id", F.col("output_pdf_path").alias("path"))
+    parts = rank_within(done, "project_id", F.floor(F.col("page_number") / 500), [F.col("page_number"), F.col("page_id")])
+    return parts.join(projects.select("project_id", book_filename(F.col("title")).alias("filename")), "project_id").select("project_id", "position", "path", "filename")
 
 
 def book_filename(title: Column) -> Column:
@@ -122,7 +137,8 @@ def system_report(pages: DataFrame, projects: DataFrame, now: Column) -> DataFra
     age = (F.unix_micros(now) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 60e6
     p = pages.agg(F.count_if((F.col("status") == "PROCESSING") & (age > 30)).alias("stuck_processing"), F.count_if((F.col("status") == "QUEUED") & (age > 10)).alias("stuck_queued"))
     j = projects.agg(F.count("*").alias("projects"), F.count_if(F.col("status").isin("PROCESSING", "ACTIVE")).alias("active"))
-    return p.crossJoin(F.broadcast(j))  # one row each
+    one = j.select(F.struct("projects", "active").alias("j")).scalar()
+    return p.select("*", one["projects"].alias("projects"), one["active"].alias("active"))
 
 
 def project_progress(pages: DataFrame) -> DataFrame:
@@ -143,8 +159,10 @@ def requeue_candidates(pages: DataFrame, projects: DataFrame) -> DataFrame:
 
 def quality_ranking(pages: DataFrame) -> DataFrame:
     """Rank of each page in its project by quality score, worst first, unscored last."""
-    w = Window.partitionBy("project_id").orderBy(F.asc_nulls_last("quality_score"), "page_number", "page_id")
-    return pages.select("project_id", "page_id", "quality_score", F.row_number().over(w).alias("rank"), (F.col("status") == "NEEDS_REVIEW").alias("review"))
+    some = pages.select("project_id", "page_id", "page_number", "quality_score", (F.col("status") == "NEEDS_REVIEW").alias("review"))
+    bucket = F.coalesce("quality_score", F.lit(1_000_000)).cast("long") * 100_000 + F.least(F.floor(F.greatest("page_number", F.lit(0)) / 500), F.lit(99_999))
+    ranked = rank_within(some, "project_id", bucket, [F.col("page_number"), F.col("page_id")], "rank")
+    return ranked.select("project_id", "page_id", "quality_score", "rank", "review")
 
 
 def page_text_lengths(pages: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def project_listing(spark, d):
 
 
 @query(
-    "select b.project_id, count(*) as n, string_agg(output_pdf_path, '|' order by page_number, page_id) as paths, replace(any_value(p.title),' ','_')||'_complete.pdf' as filename "
-    "from book_pages b join projects p using (project_id) where b.status='COMPLETED' and output_pdf_path is not null group by b.project_id"
+    "select b.project_id, row_number() over (partition by b.project_id order by page_number, page_id) as position, output_pdf_path as path, replace(p.title,' ','_')||'_complete.pdf' as filename "
+    "from book_pages b join projects p using (project_id) where b.status='COMPLETED' and output_pdf_path is not null"
 )
 def book_assembly(spark, d):
     return r.book_files(pages(spark, d), projects(spark, d))
@@ -90,7 +90,7 @@ def replace_reset_counters(spark, d):
     f"select page_id, project_id, page_number, 'UPLOADED' as status, cast(null as varchar) as ocr_text, cast(null as integer) as quality_score, {NOW} as replaced_at from book_pages where page_id in (select page_id from artifacts)"
 )
 def replace_reset(spark, d):
-    out = r.reset_replaced(pages(spark, d), table(spark, d, "artifacts"), F.expr(NOW))
+    out = r.reset_replaced(pages(spark, d), table(spark, d, "artifacts"), F.expr(NOW).cast("timestamp_ntz"))
     return out.select("page_id", "project_id", "page_number", "status", "ocr_text", "quality_score", "replaced_at")
 
 

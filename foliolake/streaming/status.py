@@ -17,10 +17,19 @@ def latest_status(events: DataFrame, key: str, status: str, ts: str, tie: str) -
     return events.groupBy(key).agg(F.max_by(status, F.struct(ts, tie)).alias("status"), F.max(ts).alias("since"), F.count("*").alias("n"))
 
 
-def transitions(events: DataFrame, key: str, status: str, ts: str, tie: str) -> DataFrame:
-    """How often one status follows another."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    return events.select(F.lag(status).over(w).alias("old"), F.col(status).alias("new")).filter("old is not null").groupBy("old", "new").agg(F.count("*").alias("n"))
+def transitions(events: DataFrame, key: str, status: str, ts: str, tie: str, unit: str = "day") -> DataFrame:
+    """How often one status follows another.
+
+    Windows run within (key, day), so a key with a third of all events is spread over its days; the
+    last status of the day before is carried over by a grouped aggregate.
+    """
+    e = events.select(F.col(key).alias("k"), F.col(status).alias("s"), F.col(ts).alias("t"), F.col(tie).alias("i"), F.date_trunc(unit, ts).alias("d"))
+    w = Window.partitionBy("k", "d").orderBy("t", "i")
+    inner = e.select(F.lag("s").over(w).alias("old"), F.col("s").alias("new"), F.row_number().over(w).alias("n")).filter("n > 1").select("old", "new")
+    order = F.struct("t", "i")
+    days = e.groupBy("k", "d").agg(F.min_by("s", order).alias("new"), F.max_by("s", order).alias("last"))
+    joints = days.select(F.lag("last").over(Window.partitionBy("k").orderBy("d")).alias("old"), "new")
+    return inner.unionByName(joints).filter("old is not null").groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
 def task_states(events: DataFrame, state: str = "state") -> DataFrame:
