@@ -24,7 +24,7 @@ import numpy as np
 
 from foliolake.llm import naivebayes, pagetext, sentences
 
-SAMPLE_PAGES = 6_000
+SAMPLE_PAGES = 3_000
 #: Weight (in pages) of the user's shares in a project's prior, and of the whole in a user's.
 HOST_WEIGHT, USER_WEIGHT = 2.0, 5.0
 #: Log-odds that a declared label, or an address suffix, gives its language.
@@ -118,7 +118,9 @@ def host_priors(seen, projects, langs):
     sums = [F.sum(f"c{j}").alias(f"u{j}") for j in range(k)]
     by_user = by_project.groupBy("user_id").agg(*sums)
     whole = by_project.agg(*[F.sum(f"c{j}").alias(f"w{j}") for j in range(k)])
-    out = by_project.join(by_user, by_project.user_id.eqNullSafe(by_user.user_id), "left").drop("user_id").join(F.broadcast(whole))  # one row
+    out = by_project.join(by_user, by_project.user_id.eqNullSafe(by_user.user_id), "left").drop("user_id")
+    one = whole.select(F.struct(*[f"w{j}" for j in range(k)]).alias("w")).scalar()
+    out = out.withColumn("w", one).select("*", "w.*")
     w = sum((F.col(f"w{j}") for j in range(k)), F.lit(0))
     u = sum((F.col(f"u{j}") for j in range(k)), F.lit(0))
     c = sum((F.col(f"c{j}") for j in range(k)), F.lit(0))
