@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolake.llm import alignment, encoding, languages, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
-from foliolake.session import bounded_sample, checkpointed, table
+from foliolake.session import bounded_sample, checkpointed, spread, table
+
+
+
+def wide(spark, sf_dir, name, *columns):
+    """A table for work in Python: only its columns, dealt out over the cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
 
 RECORDS = {"text_box": ("text_boxes", "box_id"), "table_cell": ("table_cells", "cell_id")}
 
 
 def records(spark, sf_dir, *columns):
     """Boxes and cells as one table: rec_kind, rec_id and the columns."""
-    parts = [table(spark, sf_dir, name).select(F.lit(kind).alias("rec_kind"), F.col(key).alias("rec_id"), *columns) for kind, (name, key) in RECORDS.items()]
+    parts = [wide(spark, sf_dir, name, F.lit(kind).alias("rec_kind"), F.col(key).alias("rec_id"), *columns) for kind, (name, key) in RECORDS.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -21,8 +28,8 @@ def text_pairs(spark, sf_dir, boxes=None, cells=None):
     projects = table(spark, sf_dir, "projects").select("project_id", F.col("target_language").alias("target"), F.col("source_language").alias("label"))
     few = projects.count() <= noise.BROADCAST_TITLES
     to_project = lambda df: df.join(F.broadcast(projects) if few else projects, "project_id")
-    boxes = table(spark, sf_dir, "text_boxes") if boxes is None else boxes
-    cells = table(spark, sf_dir, "table_cells") if cells is None else cells
+    boxes = wide(spark, sf_dir, "text_boxes", "box_id", "project_id", "text", "translation") if boxes is None else boxes
+    cells = wide(spark, sf_dir, "table_cells", "cell_id", "page_id", "text", "translation") if cells is None else cells
     page_target = to_project(table(spark, sf_dir, "book_pages").select("page_id", "project_id")).select("page_id", "target", "label")
     some = lambda df: df.filter("text is not null and translation is not null")
     b = to_project(some(boxes.select("box_id", "project_id", "text", "translation"))).select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "text", "translation", "target", "label")
@@ -48,8 +55,8 @@ def p1_found(spark, sf_dir):
 
 def scanned(spark, sf_dir):
     """Pages and distinct boxes with what tells furniture: title, page number, place."""
-    pages = table(spark, sf_dir, "book_pages").select(F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "project_id", F.col("ocr_text").alias("text"), F.col("page_number").alias("number"), F.lit(None).cast("int").alias("y"))
-    boxes = table(spark, sf_dir, "text_boxes").select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "project_id", "text", F.lit(None).cast("int").alias("number"), "y")
+    pages = wide(spark, sf_dir, "book_pages", F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "project_id", F.col("ocr_text").alias("text"), F.col("page_number").alias("number"), F.lit(None).cast("int").alias("y"))
+    boxes = wide(spark, sf_dir, "text_boxes", F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "project_id", "text", F.lit(None).cast("int").alias("number"), "y")
     both = pages.unionByName(boxes).filter("text is not null")
     return noise.with_titles(both, table(spark, sf_dir, "projects"))
 
@@ -78,7 +85,8 @@ def p4_forms(spark, sf_dir):
 
 def titled_pages(spark, sf_dir):
     """Pages with their book's title."""
-    return noise.with_titles(table(spark, sf_dir, "book_pages"), table(spark, sf_dir, "projects").select("project_id", "title"))
+    pages = wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "detected_language", "original_image_path")
+    return noise.with_titles(pages, table(spark, sf_dir, "projects").select("project_id", "title"))
 
 
 def p5_found(spark, sf_dir):
@@ -86,7 +94,7 @@ def p5_found(spark, sf_dir):
     titles = table(spark, sf_dir, "projects").select("project_id", "title", F.col("target_language").alias("target"))
     if titles.count() <= noise.BROADCAST_TITLES:
         titles = F.broadcast(titles)
-    pages = table(spark, sf_dir, "book_pages").join(titles, "project_id", "left")
+    pages = wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "translated_text").join(titles, "project_id", "left")
     model, lexicon = alignment.fit_on(pages)
     return alignment.aligned(pages, model, lexicon).distinct()
 
@@ -130,7 +138,7 @@ def p7_units(spark, sf_dir):
 
 def p8_ids(spark, sf_dir):
     """Token ids of every document."""
-    return encoding.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encoding.token_ids(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def eval_passages(spark, sf_dir, most=200_000):
@@ -143,22 +151,22 @@ def eval_passages(spark, sf_dir, most=200_000):
 
 def p9_found(spark, sf_dir):
     """Documents that hold a run of a test item's passage."""
-    return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", eval_passages(spark, sf_dir)).select("doc_id", "item_id").distinct()
+    return leakage.leaked(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", eval_passages(spark, sf_dir)).select("doc_id", "item_id").distinct()
 
 
 def p9_runs(spark, sf_dir):
     """The same with place and length of the longest run."""
-    return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", eval_passages(spark, sf_dir))
+    return leakage.leaked(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", eval_passages(spark, sf_dir))
 
 
 def p10_pieces(spark, sf_dir):
     """Pieces of at most 512 tokens, sharing 64, of every document."""
-    return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return splitting.split_oversized(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p10_found(spark, sf_dir):
     """Documents that had to be split."""
-    return splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
+    return splitting.split_oversized(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
