@@ -165,12 +165,13 @@ def page_lines(text: str, kinds: list[str | None]) -> list[Line]:
 _HEADING = re.compile(r"\d{1,2}(?:\.\d{1,2})+\s+\S")
 _ATOM = re.compile(rf"[A-Za-z0-9/.,°²-]+|[^\s]")
 #: Log-odds of the layout (prosody) model.
-ALWAYS, BLANK, SHORT, FULL, AFTER_HEADING = 30.0, 9.0, 6.0, -1.0, 8.0
+ALWAYS, BLANK, SHORT, FULL, AFTER_HEADING, NEVER = 30.0, 9.0, 6.0, -1.0, 8.0, -30.0
 
 
 class Segmenter:
     def __init__(self, model: Model, threshold: float = 0.5):
         self.model, self.threshold = model, threshold
+        self.vocabulary = model.ctx.get((), (0, 0, {}))[2]
 
     def units(self, text: str, kinds: list[str | None], wrapped: bool | None = None) -> list[tuple[int, int]]:
         """(start, end) of each unit."""
@@ -194,7 +195,11 @@ class Segmenter:
             if prev is None or x.mark:
                 odds_before[len(syms)] = ALWAYS
             else:
-                odds_before[len(syms)] = self._layout(text, prev, x, width, blank, skipped)
+                o = self._layout(text, prev, x, width, blank, skipped)
+                rest = self._mend(syms, new) if o == NEVER else new
+                if len(rest) == len(new):
+                    odds_before[len(syms)] = o
+                new = rest  # what follows a mended word is within the line
             syms += new
             prev, blank, skipped = x, False, False
         if not syms:
@@ -205,8 +210,29 @@ class Segmenter:
             out.append((syms[a][1], syms[b - 1][2]))
         return out
 
+    def _mend(self, syms: list, new: list) -> list:
+        """One symbol for a code or known word broken at the line end; what is left of the new line's symbols."""
+        sign = len(syms) > 1 and syms[-1][3] == "p" and len(syms[-1][0]) == 1
+        left = syms[-2] if sign else syms[-1] if syms else None
+        at = 0 if sign else 1  # the sign may stand on the new line
+        if left is None or left[3] != "w" or len(new) <= at or not sign and (new[0][0] not in ("-", "/")):
+            return new
+        right = new[at]
+        if right[3] == "n" and left[0].isupper() and len(left[0]) <= 2:
+            name, kind = "#", "c"
+        elif sign and right[3] == "w" and (left[0] + right[0]) in self.vocabulary:
+            name, kind = left[0] + right[0], "w"
+        else:
+            return new
+        del syms[-2 if sign else -1 :]
+        syms.append((name, left[1], right[2], kind))
+        return new[at + 1 :]
+
     def _layout(self, text: str, prev: Line, x: Line, width: int, blank: bool, skipped: bool) -> float:
         last = text[prev.start : prev.end].rstrip()
+        nxt = text[x.head]
+        if last[-1] in "-‐­¬/" and len(last) > 1 and last[-2].isalnum() and (nxt.isdigit() or nxt.islower()) or nxt in "-/" and last[-1].isupper() and text[x.head + 1 : x.head + 2].isdigit():
+            return NEVER  # a word or code broken at the line end
         heading = bool(_HEADING.match(text, prev.head)) and prev.size <= 48 and last[-1] not in ".。!?！？,、，;；"
         if blank:
             return BLANK if not skipped else 3.0
@@ -255,7 +281,7 @@ class Segmenter:
             if o is None:
                 if not self._possible(text, syms, i, a, b):
                     continue
-                o = 0.0
+                o = -2.0 if b[3] == "w" and b[0][0].islower() else 0.0
             elif o < BLANK:
                 # no sentence ends in a comma, few units begin with a small letter: whatever the layout, the words decide
                 if a[0] in ",;:、，；：":
