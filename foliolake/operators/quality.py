@@ -47,7 +47,7 @@ def file_issues(pages: DataFrame) -> DataFrame:
     """Missing input or output of finished pages."""
     done = F.col("status").isin("COMPLETED", "NEEDS_REVIEW")
     return emit(pages, [
-        (done & blank("original_image_path"), "files", "critical", "missing_input", "Input file missing"),
+        (done & blank("original_image_path"), "filesystem", "critical", "missing_input", "Input file missing"),
         (done & blank("output_pdf_path"), "pdf_generation", "critical", "missing_output", "Output file missing"),
     ])
 
@@ -138,13 +138,13 @@ def summary(issues: DataFrame) -> DataFrame:
 
 # Advice by component, in this order.
 ADVICE = {
-    "diagram_agent": "Check that the image is clear enough for its labels",
-    "table_agent": "Check tables with many empty cells against the image",
-    "chart_agent": "Process the charts again from a better image",
-    "translator": "Review the translation by hand",
-    "pdf_generation": "Process the page again",
+    "diagram_agent": "Review diagram processing - check if image quality is sufficient for label detection",
+    "table_agent": "Tables have many empty cells - verify original image quality or table structure",
+    "chart_agent": "Chart processing had issues - may need to reprocess with better image quality",
+    "translator": "Translation quality check failed - consider reviewing translation manually",
+    "pdf_generation": "PDF generation had issues - page may need reprocessing",
 }
-CRITICAL_ADVICE = "Critical issues: process again or review by hand"
+CRITICAL_ADVICE = "CRITICAL ISSUES FOUND - Page should be reprocessed or manually reviewed"
 
 
 def advice() -> Column:
@@ -184,7 +184,7 @@ CJK = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 # Labels that stay on the image whatever their length.
 CRITICAL_LABELS = ("a", "b", "p", "v", "p1", "p2", "v1", "v2", "pa", "pb", "pc", "va", "vb", "vc")
 # Phrases of a model's excuses.
-DIAGNOSTICS = ("unable to", "cannot read", "no text", "not visible")
+DIAGNOSTICS = ("(no content to translate)", "(no text provided)", "no translation needed", "provided japanese text")
 
 
 def keep_label(text: Column) -> Column:

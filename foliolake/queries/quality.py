@@ -48,7 +48,7 @@ def _i(src, component, severity, kind, message, n="1"):
 
 
 _FILES = " union all ".join([
-    _i(f"book_pages where status in ('COMPLETED','NEEDS_REVIEW') and {BL.format('original_image_path')}", "files", "critical", "missing_input", "Input file missing"),
+    _i(f"book_pages where status in ('COMPLETED','NEEDS_REVIEW') and {BL.format('original_image_path')}", "filesystem", "critical", "missing_input", "Input file missing"),
     _i(f"book_pages where status in ('COMPLETED','NEEDS_REVIEW') and {BL.format('output_pdf_path')}", "pdf_generation", "critical", "missing_output", "Output file missing"),
 ])
 _DG = f"dg as (select page_id, diagram_id, count(seq) as labels, bool_or(has_region) as region, count(*) filter ({BL.format('label')}) as blanks from an group by 1,2)"
@@ -164,7 +164,7 @@ def label_classes(spark, d):
     return table(spark, d, "text_boxes").select("box_id", q.label_class(F.col("text")).alias("label_class")).distinct()
 
 
-@query("select distinct box_id, coalesce(lower(translation) like '%unable to%' or lower(translation) like '%cannot read%' or lower(translation) like '%no text%' or lower(translation) like '%not visible%', false) as diagnostic, lower(regexp_replace(translation,'[^A-Za-z0-9]','','g')) as cleaned from text_boxes")
+@query("select distinct box_id, coalesce(" + " or ".join(f"contains(lower(translation), '{p}')" for p in q.DIAGNOSTICS) + ", false) as diagnostic, lower(regexp_replace(translation,'[^A-Za-z0-9]','','g')) as cleaned from text_boxes")
 def diagnostic_filter(spark, d):
     return table(spark, d, "text_boxes").select("box_id", q.diagnostic(F.col("translation")).alias("diagnostic"), q.clean_label(F.col("translation")).alias("cleaned")).distinct()
 
