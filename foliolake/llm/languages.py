@@ -54,9 +54,7 @@ def fit_languages(rows: list[tuple[str, str | None, int | None, str | None]], la
 
 
 def unit_likelihoods(text: str, units: list[tuple[int, int]], nb: naivebayes.NaiveBayes) -> np.ndarray:
-    low = naivebayes.blank_same_length(text)
-    parts = [f" {re.sub(r' +', ' ', low[a:b]).strip()} " for a, b in units]
-    ll = nb.many(parts)
+    ll = nb.many([naivebayes.clean(text[a:b]) for a, b in units])
     ll[:, nb.prior < -20] = -1000.0  # languages no text is written in
     return ll
 
@@ -92,14 +90,14 @@ def evidence(pages, model, nb):
     def run(batches):
         segmenter = sentences.Segmenter(model.value)
         bayes = nb.value
-        for batch in batches:
+        for batch in sentences.slices(batches):
             rows: list[tuple] = []
             for page, project, label, path, t, title, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 units = sentences.page_units(t, title, number, segmenter) if t else []
                 if not units:
                     continue
                 ll = unit_likelihoods(t, units, bayes)
-                rows.append((page, project, label, suffix_label(path), [a for a, _ in units], [b - a for a, b in units], ll.astype(np.float32).ravel().tolist()))
+                rows.append((page, project, label, suffix_label(path), [a for a, _ in units], [b - a for a, b in units], ll.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f) for i, (_, f) in enumerate(fields)], names=[n for n, _ in fields])
 
     return pages.select("page_id", "project_id", "detected_language", "original_image_path", "ocr_text", "title", "page_number").mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from collections import Counter
 
 import numpy as np
 
-BITS = 18
+BITS = 17
 ORDERS = (1, 2, 3, 4)
 #: n-grams of several orders at one place say much the same: their sum is damped.
 DAMP = 0.4
@@ -30,24 +30,6 @@ def clean(text: str) -> str:
     return f" {_OTHER.sub(' ', _CODE.sub(' ', text)).strip().casefold()} "
 
 
-def blank_same_length(text: str) -> str:
-    """The same for a text whose offsets must stay: every other character becomes a space."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return _OTHER.sub(lambda m: " " * len(m[0]), _mask(low, text))
-
-
-def _mask(low: str, text: str) -> str:
-    out, at = [], 0
-    for m in _CODE.finditer(text):
-        out.append(low[at : m.start()])
-        out.append(" " * (m.end() - m.start()))
-        at = m.end()
-    out.append(low[at:])
-    return "".join(out)
-
-
 def grams(codes: np.ndarray) -> list[np.ndarray]:
     """For each order, the hash of the n-gram that ends at each place (0 where there is none)."""
     out = []

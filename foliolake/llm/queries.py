@@ -170,4 +170,10 @@ def p10_found(spark, sf_dir):
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
-SQL: dict[str, str] = {}
+
+_TEXTS = "t as (select distinct 'text_box' as rec_kind, page_id, box_id as rec_id, text from text_boxes union all select distinct 'table_cell', page_id, cell_id, text from table_cells)"
+#: The forms are made by DuckDB in the query as well; what this checks is that they reach every row once, and the pairs.
+SQL: dict[str, str] = {
+    "p4_forms": f"with {_TEXTS} select distinct rec_kind, rec_id, {lookalike.form_sql('text')} as form from t",
+    "p4_found": f"with {_TEXTS}, f as (select *, {lookalike.form_sql('text')} as form from t where text <> '') select distinct a.rec_kind, a.rec_id as id_a, b.rec_id as id_b from f a join f b on a.rec_kind = b.rec_kind and a.page_id = b.page_id and a.form = b.form and a.text <> b.text and a.rec_id < b.rec_id",
+}

@@ -29,7 +29,7 @@ from foliolake.llm import pagetext
 ORDER = 7
 SAMPLE_PAGES = 6_000
 #: Stretches of gaps whose model scores a worker keeps.
-CACHE = 80_000
+CACHE = 40_000
 _UN = "぀-ヿ㐀-鿿豈-﫿々〆〇ｦ-ﾟ"
 _TH = "฀-๿"
 _SYMBOL = re.compile(rf"(?P<code>[A-Z]{{1,2}}[-/]?\d{{1,5}}(?![^\W\d_{_UN}{_TH}]))|(?P<num>\d+(?:[.,]\d+)*)|(?P<un>[{_UN}])|(?P<th>[{_TH}])|(?P<word>[^\W\d_{_UN}{_TH}]+)|(?P<punct>[^\s])")
@@ -396,6 +396,13 @@ def page_units(text: str, title: str | None, number: int | None, segmenter: Segm
 # -- Spark ------------------------------------------------------------------------------------------
 
 
+def slices(batches, rows: int = 1_000):
+    """Batches in parts, so that a worker holds the Python objects of few pages at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fit_on(pages, rows: int = SAMPLE_PAGES, text: str = "ocr_text"):
     """The model fitted on a bounded sample of ``pages`` (page_id, title, page_number, text), broadcast (some MB whatever the corpus)."""
     from pyspark.sql import functions as F
@@ -415,7 +422,7 @@ def unit_starts(pages, model, text: str = "ocr_text"):
 
     def run(batches):
         segmenter = Segmenter(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, starts, ends = [], [], []
             for page, t, title, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a, b in page_units(t, title, number, segmenter) if t else ():
