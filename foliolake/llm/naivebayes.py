@@ -18,6 +18,8 @@ BITS = 17
 ORDERS = (1, 2, 3, 4)
 #: n-grams of several orders at one place say much the same: their sum is damped.
 DAMP = 0.4
+#: Characters scored at once; longer texts are scored in pieces.
+BLOCK = 200_000
 #: How much better (a character, damped) a language's own model must explain its texts than any other's.
 TWIN_GAP = 0.08
 DEBUG = False
@@ -80,15 +82,16 @@ class NaiveBayes:
     def many(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) log-likelihoods of cleaned texts, in blocks of bounded size."""
         out = np.zeros((len(texts), len(self.langs)))
-        for lo, hi in blocks(texts):
-            part = texts[lo:hi]
+        owner, pieces = zip(*[(i, t[k : k + BLOCK]) for i, t in enumerate(texts) for k in range(0, len(t), BLOCK)], strict=True) if any(texts) else ((), ())
+        for lo, hi in blocks(pieces):
+            part = pieces[lo:hi]
             ends = np.cumsum([len(t) for t in part])
             sums = self.running(codepoints("".join(part)))
-            out[lo:hi] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+            np.add.at(out, list(owner[lo:hi]), sums[ends] - sums[np.concatenate([[0], ends[:-1]])])
         return out
 
 
-def blocks(texts: list[str], chars: int = 200_000) -> list[tuple[int, int]]:
+def blocks(texts, chars: int = BLOCK) -> list[tuple[int, int]]:
     """Ranges of texts of about so many characters together."""
     out, lo, size = [], 0, 0
     for i, t in enumerate(texts):
