@@ -184,3 +184,19 @@ def test_very_long_texts(corpus):
     assert len(sentences.page_units("Remove the pump and keep it in a dry place. " * 5_000, None, None, sentences.Segmenter(model))) == 5_000
     scanner = noise.Scanner(noise.fit_editor(corpus))
     assert scanner.lines("x" * 1_000_000 + "\n" + "pump " * 100_000, [None, None]) == {}
+
+
+def test_noise_in_long_unspaced_runs():
+    rnd = random.Random(5)
+    parts = ["ปิดวาล์ว", "ถอดตัวกรอง", "ตรวจสอบสปริง", "เปลี่ยนคลัตช์", "ทำความสะอาด", "แสดงสัญญาณ", "เตือนผู้ใช้", "ตลับลูกปืน"]
+    run = lambda n: "".join(rnd.choice(parts) for _ in range(n))
+    editor = noise.fit_editor([" ".join(run(2) for _ in range(12)) for _ in range(400)])
+    scanner = noise.Scanner(editor)
+    for n in (4, 6, 20, 200):
+        right = run(n) + "ตลับลูกปืน" + run(n)
+        assert len(right) > 48 and scanner.lines(right, [None]) == {}
+        at = right.index("ตลับลูกปืน", len(right) // 3)
+        bad = right[:at] + "ค" + right[at + 1 :]
+        assert editor.edits(bad) == ((at, at + 1, "ต"),)
+        assert scanner.lines("ปิดวาล์ว\n" + bad, [None, None]) == {1: {"char"}}
+        assert noise.repair(bad, None, None, scanner) == right
