@@ -95,8 +95,8 @@ def p5_found(spark, sf_dir):
     if titles.count() <= noise.BROADCAST_TITLES:
         titles = F.broadcast(titles)
     pages = wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "translated_text").join(titles, "project_id", "left")
-    model, lexicon = alignment.fit_on(pages)
-    return alignment.aligned(pages, model, lexicon).distinct()
+    seen = checkpointed(alignment.units(pages, alignment.fit_on(pages)))
+    return alignment.aligned(seen, alignment.fit_lexicon_on(seen)).distinct()
 
 
 def language_decisions(spark, sf_dir):

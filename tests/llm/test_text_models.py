@@ -200,3 +200,23 @@ def test_noise_in_long_unspaced_runs():
         assert editor.edits(bad) == ((at, at + 1, "ต"),)
         assert scanner.lines("ปิดวาล์ว\n" + bad, [None, None]) == {1: {"char"}}
         assert noise.repair(bad, None, None, scanner) == right
+
+
+def test_lexicon_of_all_pages(spark):
+    rnd = random.Random(14)
+    rare = {"remove": "zor", "pump": "zup", "valve": "zav", "spring": "zir"}
+    pages = []
+    for i in range(1_900):
+        lang, word = ("yy", rare.__getitem__) if i % 190 == 0 else ("xx", "x".__add__)
+        src = [[rnd.choice(list(rare)) for _ in range(3)] + [str(100 * k + rnd.randint(10, 99))] for k in range(1, 4)]
+        pages.append((i, lang, [0, 20, 40], [" ".join(s) for s in src], [0, 20, 40], [" ".join(w if w.isdigit() else word(w) for w in s) for s in src]))
+    seen = spark.createDataFrame(pages, "page_id long, target string, a_starts array<int>, a array<string>, b_starts array<int>, b array<string>")
+    lexicon = alignment.fit_lexicon_on(seen).value
+    assert {t: max(s, key=s.get) for t, s in lexicon.table["yy"].items()} == {v: k for k, v in rare.items()}
+    # every page is counted: the background is that of all sentences
+    words = [w for p in pages if p[1] == "xx" for s in p[5] for w in s.split() if not w.isdigit()]
+    assert lexicon.background["xx"] == pytest.approx({w: words.count(w) / len(words) for w in set(words)})
+    local = alignment.fit_lexicon([(p[3], p[5], p[1]) for p in pages])
+    assert lexicon.table["xx"]["xpump"] == pytest.approx(local.table["xx"]["xpump"])
+    assert alignment.aligned(seen, alignment.fit_lexicon_on(seen)).count() == 3 * 1_900
+    assert alignment.fit_lexicon_on(seen.limit(0)).value.table == {}
