@@ -220,3 +220,22 @@ def test_lexicon_of_all_pages(spark):
     assert lexicon.table["xx"]["xpump"] == pytest.approx(local.table["xx"]["xpump"])
     assert alignment.aligned(seen, alignment.fit_lexicon_on(seen)).count() == 3 * 1_900
     assert alignment.fit_lexicon_on(seen.limit(0)).value.table == {}
+
+
+def test_alignment_reaches_all_sources():
+    rnd = random.Random(15)
+    src = [f"{rnd.choice(PARTS)} Nr. {i}" for i in range(700)]
+    for kept in ([*range(20), *range(560, 680)], [*range(60), *range(450, 700)]):  # long omissions
+        links = alignment.align(src, [src[i] for i in kept], "xx", alignment.Lexicon())
+        assert sum(i == kept[j] for i, j in links) >= 0.95 * len(kept)
+
+
+def test_both_decodings_are_the_same():
+    import numpy as np
+
+    rnd = np.random.default_rng(16)
+    for n, m in ((1, 4), (2, 3), (3, 5), (9, 12), (25, 30)):
+        for scale in (1.0, 4.0):
+            for _ in range(10):
+                e = rnd.normal(-1.0, scale, (m, sum(min(alignment.SPAN, n - i) for i in range(n))))
+                assert alignment.decode_long(e, n) == alignment.decode(e, n)
