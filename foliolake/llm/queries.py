@@ -24,16 +24,16 @@ def records(spark, sf_dir, *columns):
 
 
 def text_pairs(spark, sf_dir, boxes=None, cells=None):
-    """Distinct boxes and cells with text, translation, the project's target and its source label."""
+    """Boxes and cells with text, translation, the project's target and its source label; these are null where page or project are unknown."""
     projects = table(spark, sf_dir, "projects").select("project_id", F.col("target_language").alias("target"), F.col("source_language").alias("label"))
     few = projects.count() <= noise.BROADCAST_TITLES
-    to_project = lambda df: df.join(F.broadcast(projects) if few else projects, "project_id")
+    to_project = lambda df: df.join(F.broadcast(projects) if few else projects, "project_id", "left")
     boxes = wide(spark, sf_dir, "text_boxes", "box_id", "project_id", "text", "translation") if boxes is None else boxes
     cells = wide(spark, sf_dir, "table_cells", "cell_id", "page_id", "text", "translation") if cells is None else cells
     page_target = to_project(table(spark, sf_dir, "book_pages").select("page_id", "project_id")).select("page_id", "target", "label")
     some = lambda df: df.filter("text is not null and translation is not null")
     b = to_project(some(boxes.select("box_id", "project_id", "text", "translation"))).select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "text", "translation", "target", "label")
-    c = some(cells.select("cell_id", "page_id", "text", "translation")).join(page_target, "page_id").select(F.lit("table_cell").alias("rec_kind"), F.col("cell_id").alias("rec_id"), "text", "translation", "target", "label")
+    c = some(cells.select("cell_id", "page_id", "text", "translation")).join(page_target, "page_id", "left").select(F.lit("table_cell").alias("rec_kind"), F.col("cell_id").alias("rec_id"), "text", "translation", "target", "label")
     return b.unionByName(c)
 
 

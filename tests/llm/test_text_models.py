@@ -239,3 +239,20 @@ def test_both_decodings_are_the_same():
             for _ in range(10):
                 e = rnd.normal(-1.0, scale, (m, sum(min(alignment.SPAN, n - i) for i in range(n))))
                 assert alignment.decode_long(e, n) == alignment.decode(e, n)
+
+
+def test_pairs_of_unknown_projects(spark, tmp_path):
+    from foliolake.llm import queries
+
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    save("projects", [(1, "de", "en")], "project_id long, target_language string, source_language string")
+    save("book_pages", [(5, 1), (6, None), (7, 99)], "page_id long, project_id long")
+    save("text_boxes", [(10, 1, "Valve", "Ventil"), (11, None, "Valve", " "), (12, 99, "Valve", "Valve"), (13, 1, None, "x")], "box_id long, project_id long, text string, translation string")
+    save("table_cells", [(20, 5, "Pump", "Pumpe"), (21, 6, "Pump", ""), (22, 7, "Pump", "x"), (23, None, "Pump", "x"), (24, 98, "Pump", "x")], "cell_id long, page_id long, text string, translation string")
+    got = {r.rec_id: (r.target, r.label) for r in queries.text_pairs(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys((11, 12, 21, 22, 23, 24), (None, None)) | dict.fromkeys((10, 20), ("de", "en"))
+    rows = [(en(random.Random(i))[0], "en", "Ersetzen Sie die Pumpe.", "de") for i in range(50)] + [("Valve", None, "Ventil", None)]
+    model = spark.sparkContext.broadcast(pairs.fit_model(rows, ["en", "de"]))
+    assert {(r.rec_id, r.defect) for r in pairs.broken_pairs(queries.text_pairs(spark, str(tmp_path)), model).collect()} >= {(11, "empty"), (12, "copy"), (21, "empty")}
