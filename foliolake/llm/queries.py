@@ -37,9 +37,10 @@ def text_pairs(spark, sf_dir, boxes=None, cells=None):
     return b.unionByName(c)
 
 
-def language_rows(spark, sf_dir, most=10_000):
-    rows = table(spark, sf_dir, "languages").select("code", "code3", "name").filter("code is not null").limit(most).collect()
-    return [tuple(r) for r in rows]
+def language_rows(spark, sf_dir):
+    """The languages (a fixed table of code, code3 and name), in order of their codes."""
+    rows = table(spark, sf_dir, "languages").select("code", "code3", "name").filter("code is not null").dropDuplicates(["code"]).collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: r[0])
 
 
 def p1_found(spark, sf_dir):
@@ -141,12 +142,9 @@ def p8_ids(spark, sf_dir):
     return encoding.token_ids(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-def eval_passages(spark, sf_dir, most=200_000):
-    """The test items (a fixed, small table; the bound is checked)."""
-    rows = table(spark, sf_dir, "eval_items").select("item_id", "lang", "passage").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} test items")
-    return [tuple(r) for r in rows]
+def eval_passages(spark, sf_dir):
+    """The test items (a fixed, small table of held-out material, read in full; ``leaked`` takes any number of them)."""
+    return [tuple(r) for r in table(spark, sf_dir, "eval_items").select("item_id", "lang", "passage").filter("passage is not null").toLocalIterator()]
 
 
 def p9_found(spark, sf_dir):
@@ -165,8 +163,8 @@ def p10_pieces(spark, sf_dir):
 
 
 def p10_found(spark, sf_dir):
-    """Documents that had to be split."""
-    return splitting.split_oversized(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").filter("piece_no = 0 and n_tokens > 512").select("doc_id")
+    """Documents that had to be split: those of more than one stretch."""
+    return splitting.stretches(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").filter(F.size("sizes") > 1).select(F.col("key").alias("doc_id"))
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}

@@ -52,10 +52,72 @@ def test_pieces(spark):
         assert (len(rows) > 1) == (n > 512)
         assert rows[0].start_pos == 0 and rows[-1].end_pos == len(texts[k]) and rows[-1].end_token == n
         for a, b in zip(rows, rows[1:]):
-            assert b.start_pos <= a.end_pos and 0 <= a.end_token - b.start_token <= 64
+            assert b.start_pos <= a.end_pos and 56 <= a.end_token - b.start_token <= 64
+        assert rows[0].end_token > 448 - 64 or len(rows) == 1
         for r in rows:
             assert texts[k][r.start_pos : r.end_pos] == r.piece
             assert len(enc.encode_ordinary(r.piece)) <= 512
     words = got[3]
-    assert all(a.end_token - b.start_token >= 48 for a, b in zip(words, words[1:]))
     assert sum(texts[3][: r.end_pos].rstrip().endswith(".") for r in words) == len(words)
+
+
+def slow_marks(text, ids, enc):
+    """The same marks, one place at a time."""
+    marks, ends, pos, pending = "", [], 0, b""
+    for piece in enc.decode_tokens_bytes(ids):
+        pending += piece
+        try:
+            whole = pending.decode()
+        except UnicodeDecodeError as x:
+            marks += "x"
+            ends.append(pos + len(pending[: x.start].decode()))
+            continue
+        pos, pending = pos + len(whole), b""
+        ends.append(pos)
+        after = text[pos : len(text) - len(text[pos:].lstrip())]
+        before = text[:pos]
+        shut = before[-4:].rstrip("'\"”’»」』)]")
+        final = shut and shut[-1] in ".!?…。！？" and len(before[-4:]) - len(shut) <= 3
+        if not e.safe_cut(text, pos):
+            marks += "c"
+        elif "\n\n" in after or pos == len(text):
+            marks += "P"
+        elif "\n" in after:
+            marks += "L"
+        elif final and (after or before[-1] in "。！？」』"):
+            marks += "S"
+        else:
+            marks += "W"
+    return marks, ends
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(ALPHABET + "。」)", min_size=1, max_size=120))
+def test_marks(text):
+    enc = e.load()
+    ids = enc.encode_ordinary(text)
+    marks, ends = splitting.boundary_marks(text, ids, enc)
+    want, at = slow_marks(text, ids, enc)
+    assert marks == want
+    assert all(x == y for x, y, m in zip(ends.tolist(), at, marks, strict=True) if m != "x")
+
+
+def test_joins_over_a_corpus():
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    enc = e.load()
+    for text in pq.read_table(path, columns=["text"])["text"].to_pylist():
+        if text:
+            want = enc.encode_ordinary(text)
+            assert all(e.encode_tree(text, enc, leaf) == want for leaf in (8, 23, 64))
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(7)
+    text = " ".join("w%d" % rnd.randint(1, 999) for _ in range(300_000))
+    rows = splitting.split_oversized(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text").select("start_pos", "end_pos", "start_token", "end_token").orderBy("start_pos").collect()
+    assert rows[0].start_pos == 0 and rows[-1].end_pos == len(text)
+    assert all(56 <= a.end_token - b.start_token <= 64 for a, b in zip(rows, rows[1:]))
