@@ -13,38 +13,83 @@ all reported; several runs of an item give its longest one.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 _UNSPACED = frozenset(("ja", "zh", "th"))
-#: Items in one automaton; more are scanned in further passes, so memory is bounded.
+#: Items in one automaton (some 20 KB each in a worker); more are scanned in further passes, so memory is bounded.
 ITEMS_AT_ONCE = 20_000
 
 
-def stream(text: str) -> str:
-    return _OTHER.sub("", unicodedata.normalize("NFKC", text).casefold())
+@lru_cache(maxsize=1)
+def _other() -> re.Pattern:
+    """Stretches of anything but letters, marks and numbers below U+10000, as a class of ranges (one table look-up in C)."""
+    ranges: list[list[int]] = []
+    for n in range(0x10000):
+        if unicodedata.category(chr(n))[0] not in "LMN":
+            if ranges and ranges[-1][1] == n - 1:
+                ranges[-1][1] = n
+            else:
+                ranges.append([n, n])
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]+")
+
+
+_ASCII_OTHER = re.compile(r"[^a-z0-9]+")
+_ANY_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
-def stream_offsets(text: str) -> tuple[str, list[int]]:
-    """The stream with the original offset of each of its characters."""
-    out, at = [], []
+def stream(text: str) -> str:
+    if text.isascii():
+        return _ASCII_OTHER.sub("", text.lower())
+    folded = unicodedata.normalize("NFKC", text).casefold()
+    return (_other() if max(folded, default="") < "\U00010000" else _ANY_OTHER).sub("", folded)
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters without a combining class that compose with the one before (Hangul vowels and finals, some vowel signs)."""
+    out = {chr(n) for n in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for n in range(0xC0, 0x1D200):
+        parts = unicodedata.decomposition(chr(n)).split()
+        if len(parts) == 2 and not unicodedata.combining(c := chr(int(parts[1], 16))) and unicodedata.normalize("NFC", chr(n)) == chr(n):
+            out.add(c)
+    return frozenset(out)
+
+
+def _starts(c: str) -> bool:
+    """True if normalisation never joins ``c`` with what stands before it."""
+    if c.isascii():
+        return True
+    first = unicodedata.normalize("NFKD", c)[0]
+    return not unicodedata.combining(first) and first not in _joining()
+
+
+def stream_offsets(text: str) -> tuple[str, list[int], list[int]]:
+    """The stream, and for each of its characters start and end of its stretch in the original.
+
+    The text is taken apart only where normalisation can't join the two sides, so the parts'
+    streams together are that of the whole text.
+    """
+    out, at, to = [], [], []
     i, n = 0, len(text)
     while i < n:
         j = i + 1
-        while j < n and unicodedata.combining(text[j]) or j < n and text[j] in "ﾞﾟ":
+        while j < n and not _starts(text[j]):
             j += 1
         part = stream(text[i:j])
         out.append(part)
         at.extend([i] * len(part))
+        to.extend([j] * len(part))
         i = j
-    return "".join(out), at
+    return "".join(out), at, to
 
 
 class Passages:
@@ -102,59 +147,57 @@ class Passages:
         if not hits:
             return {}
         best: dict[int, tuple[int, int, int]] = {}
-        seen: set[tuple[int, int]] = set()
-        full, at = stream_offsets(text)
-        if full != s:  # composition across the cuts of the slow way: fall back to equal offsets of the fast one
-            full, at = s, list(range(len(s)))
-            exact = False
-        else:
-            exact = True
+        done: dict[tuple[int, int], int] = {}  # of each passage and diagonal: how far it was grown
+        full, at, to = stream_offsets(text)
+        assert full == s
         for pos, k, a in sorted(hits):
-            p = self.streams[k]
-            if any(d == pos - a and k2 == k and lo <= pos < hi for k2, d, lo, hi in seen):
+            if pos < done.get((k, pos - a), -1):
                 continue
+            p = self.streams[k]
             i, j = pos, a
             while i > 0 and j > 0 and s[i - 1] == p[j - 1]:
                 i, j = i - 1, j - 1
             x, y = pos, a
             while x < len(s) and y < len(p) and s[x] == p[y]:
                 x, y = x + 1, y + 1
-            seen.add((k, pos - a, i, x))
+            done[k, pos - a] = x
             ends = self.bounds[k]
             if ends is None:
                 size, lo, hi = y - j, i, x
             else:
                 first, last = bisect_left(ends, j), bisect_right(ends, y) - 1
                 # the outer words must be whole words of the text too
-                while exact and first < last and not _edge(text, at, i + ends[first] - j):
+                while first < last and not _edge(at, to, i + ends[first] - j):
                     first += 1
-                while exact and first < last and not _edge(text, at, i + ends[last] - j):
+                while first < last and not _edge(at, to, i + ends[last] - j):
                     last -= 1
                 size, lo, hi = last - first, i + ends[first] - j, i + ends[last] - j
             if size >= (self.letters if ends is None else self.words) and size > best.get(k, (0,))[0]:
-                best[k] = (size, at[lo], at[hi - 1] + 1)
+                best[k] = (size, at[lo], to[hi - 1])
         return {item: found for k, found in best.items() for item in self.ids[k]}
 
 
-def _edge(text: str, at: list[int], n: int) -> bool:
-    """True if a word of the text begins at its n-th streamed character."""
-    return n <= 0 or n >= len(at) or at[n] - at[n - 1] > 1
+def _edge(at: list[int], to: list[int], n: int) -> bool:
+    """True if a word of the text begins at its n-th streamed character: something unstreamed stands before it."""
+    return n <= 0 or n >= len(at) or at[n] > to[n - 1]
 
 
 def leaked(docs: DataFrame, key: str, text: str, items: list[tuple[int, str, str]], words: int = 20, letters: int = 60) -> DataFrame:
-    """key, item_id, run_length, start_pos, end_pos of each document holding a passage's run. One scan, no shuffle."""
+    """key, item_id, run_length, start_pos, end_pos of each document holding a passage's run. One scan, no shuffle; the items are broadcast (as many at once as ``ITEMS_AT_ONCE``)."""
     kind = docs.schema[key].dataType.simpleString()
+    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    schema = pa.schema([("key", arrow_key), ("item_id", pa.int64()), ("run_length", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null and text <> ''")
     out = None
     for lo in range(0, max(1, len(items)), ITEMS_AT_ONCE):
-        block = items[lo : lo + ITEMS_AT_ONCE]
+        block = docs.sparkSession.sparkContext.broadcast(items[lo : lo + ITEMS_AT_ONCE])
 
-        def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            passages = Passages(block, words, letters)
-            for frame in frames:
-                rows = [(k, item, *found) for k, t in zip(frame["key"], frame["text"], strict=True) for item, found in passages.runs(t).items()]
-                yield pd.DataFrame(rows, columns=["key", "item_id", "run_length", "start_pos", "end_pos"])
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            passages = Passages(block.value, words, letters)
+            for batch in batches:
+                rows = [(k, item, *found) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item, found in passages.runs(t).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-        part = docs.mapInPandas(run, f"key {kind}, item_id long, run_length int, start_pos int, end_pos int")
+        part = docs.mapInArrow(run, f"key {kind}, item_id long, run_length int, start_pos int, end_pos int")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("key", key)

@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from foliolake.llm import leakage
 
 
@@ -41,3 +44,27 @@ def test_offsets():
     assert size == 25 and text[a:b].startswith("WORD3") and text[a:b].endswith("WORD27")
     # a part of a word is no word: 19 whole words and half of another
     assert not p.runs("xx " + "Z" + " ".join(f"word{i}" for i in range(4, 24))[1:] + "9")
+
+
+def test_composition_across_cuts():
+    hangul = "\u1112\u1161\u11ab\u1100\u1173\u11af " * 3  # decomposed: the stream composes it
+    p = leakage.Passages([(1, "en", " ".join(f"word{i}" for i in range(30)))])
+    assert not p.runs(hangul + "xx " + "Z" + " ".join(f"word{i}" for i in range(4, 24))[1:] + "9")
+    text = hangul + "cafe\u0301 x. " + ", ".join(f"word{i}" for i in range(3, 28)) + " end"
+    size, a, b = p.runs(text)[1]
+    assert size == 25 and text[a:b].startswith("word3,") and text[a:b].endswith("word27")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aé\u0301\u0323\u1100\u1161\u11a8가\u09c7\u09be ﾊﾞﬁ²Ⅳ.ก็า\u0e33", max_size=40))
+def test_offsets_are_exact(text):
+    s, at, to = leakage.stream_offsets(text)
+    assert s == leakage.stream(text)
+    assert all(a < b for a, b in zip(at, to)) and at == sorted(at)
+
+
+def test_more_items_than_one_automaton(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 2)
+    items = [(i, "en", " ".join(f"w{i}x{k}" for k in range(25))) for i in range(5)]
+    df = spark.createDataFrame([(i, it[2]) for i, it in enumerate(items)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked(df, "doc_id", "text", items).collect()} == {(i, i) for i in range(5)}
