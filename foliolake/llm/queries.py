@@ -97,7 +97,7 @@ def p5_found(spark, sf_dir):
         titles = F.broadcast(titles)
     pages = wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "translated_text").join(titles, "project_id", "left")
     seen = checkpointed(alignment.units(pages, alignment.fit_on(pages)))
-    return alignment.aligned(seen, alignment.fit_lexicon_on(seen)).distinct()
+    return alignment.aligned(seen, alignment.fit_lexicon_on(seen))
 
 
 def language_decisions(spark, sf_dir):
@@ -106,7 +106,7 @@ def language_decisions(spark, sf_dir):
     codes, langs = naivebayes.label_codes(rows), [r[0] for r in rows]
     pages, projects = titled_pages(spark, sf_dir), table(spark, sf_dir, "projects")
     model = sentences.fit_on(pages)
-    sample = bounded_sample(pages.filter("ocr_text is not null").select("page_id", F.substring("ocr_text", 1, 20_000).alias("t"), "title", "page_number", "detected_language"), "page_id", languages.SAMPLE_PAGES)
+    sample = bounded_sample(pages.select("page_id", F.col("ocr_text").alias("t"), "title", "page_number", "detected_language"), "page_id", languages.SAMPLE_PAGES).filter(F.length("t") <= sentences.FIT_CHARS)
     nb = spark.sparkContext.broadcast(languages.fit_languages([(r.t, r.title, r.page_number, r.detected_language) for r in sample.collect()], langs, codes))
     seen = checkpointed(languages.evidence(pages, model, nb))
     few = projects.count() <= noise.BROADCAST_TITLES
@@ -127,7 +127,7 @@ def p6_found(spark, sf_dir):
 def p7_found(spark, sf_dir):
     """Starts of the sentences, headings and list items of every page."""
     pages = titled_pages(spark, sf_dir)
-    return sentences.unit_starts(pages, sentences.fit_on(pages)).select("page_id", "start_pos").distinct()
+    return sentences.unit_starts(pages, sentences.fit_on(pages)).select("page_id", "start_pos")
 
 
 def p7_units(spark, sf_dir):

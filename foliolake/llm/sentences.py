@@ -27,7 +27,8 @@ from collections.abc import Iterable
 from foliolake.llm import pagetext
 
 ORDER = 7
-SAMPLE_PAGES = 6_000
+#: Pages whose units fit the model, and the longest text (in characters) among them.
+SAMPLE_PAGES, FIT_CHARS = 6_000, 20_000
 #: Stretches of gaps whose model scores a worker keeps.
 CACHE = 40_000
 _UN = "぀-ヿ㐀-鿿豈-﫿々〆〇ｦ-ﾟ"
@@ -69,27 +70,30 @@ class Model:
             for i in range(1, len(line)):
                 for k in range(max(0, i - ORDER + 1), i + 1):
                     follow[line[k:i]][line[i]] += n
-        self.ctx: dict[tuple[str, ...], tuple[float, float, dict[str, int]]] = {}
-        for h, c in follow.items():
-            total = sum(c.values())
+        self.size = max(1000, len(follow.get((), ())))
+        #: context -> (log of what is left to the shorter context, symbol -> log-probability); both interpolated already
+        self.ctx: dict[tuple[str, ...], tuple[float, dict[str, float]]] = {}
+        for h in sorted(follow, key=len):
+            c = follow[h]
+            total, types = sum(c.values()), len(c)
             if len(h) > 2 and total < 2:
                 continue
-            self.ctx[h] = (total, len(c), dict(c))
-        self.size = max(1000, len(self.ctx.get((), (0, 0, {}))[2]))
+            rest = math.log(types / (total + types))
+            self.ctx[h] = rest, {x: math.log((n + types * math.exp(self.lp(x, h[1:]) if h else -math.log(self.size))) / (total + types)) for x, n in c.items()}
         self.cache: dict = {}
 
-    def p(self, sym: str, hist: tuple[str, ...]) -> float:
-        p = 1.0 / self.size
-        n = len(hist)
-        for k in range(n, max(-1, n - ORDER), -1):
-            found = self.ctx.get(hist[k:])
-            if found is None:
-                if k < n:
-                    break
-                continue
-            total, types, c = found
-            p = (c.get(sym, 0) + types * p) / (total + types)
-        return p
+    def lp(self, sym: str, hist: tuple[str, ...]) -> float:
+        """Log-probability of a symbol after the last symbols (fewer than ``ORDER``)."""
+        left = 0.0
+        get = self.ctx.get
+        for k in range(len(hist) + 1):
+            found = get(hist[k:])
+            if found is not None:
+                p = found[1].get(sym)
+                if p is not None:
+                    return left + p
+                left += found[0]
+        return left - math.log(self.size)
 
     def spans(self, window: tuple[str, ...], gaps: tuple[int, ...]) -> list[list[float]]:
         """seg[a][b]: log-probability of the stretch between the chosen boundaries a and b.
@@ -100,7 +104,7 @@ class Model:
         key = (window, gaps)
         if (found := self.cache.get(key)) is not None:
             return found
-        lp = lambda s, h: math.log(self.p(s, h))
+        lp = self.lp
         edges = [0, *gaps, len(window)]
         first = gaps[0]
         seg = []
@@ -171,7 +175,7 @@ ALWAYS, BLANK, SHORT, FULL, AFTER_HEADING, NEVER = 30.0, 9.0, 6.0, -1.0, 8.0, -3
 class Segmenter:
     def __init__(self, model: Model, threshold: float = 0.5):
         self.model, self.threshold = model, threshold
-        self.vocabulary = model.ctx.get((), (0, 0, {}))[2]
+        self.vocabulary = model.ctx.get((), (0.0, {}))[1]
 
     def units(self, text: str, kinds: list[str | None], wrapped: bool | None = None) -> list[tuple[int, int]]:
         """(start, end) of each unit."""
@@ -409,8 +413,8 @@ def fit_on(pages, rows: int = SAMPLE_PAGES, text: str = "ocr_text"):
 
     from foliolake.session import bounded_sample
 
-    slim = pages.select("page_id", F.substring(text, 1, 20_000).alias("t"), "title", "page_number").filter("t is not null")
-    found = [tuple(r) for r in bounded_sample(slim, "page_id", rows).select("t", "title", "page_number").collect()]
+    slim = bounded_sample(pages.select("page_id", F.col(text).alias("t"), "title", "page_number"), "page_id", rows)
+    found = [tuple(r) for r in slim.filter(F.length("t") <= FIT_CHARS).select("t", "title", "page_number").collect()]
     return pages.sparkSession.sparkContext.broadcast(fit_model(found))
 
 

@@ -212,14 +212,14 @@ def test_lexicon_of_all_pages(spark):
         pages.append((i, lang, [0, 20, 40], [" ".join(s) for s in src], [0, 20, 40], [" ".join(w if w.isdigit() else word(w) for w in s) for s in src]))
     seen = spark.createDataFrame(pages, "page_id long, target string, a_starts array<int>, a array<string>, b_starts array<int>, b array<string>")
     lexicon = alignment.fit_lexicon_on(seen).value
-    assert {t: max(s, key=s.get) for t, s in lexicon.table["yy"].items()} == {v: k for k, v in rare.items()}
+    assert {t: max(s, key=s.get) for t, s in lexicon.rows("yy").items()} == {v: k for k, v in rare.items()}
     # every page is counted: the background is that of all sentences
     words = [w for p in pages if p[1] == "xx" for s in p[5] for w in s.split() if not w.isdigit()]
     assert lexicon.background["xx"] == pytest.approx({w: words.count(w) / len(words) for w in set(words)})
     local = alignment.fit_lexicon([(p[3], p[5], p[1]) for p in pages])
-    assert lexicon.table["xx"]["xpump"] == pytest.approx(local.table["xx"]["xpump"])
+    assert lexicon.rows("xx")["xpump"] == pytest.approx(local.rows("xx")["xpump"])
     assert alignment.aligned(seen, alignment.fit_lexicon_on(seen)).count() == 3 * 1_900
-    assert alignment.fit_lexicon_on(seen.limit(0)).value.table == {}
+    assert alignment.fit_lexicon_on(seen.limit(0)).value.packed == {}
 
 
 def test_alignment_reaches_all_sources():
@@ -238,7 +238,8 @@ def test_both_decodings_are_the_same():
         for scale in (1.0, 4.0):
             for _ in range(10):
                 e = rnd.normal(-1.0, scale, (m, sum(min(alignment.SPAN, n - i) for i in range(n))))
-                assert alignment.decode_long(e, n) == alignment.decode(e, n)
+                at = int(rnd.integers(0, n + 1))
+                assert alignment.decode_long(e, n, at) == alignment.decode(e, n, at)
 
 
 def test_pairs_of_unknown_projects(spark, tmp_path):
@@ -256,3 +257,42 @@ def test_pairs_of_unknown_projects(spark, tmp_path):
     rows = [(en(random.Random(i))[0], "en", "Ersetzen Sie die Pumpe.", "de") for i in range(50)] + [("Valve", None, "Ventil", None)]
     model = spark.sparkContext.broadcast(pairs.fit_model(rows, ["en", "de"]))
     assert {(r.rec_id, r.defect) for r in pairs.broken_pairs(queries.text_pairs(spark, str(tmp_path)), model).collect()} >= {(11, "empty"), (12, "copy"), (21, "empty")}
+
+
+def test_merges_of_four_and_thousand_sentences(monkeypatch):
+    rnd = random.Random(17)
+    src = [f"{rnd.choice(PARTS)} Nr. {1000 + i} {rnd.choice(PARTS)}" for i in range(1_000)]
+    # omissions, additions, a moved block and merges of up to four
+    order = [*range(0, 200), *range(600, 700), *range(200, 600), *range(760, 1_000)]
+    tgt, want, at = [], set(), 0
+    while at < len(order):
+        k = rnd.choice((1, 1, 1, 1, 2, 3, 4))
+        span = order[at : at + k]
+        span = span[: next((x for x in range(1, len(span)) if span[x] != span[x - 1] + 1), len(span))]
+        want |= {(i, len(tgt)) for i in span}
+        tgt.append(" ".join(src[i] for i in span))
+        if rnd.random() < 0.03:
+            tgt.append("Nothing of the kind stands in the source.")
+        at += len(span)
+    got = set(alignment.align(src, tgt, "xx", alignment.Lexicon()))
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    monkeypatch.setattr(alignment, "PATH_CELLS", 1_000_000)  # in blocks of 200 targets
+    blocks = set(alignment.align(src, tgt, "xx", alignment.Lexicon()))
+    assert len(blocks & want) >= 0.95 * len(want)
+    fours = {j for j in range(len(tgt)) if sum(y == j for _, y in want) == 4}
+    assert fours and sum({p for p in got if p[1] == j} == {p for p in want if p[1] == j} for j in fours) >= 0.9 * len(fours)
+
+
+def test_lexicon_in_blocks(spark, monkeypatch):
+    rnd = random.Random(18)
+    words = ["remove", "pump", "valve", "spring", "clutch", "clean", "oil"]
+    pages = []
+    for i in range(400):
+        src = [f"{' '.join(rnd.sample(words, 3))} {100 * k + rnd.randint(10, 99)}" for k in range(1, 5)]
+        pages.append((i, "xx", [0] * 4, src, [0] * 4, [" ".join(w if w.isdigit() else "x" + w for w in s.split()) for s in src]))
+    seen = spark.createDataFrame(pages, "page_id long, target string, a_starts array<int>, a array<string>, b_starts array<int>, b array<string>")
+    whole = alignment.fit_lexicon_on(seen).value
+    monkeypatch.setattr(alignment, "BLOCK_PAIRS", 60)
+    parts = alignment.fit_lexicon_on(seen).value
+    best = lambda lex: {t: max(s, key=s.get) for t, s in lex.rows("xx").items()}
+    assert best(parts) == best(whole) == {"x" + w: w for w in words}
