@@ -4,9 +4,10 @@ Text is a sequence of symbols - words in spaced scripts, characters in unspaced
 part codes are one symbol each - with a hidden event between any two: a boundary B or none. One
 interpolated n-gram model (Witten-Bell) gives the probability of symbols and boundaries together.
 At the gaps where a boundary is possible (after closing punctuation, at line breaks, at the spaces
-of scripts without periods) the forward-backward algorithm over all placings of boundaries gives
+of scripts without periods, and within unspaced runs wherever the model has seen units end before
+and begin behind) the forward-backward algorithm over all placings of boundaries gives
 each gap's posterior. Line layout - full and short lines, blank lines, list marks, headings -
-enters as log-odds, as prosody does in spoken text.
+enters as log-odds, as prosody does in spoken text; no gap is decided by it alone.
 
 The model is fitted on the pages themselves: list items and the lines of unwrapped pages are units
 whose limits the layout shows. Headers and page numbers are left out; list marks are no part of a
@@ -34,10 +35,15 @@ CACHE = 40_000
 _UN = "぀-ヿ㐀-鿿豈-﫿々〆〇ｦ-ﾟ"
 _TH = "฀-๿"
 _SYMBOL = re.compile(rf"(?P<code>[A-Z]{{1,2}}[-/]?\d{{1,5}}(?![^\W\d_{_UN}{_TH}]))|(?P<num>\d+(?:[.,]\d+)*)|(?P<un>[{_UN}])|(?P<th>[{_TH}])|(?P<word>[^\W\d_{_UN}{_TH}]+)|(?P<punct>[^\s])")
+_UNSPACED = re.compile(f"[{_UN}]")
 _ENDERS = frozenset(".!?…。！？．‼⁇⁈⁉")
 _CLOSERS = frozenset("\"'”’»」』）)]›“")
 _WIDE_END = frozenset("。！？．」』”")
 B = "\x00"
+#: Part of the units of unspaced scripts that are counted as if their last mark was missing; least probability of an end, and log-odds, of a gap within a run.
+UNMARKED, RUN_END, RUN_ODDS = 0.2, 0.02, -2.0
+#: Gaps of a stretch up to which its placings are tabled and kept; longer stretches are decided in proportion to their length.
+TABLED_GAPS = 12
 
 
 def symbols(text: str, lo: int, hi: int) -> list[tuple[str, int, int, str]]:
@@ -63,7 +69,7 @@ def symbols(text: str, lo: int, hi: int) -> list[tuple[str, int, int, str]]:
 class Model:
     """Interpolated n-gram counts over symbols and B."""
 
-    def __init__(self, units: dict[tuple[str, ...], int]):
+    def __init__(self, units: dict[tuple[str, ...], float]):
         follow: dict[tuple[str, ...], Counter[str]] = defaultdict(Counter)
         for unit, n in units.items():
             line = (B, *unit, B)
@@ -124,8 +130,55 @@ class Model:
             self.cache[key] = seg
         return seg
 
+    def may_end(self, before: str, last: str, first: str) -> bool:
+        """True if units have been seen to end in the first two symbols and to begin with the third."""
+        if first not in self.ctx[(B,)][1]:
+            return False
+        found = self.ctx.get((before, last))
+        return found is not None and found[1].get(B, -99.0) >= math.log(RUN_END)
+
+    def linear(self, window: tuple[str, ...], gaps: tuple[int, ...], odds: list[float]) -> list[float]:
+        """The same posteriors with a work in proportion to the window.
+
+        The model looks back ``ORDER`` - 1 symbols, so a state is the number of symbols since the last
+        boundary, up to the point from which the boundary is out of sight.
+        """
+        free = ORDER - 1
+        first, size = gaps[0], len(window)
+        at = {g: k for k, g in enumerate(gaps)}
+        hist = lambda d, i: window[max(0, i - free) : i] if d == free else (B, *window[i - d : i])
+        states: dict[int, float] = {free: 0.0}
+        steps: list[tuple[dict[int, float], dict[int, float]]] = []  # at each place: log-probabilities of a boundary, of the symbol, by state
+        into: list[float] = []
+        for i in range(first, size):
+            ends: dict[int, float] = {}
+            if i in at:
+                ends = {d: self.lp(B, hist(d, i)) + odds[at[i]] for d in states}
+                states[0] = _sum([states[d] + x for d, x in ends.items()])
+                into.append(states[0])
+            goes = {d: self.lp(window[i], hist(d, i)) for d in states}
+            steps.append((ends, goes))
+            after: dict[int, list[float]] = defaultdict(list)
+            for d, x in goes.items():
+                after[min(d + 1, free)].append(states[d] + x)
+            states = {d: _sum(xs) for d, xs in after.items()}
+        whole = _sum(list(states.values()))
+        back = dict.fromkeys(states, 0.0)
+        out = []
+        for i in range(size - 1, first - 1, -1):
+            ends, goes = steps[i - first]
+            now = {d: x + back[min(d + 1, free)] for d, x in goes.items()}
+            if ends:
+                out.append(math.exp(min(0.0, into.pop() + now[0] - whole)))
+                begun = now[0]
+                now = {d: _sum([now[d], x + begun]) if d in now else x + begun for d, x in ends.items()}
+            back = now
+        return out[::-1]
+
     def posteriors(self, window: tuple[str, ...], gaps: tuple[int, ...], odds: list[float]) -> list[float]:
         """Forward-backward over the placings of boundaries in one stretch of near gaps."""
+        if len(gaps) > TABLED_GAPS:
+            return self.linear(window, gaps, odds)
         seg = self.spans(window, gaps)
         k = len(gaps)
         neg = -1e30
@@ -169,7 +222,7 @@ def page_lines(text: str, kinds: list[str | None]) -> list[Line]:
 _HEADING = re.compile(r"\d{1,2}(?:\.\d{1,2})+\s+\S")
 _ATOM = re.compile(rf"[A-Za-z0-9/.,°²-]+|[^\s]")
 #: Log-odds of the layout (prosody) model.
-ALWAYS, BLANK, SHORT, FULL, AFTER_HEADING, NEVER = 30.0, 9.0, 6.0, -1.0, 8.0, -30.0
+ALWAYS, BLANK, SHORT, FULL, AFTER_HEADING, NEVER = 14.0, 9.0, 6.0, -1.0, 8.0, -14.0
 
 
 class Segmenter:
@@ -277,33 +330,31 @@ class Segmenter:
 
         for i in range(1, len(syms)):
             o = odds_before.get(i)
-            if o is not None and o >= ALWAYS:
-                flush(i)
-                starts.append(i)
-                continue
             a, b = syms[i - 1], syms[i]
             if o is None:
                 if not self._possible(text, syms, i, a, b):
                     continue
-                o = -2.0 if b[3] == "w" and b[0][0].islower() else 0.0
+                run = a[2] == b[1] and a[3] == b[3] == "u"
+                o = RUN_ODDS if run else -2.0 if b[3] == "w" and b[0][0].islower() else 0.0
             elif o < BLANK:
-                # no sentence ends in a comma, few units begin with a small letter: whatever the layout, the words decide
-                if a[0] in ",;:、，；：":
+                # no sentence ends in a comma or begins with one, few units begin with a small letter: whatever the layout, the words decide
+                if a[0] in ",;:、，；：" or b[0] in ",;:、，；：":
                     o = min(o - 4.0, -3.0)
                 elif b[3] == "w" and b[0][0].islower():
                     o = min(o, -2.0)
-            if gaps and (i - gaps[-1] >= ORDER or len(gaps) >= 12):
-                flush(i + ORDER if len(gaps) < 12 else i)
+            if gaps and i - gaps[-1] >= ORDER:
+                flush(i + ORDER)
             gaps.append(i)
             odds.append(o)
         flush(len(syms))
         return starts
 
-    @staticmethod
-    def _possible(text: str, syms: list, i: int, a: tuple, b: tuple) -> bool:
+    def _possible(self, text: str, syms: list, i: int, a: tuple, b: tuple) -> bool:
         """A boundary may stand between two symbols of a line."""
         space = b[1] > a[2]
         if not space:
+            if a[3] == "u" and b[3] == "u":
+                return i > 1 and self.model.may_end(syms[i - 2][0], a[0], b[0])
             return (a[0] in _WIDE_END) and b[3] != "p" or a[0] in "。！？" and b[0] in "「『“"
         if a[3] == "t" or b[3] == "t":
             return b[3] != "p" or b[0] in "\"“"
@@ -339,18 +390,22 @@ def training_units(text: str, kinds: list[str | None]) -> list[tuple[str, ...]]:
         after = lines[n + 1] if n + 1 < len(lines) else None
         alone = after is None or after.blank or after.mark
         if x.mark and alone:
-            out.append(tuple(s[0] for s in symbols(text, x.head, x.end)))
+            item = tuple(s[0] for s in symbols(text, x.head, x.end))
+            # an item of several sentences, where their marks are plain
+            out += rule_units(text, x.head, x.end) if any(c in item[:-1] for c in "。！？") else [item]
         elif x.mark and width:
             m = n + 1
             while m < len(lines) and not lines[m].mark and not lines[m].blank and not lines[m].skip and m - n < 5:
                 m += 1
             if m < len(lines) and lines[m].mark and all(lines[k].size >= 0.7 * width for k in range(n, m - 1)):
-                out.append(tuple(s[0] for k in range(n, m) for s in symbols(text, lines[k].head, lines[k].end)))
+                item = tuple(s[0] for k in range(n, m) for s in symbols(text, lines[k].head, lines[k].end))
+                if not any(c in item[:-1] for c in "。！？"):
+                    out.append(item)
         elif not width:
             out += rule_units(text, x.head, x.end)
         elif _HEADING.match(text, x.head) and x.size <= 40 and (after is None or after.blank):
             out.append(tuple(s[0] for s in symbols(text, x.head, x.end)))
-    return [u for u in out if u and len(u) < 120]
+    return [u for u in out if u]
 
 
 def rule_units(text: str, lo: int, hi: int) -> list[tuple[str, ...]]:
@@ -377,7 +432,8 @@ def rule_units(text: str, lo: int, hi: int) -> list[tuple[str, ...]]:
                 continue
             out.append((start, i))
             start = i
-    out.append((start, len(syms)))
+    if not depth:  # a quotation left open may hide an end
+        out.append((start, len(syms)))
     return [tuple(s[0] for s in syms[a:b]) for a, b in out if b > a]
 
 
@@ -388,7 +444,11 @@ def fit_model(pages: Iterable[tuple[str, str | None, int | None]]) -> Model:
         kinds = pagetext.furniture(text.split("\n"), title, number)
         units.update(training_units(text, kinds))
     # a line that reads like a unit only because it is noisy is rare; it does no harm
-    return Model(units)
+    bare: dict[tuple[str, ...], float] = {}
+    for u, n in units.items():
+        if len(u) > 3 and u[-1] in "。！？" and _UNSPACED.match(u[-2]):
+            bare[u[:-1]] = n * UNMARKED
+    return Model({u: units.get(u, 0) + bare.get(u, 0.0) for u in {**units, **bare}})
 
 
 def page_units(text: str, title: str | None, number: int | None, segmenter: Segmenter) -> list[tuple[int, int]]:

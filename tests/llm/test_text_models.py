@@ -296,3 +296,36 @@ def test_lexicon_in_blocks(spark, monkeypatch):
     parts = alignment.fit_lexicon_on(seen).value
     best = lambda lex: {t: max(s, key=s.get) for t, s in lex.rows("xx").items()}
     assert best(parts) == best(whole) == {"x" + w: w for w in words}
+
+
+def test_unpunctuated_runs_and_long_stretches():
+    import numpy as np
+
+    rnd = random.Random(19)
+    things = {"ja": ["ポンプ", "弁", "軸", "ばね", "管"], "zh": ["水泵", "阀门", "轴", "弹簧", "油管"], "th": ["ปั๊ม", "วาล์ว", "เพลา", "สปริง", "ท่อ"]}
+    patterns = {"ja": ["{a}を外して乾いた場所に置きます。", "次に{a}と{b}を点検します。", "最後に{a}の温度は{n}度です。"], "zh": ["请取下{a}并放在干燥处。", "然后检查{a}和{b}。", "最后{a}的温度为{n}度。"], "th": ["ถอด{a}แล้วเก็บไว้ในที่แห้ง", "จากนั้นตรวจสอบ{a}และ{b}", "สุดท้าย{a}มีอุณหภูมิ{n}องศา"]}
+
+    def one(lang):
+        return rnd.choice(patterns[lang]).format(a=rnd.choice(things[lang]), b=rnd.choice(things[lang]), n=rnd.randint(1, 99))
+
+    pages = ["\n".join(f"- {one(lang)}" for _ in range(6)) for lang in patterns for _ in range(150)]
+    seg = sentences.Segmenter(sentences.fit_model([(t, None, None) for t in pages]))
+    hits = found = total = 0
+    for lang in patterns:
+        for n in (4, 60):  # few sentences, and a stretch of many gaps
+            for _ in range(10):
+                units = [one(lang).rstrip("。") for _ in range(n)]
+                glue = " " if lang == "th" else ""
+                text = glue.join(units)
+                want, at = set(), 0
+                for u in units:
+                    want.add(at)
+                    at += len(u) + len(glue)
+                got = {a for a, _ in sentences.page_units(text, None, None, seg)}
+                hits, found, total = hits + len(got & want), found + len(got), total + len(want)
+    assert hits >= 0.95 * total and hits >= 0.95 * found
+    model = seg.model
+    words = tuple("次にポンプと弁を点検します最後に軸の温度は0度です次に")
+    for gaps in ((4, 9), (3, 4, 5, 6, 7, 14, 20), (2, 15)):
+        odds = [rnd.uniform(-3, 3) for _ in gaps]
+        assert np.allclose(model.linear(words, gaps, odds), model.posteriors(words, gaps, odds))
