@@ -1,12 +1,12 @@
 """Queries of sources, status events and pipelines, with their SQL."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from foliolake.plans import book
-from foliolake.queries import quality
-from foliolake.session import table
+from foliolake.queries import quality, relational
+from foliolake.session import shared_folder, table
 from foliolake.sources import files
 from foliolake.streaming import status
 
@@ -23,6 +23,11 @@ def query(sql=None):
     return add
 
 
+def run_folder(spark):
+    """A folder of its own for one run of a stream, shared by the executors."""
+    return f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+
+
 @query("select user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) as status, max(ts) as since, count(*) as n from events group by 1")
 def latest_status(spark, d):
     return status.latest_status(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
@@ -78,14 +83,16 @@ def event_windows(spark, d):
     return status.windowed_counts(table(spark, d, "events"))
 
 
-@query()
+@query("with s as (select user_id as key, ts, event_id, coalesce(event_type,'') as s, lag(coalesce(event_type,'')) over (partition by user_id order by ts, event_id) as old from events) select key, count(*) filter (old is null or old <> s) as changes, arg_max(s, struct_pack(a := ts, b := event_id)) as status from s group by 1")
 def running_status_stream(spark, d):
-    """Stateful stream over all events, drained once (rows only)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    name = f"running_status_{abs(hash((d, id(spark)))) % 10**9}"
-    stream = status.running_state(status.event_stream(spark, d))
-    out = status.run_once(stream, name, f"{folder}/{name}_{tempfile._get_candidate_names().__next__()}", "update")
-    return out.groupBy("key").agg(F.max("changes").alias("changes"), F.max_by("status", "changes").alias("status"))
+    """Stateful stream over all events, drained once."""
+    return status.rolled_up(status.run_once(status.running_state(status.event_stream(spark, d)), run_folder(spark)))
+
+
+@query(relational.SQL["stuck_pages"])
+def recovered_pages(spark, d):
+    """Stuck pages found by the recovery stream."""
+    return status.recover(status.page_stream(spark, d), F.expr(relational.NOW), run_folder(spark))
 
 
 @query()

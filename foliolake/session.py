@@ -6,6 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes (counted) up to which the small side of a look-up is broadcast, and the parts a hot key is dealt into beyond.
+BROADCAST_BYTES, SALTS = 64 << 20, 32
 
 
 def build_session(app: str = "foliolake", master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,29 +44,49 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. On one machine (local masters) a temporary one serves where it is unset; a cluster without it is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="foliolake-")
 
-    ``spark.checkpoint.dir`` decides the folder; only where it is unset (tests, a laptop) a
-    temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliolake-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def lookup(df: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """``df`` with the columns of ``small``, one row for each ``key``; null where there is none.
+
+    A small side of at most ``BROADCAST_BYTES`` (counted, not guessed) is broadcast and ``df`` stays
+    where it is. A larger one is joined by shuffle, each of its rows repeated for ``SALTS`` salts
+    and the rows of ``df`` dealt over them by a hash of ``by``, so that a key which holds a third of all
+    rows is no one task.
+    """
+    small = small.dropDuplicates([key])
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in small.columns), F.lit(0))
+    if (small.select(size.alias("n")).agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(small), key, "left")
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", F.coalesce(salt, F.lit(0))).join(many, [key, "_salt"], "left").drop("_salt")
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most about ``rows`` rows of ``df``, chosen by a hash of ``key`` (the same rows each time).
 
-    Used only to fit models. The hash threshold is set from the row count, which parquet gives
-    from its footers, so that a fixed amount reaches the driver whatever the table's size; the
-    limit makes the bound strict.
+    Used only to fit models. ``df`` should be a plain scan: the row count then comes from the
+    parquet footers and the hash threshold set from it lets a fixed amount reach the driver
+    whatever the table's size, in one reading of it; the limit makes the bound strict.
     """
-    from pyspark.sql import functions as F
-
-    total = df.count()
+    total = df.select(key).count()
     if total > rows:
         cut = int(rows / total * (1 << 31))
         df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < cut)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Task states and what clients are told.
 TASK_STATES = {"PENDING": "pending", "PROGRESS": "processing", "SUCCESS": "completed", "FAILURE": "failed"}
@@ -51,33 +52,61 @@ def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type",
 
 
 def running_state(events: DataFrame, key: str = "user_id", status: str = "event_type") -> DataFrame:
-    """Stateful: the number of changes and the last status of each key, kept between batches."""
-    schema = "key long, status string, changes long"
+    """Stateful: of each key and day the first and last status and the changes between, kept between batches.
+
+    The state is by (key, day), so a key with a third of all events is spread over its days;
+    ``rolled_up`` puts the days together. Events are put in order within a batch.
+    """
+    schema = "key long, day date, first string, last string, changes long"
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, changes = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for s in rows[status]:
-            changes += s != last
-            last = s
-        state.update((last, int(changes)))
-        yield pd.DataFrame({"key": [k[0]], "status": [last], "changes": [int(changes)]})
+        first, last, changes = state.get if state.exists else (None, None, -1)
+        rows = pd.concat([f[["ts", "event_id", status]] for f in frames]).sort_values(["ts", "event_id"])
+        seen = rows[status].to_numpy()
+        if changes < 0:
+            first, last, changes = seen[0], seen[0], 0
+        changes += int((seen[1:] != seen[:-1]).sum()) + int(seen[0] != last)
+        state.update((first, seen[-1], changes))
+        yield pd.DataFrame({"key": [k[0]], "day": [k[1]], "first": [first], "last": [seen[-1]], "changes": [changes]})
+
+    dated = events.select(F.col(key), F.col("ts").cast("date").alias("day"), "ts", "event_id", F.coalesce(F.col(status), F.lit("")).alias(status))
+    return dated.groupBy(key, "day").applyInPandasWithState(update, schema, "first string, last string, changes long", "update", "NoTimeout")
 
-    return events.groupBy(key).applyInPandasWithState(update, schema, "last string, changes long", "update", "NoTimeout")
 
+def rolled_up(days: DataFrame) -> DataFrame:
+    """key, changes (the first status is one) and last status, from the newest rows of ``running_state``."""
+    newest = days.groupBy("key", "day").agg(F.max_by(F.struct("first", "last", "changes"), "batch").alias("s")).select("key", "day", "s.*")
+    before = F.lag("last").over(Window.partitionBy("key").orderBy("day"))
+    joints = newest.withColumn("joint", F.when(before.isNull() | (before != F.col("first")), 1).otherwise(0))
+    return joints.groupBy("key").agg(F.sum(F.col("changes") + F.col("joint")).alias("changes"), F.max_by("last", "day").alias("status"))
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything available now through a memory sink; for tests and small reports."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
 
+def run_once(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Everything available now, written to tables in a shared folder and read back with the number of its batch.
+
+    A batch that is run again after a failure overwrites its own part, so each counts once.
+    """
 
-def recover(stream: DataFrame, now, path: str, checkpoint: str):
-    """Periodic recovery: stuck pages of each batch are written for requeueing."""
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+def recover(stream: DataFrame, now, folder: str) -> DataFrame:
+    """Periodic recovery: the stuck pages of each batch, as they are to be queued again."""
     from foliolake.operators.relational import stuck_pages
 
-    def batch(df: DataFrame, _: int) -> None:
-        stuck_pages(df, now).write.mode("append").parquet(path)
+    return run_once(stuck_pages(stream, now), folder, "append").drop("batch")
+
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def page_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
+    """The pages table as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/book_pages.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "book_pages*.parquet").parquet(sf_dir)
