@@ -3,7 +3,8 @@
 First pass, one scan: each page is cut into units, and each unit gets its log-likelihood under every
 language (character n-gram naive Bayes). Grouped aggregation then turns the page likelihoods into
 host priors - the share of each language among the pages of a project, smoothed towards that of
-its user, and that towards the whole - and into the reliability of declared labels. Second pass:
+its user, and that towards the whole - and into the reliability of declared labels and address
+suffixes: the log-odds that they name the language the likelihoods find. Second pass:
 a page's units are decoded together (Viterbi over languages), with the host prior, the declared
 label and the likelihoods as evidence; a page of one language gives one answer, a mixed one its
 longest stretches. Confidence is the posterior of the answer.
@@ -27,8 +28,8 @@ from foliolake.llm import naivebayes, pagetext, sentences
 SAMPLE_PAGES = 3_000
 #: Weight (in pages) of the user's shares in a project's prior, and of the whole in a user's.
 HOST_WEIGHT, USER_WEIGHT = 2.0, 5.0
-#: Log-odds that a declared label, or an address suffix, gives its language.
-DECLARED, SUFFIX = 1.5, 0.5
+#: Most that a declared label or an address suffix may add to its language's log-odds, however reliable they are.
+MOST_ODDS = 3.0
 #: Cost of a change of language between units, and the least a foreign stretch must be better by.
 SWITCH = 5.0
 
@@ -80,16 +81,17 @@ def decode(ll: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> list[in
 # -- Spark ------------------------------------------------------------------------------------------
 
 
-def evidence(pages, model, nb):
-    """First pass: page_id, project_id, declared, suffix, starts, sizes, ll (units x languages, flat), total."""
+def evidence(pages, model, nb, codes):
+    """First pass: page_id, project_id, declared label, the languages (as places in the list, null if none) that label and suffix name, the likeliest one, starts, sizes, ll (units x languages, flat)."""
     import pyarrow as pa
 
-    schema = "page_id long, project_id long, declared string, suffix string, starts array<int>, sizes array<int>, ll array<float>"
-    fields = [("page_id", pa.int64()), ("project_id", pa.int64()), ("declared", pa.string()), ("suffix", pa.string()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ll", pa.list_(pa.float32()))]
+    schema = "page_id long, project_id long, declared string, label int, suffix int, best int, starts array<int>, sizes array<int>, ll array<float>"
+    fields = [("page_id", pa.int64()), ("project_id", pa.int64()), ("declared", pa.string()), ("label", pa.int32()), ("suffix", pa.int32()), ("best", pa.int32()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ll", pa.list_(pa.float32()))]
 
     def run(batches):
         segmenter = sentences.Segmenter(model.value)
         bayes = nb.value
+        index = {c: i for i, c in enumerate(bayes.langs)}
         for batch in sentences.slices(batches):
             rows: list[tuple] = []
             for page, project, label, path, t, title, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -97,7 +99,8 @@ def evidence(pages, model, nb):
                 if not units:
                     continue
                 ll = unit_likelihoods(t, units, bayes)
-                rows.append((page, project, label, suffix_label(path), [a for a, _ in units], [b - a for a, b in units], ll.astype(np.float32).ravel()))
+                named = index.get(naivebayes.normal_label(label, codes)), index.get(codes.get(suffix_label(path) or ""))
+                rows.append((page, project, label, *named, int(ll.sum(axis=0).argmax()), [a for a, _ in units], [b - a for a, b in units], ll.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f) for i, (_, f) in enumerate(fields)], names=[n for n, _ in fields])
 
     return pages.select("page_id", "project_id", "detected_language", "original_image_path", "ocr_text", "title", "page_number").mapInArrow(run, schema)
@@ -108,8 +111,7 @@ def host_priors(seen, projects, langs):
     from pyspark.sql import functions as F
 
     k = len(langs)
-    total = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.aggregate(F.sequence(F.lit(0), F.size("starts") - 1), F.lit(0.0), lambda acc, i: acc + F.element_at("ll", (i * k + j + 1).cast("int"))))
-    votes = seen.select("project_id", F.array_position(t := total, F.array_max(t)).alias("best"))
+    votes = seen.select("project_id", (F.col("best") + 1).alias("best"))
     counts = [F.count_if(F.col("best") == j + 1).alias(f"c{j}") for j in range(k)]
     by_project = votes.groupBy("project_id").agg(*counts)
     by_project = by_project.join(projects.select("project_id", "user_id").dropDuplicates(["project_id"]), "project_id", "left")
@@ -128,24 +130,34 @@ def host_priors(seen, projects, langs):
     return out.select("project_id", F.array(*share).alias("prior"))
 
 
-def decided(seen, priors, langs, codes, few):
+def reliability(seen) -> tuple[float, float]:
+    """Log-odds that declared labels, and address suffixes, name the likeliest language: counts over all pages, one row to the driver."""
+    from pyspark.sql import functions as F
+
+    count = lambda c: (F.count_if(F.col(c) == F.col("best")).alias(f"{c}_hit"), F.count_if(F.col(c) != F.col("best")).alias(f"{c}_miss"))
+    n = seen.agg(*count("label"), *count("suffix")).first()
+    return tuple(min(MOST_ODDS, max(0.0, math.log((n[f"{c}_hit"] + 1) / (n[f"{c}_miss"] + 1)))) for c in ("label", "suffix"))
+
+
+def decided(seen, priors, langs):
     """Second pass: page_id, project_id, declared, segments (start_pos, lang, confidence), main language."""
     import pandas as pd
-    from pyspark.sql import functions as F
 
-    index = {c: i for i, c in enumerate(langs)}
-    joined = seen.join(F.broadcast(priors) if few else priors, "project_id", "left")
+    from foliolake.session import lookup
+
+    odds = reliability(seen)
+    joined = lookup(seen, priors, "project_id", "page_id")
 
     def run(frames):
         for f in frames:
             rows = []
-            for page, project, label, suffix, starts, sizes, flat, prior in zip(*(f[c] for c in ("page_id", "project_id", "declared", "suffix", "starts", "sizes", "ll", "prior")), strict=True):
+            for page, project, label, *named, starts, sizes, flat, prior in zip(*(f[c] for c in ("page_id", "project_id", "declared", "label", "suffix", "starts", "sizes", "ll", "prior")), strict=True):
                 ll = np.asarray(flat, float).reshape(len(starts), len(langs))
                 p = np.maximum(np.asarray(prior, float), -8.0) if prior is not None else np.zeros(len(langs))
-                for lab, odds in ((naivebayes.normal_label(label, codes), DECLARED), (codes.get(suffix or ""), SUFFIX)):
-                    if lab in index:
+                for lab, more in zip(named, odds, strict=True):
+                    if lab is not None and lab == lab:  # not null
                         p = p.copy()
-                        p[index[lab]] += odds
+                        p[int(lab)] += more
                 path = decode(ll, p)
                 weight: Counter[int] = Counter()
                 for k, n in zip(path, sizes, strict=True):

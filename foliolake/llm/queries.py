@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolake.llm import alignment, encoding, languages, leakage, lookalike, naivebayes, noise, pairs, sentences, splitting
-from foliolake.session import bounded_sample, checkpointed, spread, table
-
+from foliolake.session import bounded_sample, checkpointed, lookup, spread, table
 
 
 def wide(spark, sf_dir, name, *columns):
@@ -26,13 +25,12 @@ def records(spark, sf_dir, *columns):
 def text_pairs(spark, sf_dir, boxes=None, cells=None):
     """Boxes and cells with text, translation, the project's target and its source label; these are null where page or project are unknown."""
     projects = table(spark, sf_dir, "projects").select("project_id", F.col("target_language").alias("target"), F.col("source_language").alias("label"))
-    few = projects.count() <= noise.BROADCAST_TITLES
-    to_project = lambda df: df.join(F.broadcast(projects) if few else projects, "project_id", "left")
+    to_project = lambda df, by: lookup(df, projects, "project_id", by)
     boxes = wide(spark, sf_dir, "text_boxes", "box_id", "project_id", "text", "translation") if boxes is None else boxes
     cells = wide(spark, sf_dir, "table_cells", "cell_id", "page_id", "text", "translation") if cells is None else cells
-    page_target = to_project(table(spark, sf_dir, "book_pages").select("page_id", "project_id")).select("page_id", "target", "label")
+    page_target = to_project(table(spark, sf_dir, "book_pages").select("page_id", "project_id"), "page_id").select("page_id", "target", "label")
     some = lambda df: df.filter("text is not null and translation is not null")
-    b = to_project(some(boxes.select("box_id", "project_id", "text", "translation"))).select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "text", "translation", "target", "label")
+    b = to_project(some(boxes.select("box_id", "project_id", "text", "translation")), "box_id").select(F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "text", "translation", "target", "label")
     c = some(cells.select("cell_id", "page_id", "text", "translation")).join(page_target, "page_id", "left").select(F.lit("table_cell").alias("rec_kind"), F.col("cell_id").alias("rec_id"), "text", "translation", "target", "label")
     return b.unionByName(c)
 
@@ -49,7 +47,8 @@ def p1_found(spark, sf_dir):
     codes = naivebayes.label_codes(languages)
     half = pairs.SAMPLE_PAIRS // 2
     boxes, cells = (bounded_sample(table(spark, sf_dir, name), key, half) for name, key in (("text_boxes", "box_id"), ("table_cells", "cell_id")))
-    sample = [(r.text[:4000], naivebayes.normal_label(r.label, codes), r.translation[:4000], r.target) for r in text_pairs(spark, sf_dir, boxes, cells).collect()]
+    short = (F.length("text") <= pairs.FIT_CHARS) & (F.length("translation") <= pairs.FIT_CHARS)
+    sample = [(r.text, naivebayes.normal_label(r.label, codes), r.translation, r.target) for r in text_pairs(spark, sf_dir, boxes, cells).filter(short).collect()]
     model = spark.sparkContext.broadcast(pairs.fit_model(sample, [x[0] for x in languages]))
     return pairs.broken_pairs(text_pairs(spark, sf_dir), model)
 
@@ -59,7 +58,7 @@ def scanned(spark, sf_dir):
     pages = wide(spark, sf_dir, "book_pages", F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "project_id", F.col("ocr_text").alias("text"), F.col("page_number").alias("number"), F.lit(None).cast("int").alias("y"))
     boxes = wide(spark, sf_dir, "text_boxes", F.lit("text_box").alias("rec_kind"), F.col("box_id").alias("rec_id"), "project_id", "text", F.lit(None).cast("int").alias("number"), "y")
     both = pages.unionByName(boxes).filter("text is not null")
-    return noise.with_titles(both, table(spark, sf_dir, "projects"))
+    return noise.with_titles(both, table(spark, sf_dir, "projects"), "rec_id")
 
 
 def p3_found(spark, sf_dir):
@@ -87,15 +86,13 @@ def p4_forms(spark, sf_dir):
 def titled_pages(spark, sf_dir):
     """Pages with their book's title."""
     pages = wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "detected_language", "original_image_path")
-    return noise.with_titles(pages, table(spark, sf_dir, "projects").select("project_id", "title"))
+    return noise.with_titles(pages, table(spark, sf_dir, "projects"), "page_id")
 
 
 def p5_found(spark, sf_dir):
     """Source and target sentences of every page that render each other."""
     titles = table(spark, sf_dir, "projects").select("project_id", "title", F.col("target_language").alias("target"))
-    if titles.count() <= noise.BROADCAST_TITLES:
-        titles = F.broadcast(titles)
-    pages = wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "translated_text").join(titles, "project_id", "left")
+    pages = lookup(wide(spark, sf_dir, "book_pages", "page_id", "project_id", "page_number", "ocr_text", "translated_text"), titles, "project_id", "page_id")
     seen = checkpointed(alignment.units(pages, alignment.fit_on(pages)))
     return alignment.aligned(seen, alignment.fit_lexicon_on(seen))
 
@@ -108,9 +105,8 @@ def language_decisions(spark, sf_dir):
     model = sentences.fit_on(pages)
     sample = bounded_sample(pages.select("page_id", F.col("ocr_text").alias("t"), "title", "page_number", "detected_language"), "page_id", languages.SAMPLE_PAGES).filter(F.length("t") <= sentences.FIT_CHARS)
     nb = spark.sparkContext.broadcast(languages.fit_languages([(r.t, r.title, r.page_number, r.detected_language) for r in sample.collect()], langs, codes))
-    seen = checkpointed(languages.evidence(pages, model, nb))
-    few = projects.count() <= noise.BROADCAST_TITLES
-    return languages.decided(seen, languages.host_priors(seen, projects, langs), langs, codes, few), projects, codes
+    seen = checkpointed(languages.evidence(pages, model, nb, codes))
+    return languages.decided(seen, languages.host_priors(seen, projects, langs), langs), projects, codes
 
 
 def p6_labels(spark, sf_dir):

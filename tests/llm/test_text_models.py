@@ -139,13 +139,24 @@ def test_language_queries_take_nulls(spark):
     nb = spark.sparkContext.broadcast(naivebayes.fit([(en(rnd)[0], "en") for _ in range(50)] + [("Ersetzen Sie die Pumpe.", "de")] * 30 + [("Das Ventil ist warm und trocken.", "de")] * 20, langs))
     model = spark.sparkContext.broadcast(sentences.fit_model([(t, None, None) for t in book(rnd, 20)]))
     projects = spark.createDataFrame([(1, 5, "en"), (2, None, None)], "project_id long, user_id long, source_language string")
-    seen = languages.evidence(pages, model, nb)
     codes = {"en": "en", "de": "de"}
-    d = languages.decided(seen, languages.host_priors(seen, projects, langs), langs, codes, True)
+    seen = languages.evidence(pages, model, nb, codes)
+    d = languages.decided(seen, languages.host_priors(seen, projects, langs), langs)
     rows = languages.mislabelled(d, projects, codes).collect()
     assert [(r.rec_kind, r.rec_id, r.lang) for r in rows] == [("page", 2, "en")]
-    empty = languages.evidence(pages.limit(0), model, nb)
-    assert languages.mislabelled(languages.decided(empty, languages.host_priors(empty, projects, langs), langs, codes, True), projects, codes).count() == 0
+    empty = languages.evidence(pages.limit(0), model, nb, codes)
+    assert languages.mislabelled(languages.decided(empty, languages.host_priors(empty, projects, langs), langs), projects, codes).count() == 0
+    # a short text of both languages goes where reliable labels, or address suffixes, say
+    german = [f"Falls {TEIL[rnd.choice(PARTS)]} {w} macht, ersetzen Sie {TEIL[rnd.choice(PARTS)]}." for w in ("Lärm", "Rauch", "Staub", "Licht") for _ in range(12)]
+    nb = spark.sparkContext.broadcast(naivebayes.fit([(en(rnd)[0], "en") for _ in range(60)] + [(t, "de") for t in german], langs))
+    many = [(i, i, "de" if i % 2 else "en", f"x.{'de' if i % 2 else 'en'}.jpg", "Ersetzen Sie die Pumpe." if i % 2 else "Remove the pump and keep it in a dry place.", None, None) for i in range(40)]
+    for label, path, want in (("de", None, "de"), ("en", None, "en"), (None, "p.de.jpg", "de"), (None, "p.en.jpg", "en")):
+        some = spark.createDataFrame([*many, (99, None, label, path, "Motor", None, None)], pages.schema)
+        seen = languages.evidence(some, model, nb, codes)
+        odds = languages.reliability(seen)
+        assert min(odds) > 2
+        flat = spark.createDataFrame([(99, [0.0, 0.0])], "project_id long, prior array<float>")
+        assert [r.lang for r in languages.decided(seen, flat, langs).filter("page_id = 99").collect()] == [want]
 
 
 def test_noise_and_units_in_spark(spark, corpus):
@@ -329,3 +340,22 @@ def test_unpunctuated_runs_and_long_stretches():
     for gaps in ((4, 9), (3, 4, 5, 6, 7, 14, 20), (2, 15)):
         odds = [rnd.uniform(-3, 3) for _ in gaps]
         assert np.allclose(model.linear(words, gaps, odds), model.posteriors(words, gaps, odds))
+
+
+def test_hot_projects_are_salted(spark, monkeypatch):
+    from foliolake import session
+
+    pages = spark.range(4_000).selectExpr("id as page_id", "if(id % 10 > 0, 1, id) as project_id", "'t' as ocr_text")
+    titles = spark.createDataFrame([(i, f"title {i}") for i in range(0, 4_000, 10)] + [(1, "hot")], "project_id long, title string")
+    want = sorted(noise.with_titles(pages, titles, "page_id").select("page_id", "title").collect())
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = noise.with_titles(pages, titles, "page_id")
+        assert sorted(joined.select("page_id", "title").collect()) == want
+        sizes = sorted(len(x) for x in joined.rdd.glom().collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
