@@ -151,7 +151,7 @@ def test_language_queries_take_nulls(spark):
     nb = spark.sparkContext.broadcast(naivebayes.fit([(en(rnd)[0], "en") for _ in range(60)] + [(t, "de") for t in german], langs))
     many = [(i, i, "de" if i % 2 else "en", f"x.{'de' if i % 2 else 'en'}.jpg", "Ersetzen Sie die Pumpe." if i % 2 else "Remove the pump and keep it in a dry place.", None, None) for i in range(40)]
     for label, path, want in (("de", None, "de"), ("en", None, "en"), (None, "p.de.jpg", "de"), (None, "p.en.jpg", "en")):
-        some = spark.createDataFrame([*many, (99, None, label, path, "Motor", None, None)], pages.schema)
+        some = spark.createDataFrame([*many, (99, None, label, path, "Жщъ", None, None)], pages.schema)
         seen = languages.evidence(some, model, nb, codes)
         odds = languages.reliability(seen)
         assert min(odds) > 2
