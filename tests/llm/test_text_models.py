@@ -359,3 +359,20 @@ def test_hot_projects_are_salted(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_refusals_in_other_wordings():
+    rnd = random.Random(20)
+    rows = [(f"Falls {TEIL[rnd.choice(PARTS)]} {rnd.randint(1, 99)} Lärm macht, ersetzen Sie {TEIL[rnd.choice(PARTS)]}.", "de", en(rnd)[0], "en") for _ in range(500)]
+    # right renderings that apologise
+    rows += [("Leider kann der Motor hier nicht repariert werden.", "de", f"Unfortunately, the {rnd.choice(PARTS)} can't be repaired here, see page {rnd.randint(1, 9)}.", "en") for _ in range(60)]
+    starts, cores, ends = ["Sorry, but ", "Regrettably, ", "My apologies: ", ""], ["I cannot translate this text", "I am not able to translate such content", "this request can't be completed as it breaks the rules", "I must decline this request"], [".", " because the image is unreadable.", "; please send more context."]
+    rows += [("Die Pumpe ist warm.", "de", rnd.choice(starts) + rnd.choice(cores) + rnd.choice(ends), "en") for _ in range(60)]
+    m = pairs.fit_model(rows, ["en", "de"])
+    src = "Falls die Pumpe Lärm macht, ersetzen Sie das Ventil."
+    unlisted = ["Regrettably, such content breaks the rules.", "Sorry, but the image is unreadable, please send another.", "Regrettably, this can't be completed because the image is unreadable."]
+    assert not any(pairs.refuses(t, "en") for t in unlisted)
+    assert [d for d, _ in m.defects([src] * 3, unlisted, ["en"] * 3)] == ["refusal"] * 3
+    assert m.defects([src], ["Unfortunately, the pump can't be repaired here."], ["en"])[0][0] is None
+    # in the source's language, and quoting a number of the text
+    assert m.defects(["Falls die Pumpe 17 Lärm macht, ersetzen Sie das Ventil."], ["Sorry, but I am not able to translate such content (17)."], ["en"])[0][0] == "refusal"
