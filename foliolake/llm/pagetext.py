@@ -2,13 +2,18 @@
 
 Furniture (headers and page numbers) is told by page-position features: how much of the line is
 the book's title, the form of a number, whether it is the page's own number, and where the line
-stands - first, last, or at a break within the page next to other furniture.
+stands - first, last, or at a break within the page next to other furniture. ``furniture`` weighs
+them by hand; ``Furniture`` learns their weights (averaged perceptron) from the pages, taking as
+examples the lines of which the hand rule, or the place, leaves no doubt.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
+from collections import defaultdict
+from collections.abc import Iterable
 from functools import lru_cache
 
 HEADER, PAGE_NUMBER = "header", "page_number"
@@ -132,6 +137,117 @@ def furniture(lines: list[str], title: str | None, number: int | None) -> list[s
     return out
 
 
+class Furniture:
+    """Headers and page numbers by learned weights of page-position features; the hand rule where nothing was learned."""
+
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.w = weights or {}
+
+    @staticmethod
+    def _place(solid: list[int], rank: int) -> str:
+        last = len(solid) - 1
+        return "only" if not last else "first" if rank == 0 else "last" if rank == last else "near" if rank in (1, last - 1) else "inner"
+
+    def _header(self, lines: list[str], solid: list[int], rank: int, title: str, number: int | None) -> tuple[list[str], float, float] | None:
+        """(features, errors and length against the title) of a line that shares something with the title."""
+        line = lines[solid[rank]]
+        if len(line) > 4 * len(title) + 24:
+            return None
+        low = line.lower()
+        if not any(g in low for g in _title_grams(title)) and not _SPACED_OUT.match(line):
+            return None
+        a, b = squash(line), squash(title)
+        if len(a) < 3 or len(b) < 3 or len(a) > len(b) + max(2, len(b) // 5):
+            return None
+        if a == b:
+            wrong = 0
+        elif not any(a[i : i + 2] in (b[i : i + 2], b[i + 1 : i + 3]) or a[i + 1 : i + 3] == b[i : i + 2] for i in (0, 1, 2, 3)):
+            return None
+        else:
+            most = max(1, len(a) // 2)
+            wrong = min(distance(a, b[:k], most) for k in {min(len(b), max(1, len(a) + d)) for d in (-1, 0, 1)})
+        errors, cover = wrong / len(a), min(1.2, len(a) / len(b))
+        i = solid[rank]
+        alone = (i == 0 or not lines[i - 1].strip()) + (i + 1 == len(lines) or not lines[i + 1].strip())
+        e, c, place = min(10, int(errors * 20)), int(cover * 10), self._place(solid, rank)
+        digits = re.findall(r"\d+", line)
+        f = [
+            "h:bias", f"h:error:{e}", f"h:cover:{c}", f"h:both:{min(e, 6)}:{c}", f"h:place:{place}", f"h:alone:{alone}", f"h:at:{min(e, 6)}:{place}", f"h:whole:{len(a) >= len(b) - 2}:{min(e, 6)}",
+            f"h:end:{_sentence_part(lines, solid, rank)}", f"h:number:{bool(digits)}:{number is not None and str(number) in digits}", f"h:letters:{min(8, len(a))}:{min(e, 2)}", f"h:spaced:{_SPACED_OUT.match(line) is not None}",
+        ]
+        return f, errors, cover
+
+    def _number(self, lines: list[str], solid: list[int], rank: int, number: int | None, headers: set[int]) -> tuple[list[str], bool, bool] | None:
+        """(features, whether it is surely the page's number, whether it surely isn't) of a line that has a number's form."""
+        i = solid[rank]
+        found = page_number(lines[i]) if len(lines[i]) <= 16 else None
+        if not found:
+            return None
+        n, decorated = found
+        digits = n.translate(_DIGITS) if any(c.isdigit() for c in n) else ""
+        value = int(digits) if digits.isdigit() else _unroman(n) if not digits else None
+        roman = not digits and _ROMAN.fullmatch(n) is not None and (len(n) > 1 or n in "ivx")
+        off = min(5, abs(value - number)) if number is not None and value is not None else 6
+        place = self._place(solid, rank)
+        edge = place in ("only", "first", "last") or place == "near" and (solid[0] in headers or solid[-1] in headers)
+        alone = (i == 0 or not lines[i - 1].strip()) + (i + 1 == len(lines) or not lines[i + 1].strip())
+        f = ["n:bias", f"n:form:{decorated}:{roman}", f"n:off:{off}", f"n:place:{place}", f"n:edge:{edge}", f"n:alone:{alone}", f"n:at:{edge}:{min(off, 3)}", f"n:letters:{not digits}:{edge}"]
+        return f, decorated or off <= 2 or roman or edge, off > 2 and not decorated and not roman and not edge
+
+    def fit(self, pages: Iterable[tuple[str, str | None, int | None]], rounds: int = 6, seed: int = 3) -> Furniture:
+        """From (text, title, page number); doubtful lines are left out."""
+        examples: list[tuple[list[str], bool]] = []
+        for text, title, number in pages:
+            lines = text.split("\n")
+            solid = [i for i, x in enumerate(lines) if x and not x.isspace()]
+            headers = set()
+            for rank, i in enumerate(solid):
+                if title and (found := self._header(lines, solid, rank, title, number)):
+                    f, errors, cover = found
+                    sure = is_header(lines[i], title) and not _sentence_part(lines, solid, rank)
+                    if sure:
+                        headers.add(i)
+                    if sure and (errors <= 0.2 or self._place(solid, rank) != "inner") or not sure and (errors > 0.3 or cover < 0.4 or _sentence_part(lines, solid, rank)):
+                        examples.append((f, sure))
+                if found := self._number(lines, solid, rank, number, headers):
+                    f, sure, surely_not = found
+                    if sure or surely_not:
+                        examples.append((f, sure))
+        rnd = random.Random(seed)
+        w: dict[str, float] = defaultdict(float)
+        total: dict[str, float] = defaultdict(float)
+        step = 1
+        for _ in range(rounds):
+            rnd.shuffle(examples)
+            for f, yes in examples:
+                step += 1
+                score = sum(w[x] for x in f)
+                if (score <= 1) if yes else (score >= -1):
+                    for x in f:
+                        w[x] += 1.0 if yes else -1.0
+                        total[x] += (1.0 if yes else -1.0) * step
+        return Furniture({x: v - total[x] / step for x, v in w.items()})
+
+    def __call__(self, lines: list[str], title: str | None, number: int | None) -> list[str | None]:
+        """For each line of a page: header, page_number or None."""
+        if not self.w:
+            return furniture(lines, title, number)
+        out: list[str | None] = [None] * len(lines)
+        solid = [i for i, x in enumerate(lines) if x and not x.isspace()]
+        score = lambda f: sum(self.w.get(x, 0.0) for x in f)
+        numbers = [rank for rank, i in enumerate(solid) if len(lines[i]) <= 16 and page_number(lines[i])]
+        if title:
+            plain = set(range(len(solid))) - set(numbers)
+            for rank in sorted(plain):
+                if (found := self._header(lines, solid, rank, title, number)) and score(found[0]) > 0:
+                    out[solid[rank]] = HEADER
+        headers = {i for i in solid if out[i]}
+        for rank in numbers:
+            if score(self._number(lines, solid, rank, number, headers)[0]) > 0:
+                out[solid[rank]] = PAGE_NUMBER
+        return out
+
+
 def _sentence_part(lines: list[str], solid: list[int], rank: int) -> bool:
     """True if a title-like line reads on as part of a sentence (its line ends like one)."""
     line = lines[solid[rank]].rstrip()

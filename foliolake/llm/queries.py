@@ -63,13 +63,13 @@ def scanned(spark, sf_dir):
 
 def p3_found(spark, sf_dir):
     """Noisy lines of pages and boxes. Boxes delivered twice give the same few rows, made distinct at the end."""
-    editor = noise.fit_on(table(spark, sf_dir, "book_pages"))
+    editor = noise.fit_on(table(spark, sf_dir, "book_pages"), table(spark, sf_dir, "projects"))
     return noise.find_noise(scanned(spark, sf_dir), editor).distinct()
 
 
 def p3_repaired(spark, sf_dir):
     """Pages and boxes as continuous paragraphs."""
-    editor = noise.fit_on(table(spark, sf_dir, "book_pages"))
+    editor = noise.fit_on(table(spark, sf_dir, "book_pages"), table(spark, sf_dir, "projects"))
     return noise.repaired(scanned(spark, sf_dir), editor).distinct()
 
 
