@@ -29,16 +29,15 @@ def paragraphs(c: Column) -> Column:
 
 
 def word_wrap(c: Column, width: float, font_size: float) -> Column:
-    """Greedy wrapping to a budget of characters (width over 0.6 font sizes); longer words keep a line of their own."""
-    most = int(width / (font_size * 0.6))
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = F.length(last) + 1 + F.length(w) <= most
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), w)))).otherwise(F.concat(acc, F.array(w)))
-
-    return F.aggregate(words, F.array().cast("array<string>"), step)
+    """Greedy wrapping to a budget of characters (width over 0.6 font sizes); longer words keep a line of their own.
+
+    With single spaces a line is the longest stretch of at most that many characters that ends
+    before a space: one regular expression, in proportion to the text.
+    """
+    most = max(1, int(width / (font_size * 0.6)))
+    line = r"(?s)\S(?= |$)" if most == 1 else rf"(?s)\S(?:.{{0,{most - 2}}}\S)?(?= |$)"
+    words = strip(F.regexp_replace(c, r"\s+", " "))
+    return F.regexp_extract_all(words, F.lit(rf"{line}|\S+"), 0)
 
 
 def fixed_chunks(c: Column, size: int = 80, most: int | None = None) -> Column:

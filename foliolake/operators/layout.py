@@ -32,9 +32,13 @@ def strip(c: Column) -> Column:
 # -- filters ----------------------------------------------------------------------------------------
 
 
-def confident(boxes: DataFrame, least: int = 30) -> DataFrame:
-    """Boxes with more than ``least`` confidence (null is none) and some text."""
-    return boxes.filter((F.col("confidence") > least) & (strip(F.col("text")) != ""))
+def confident(boxes: DataFrame, least: int = 30, inclusive: bool = False, within: tuple[int, int] | None = None, smallest: int = 3) -> DataFrame:
+    """Boxes with more than ``least`` confidence (at least so much if ``inclusive``; null is none) and some text; with ``within`` those larger than ``smallest`` and smaller than it both ways."""
+    c = F.col("confidence")
+    some = boxes.filter((c >= least if inclusive else c > least) & (strip(F.col("text")) != ""))
+    if within is not None:
+        some = some.filter((F.col("w") > smallest) & (F.col("w") < within[0]) & (F.col("h") > smallest) & (F.col("h") < within[1]))
+    return some
 
 
 def denormalize(boxes: DataFrame, w: int, h: int) -> DataFrame:
@@ -59,6 +63,12 @@ def vertical_text(boxes: DataFrame) -> DataFrame:
     return boxes.select("page_id", "box_id", (F.col("h") > F.col("w") * 1.6).alias("vertical"), size.alias("font_size"))
 
 
+def label_font(h: Column, scale: float, chart: bool) -> Column:
+    """Font size of a label on a diagram or chart: a part of its height, within bounds (fixed values)."""
+    part, least = (0.7, 4) if chart else (0.6, 6)
+    return F.greatest(F.lit(least), F.least((h * F.lit(part) * F.lit(scale)).cast("int"), F.lit(10)))
+
+
 def sized_regions(boxes: DataFrame, w: int = PAGE_W, h: int = PAGE_H) -> DataFrame:
     return boxes.filter(f"w > 30 and h > 20 and w < {w} * 0.95D and h < {h} * 0.95D")
 
@@ -302,13 +312,17 @@ def merge_sections(sections: DataFrame, gap: int = 300, short: int | None = 80)
     sec = "struct<section_type:string,y_start:int,y_end:int>"
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+        last = acc["last"]
         diagrams = (last["section_type"] == "diagram") & (s["section_type"] == "diagram") & (s["y_start"] - last["y_end"] < gap)
         absorbs = F.lit(False) if short is None else (last["section_type"] == "diagram") & (s["section_type"] == "text") & (s["y_end"] - s["y_start"] < short)
         own = F.struct(s["section_type"].alias("section_type"), s["y_start"].alias("y_start"), s["y_end"].alias("y_end"))
         end = F.when(diagrams, F.greatest(last["y_end"], s["y_end"])).otherwise(s["y_end"])
         grown = F.struct(last["section_type"].alias("section_type"), last["y_start"].alias("y_start"), end.alias("y_end"))
-        return F.when(F.coalesce(diagrams | absorbs, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(own)))
+        joins = F.coalesce(diagrams | absorbs, F.lit(False))
+        closed = F.when(joins | last.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(last)))
+        return F.struct(closed.alias("out"), F.when(joins, grown).otherwise(own).alias("last"))
 
+    start = F.struct(F.array().cast(f"array<{sec}>").alias("out"), F.lit(None).cast(sec).alias("last"))
+    merged = F.aggregate("ss", start, step, lambda acc: F.concat(acc["out"], F.array(acc["last"])))
     ordered = sections.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", "section_type", "y_start", "y_end"))).alias("ss"))
-    return ordered.select("page_id", F.posexplode(F.aggregate("ss", F.array().cast(f"array<{sec}>"), step)).alias("n", "s")).select("page_id", "n", "s.*")
+    return ordered.select("page_id", F.posexplode(merged).alias("n", "s")).select("page_id", "n", "s.*")

@@ -84,8 +84,26 @@ def walk(body: str | None, spec: Spec) -> Iterator[tuple[str, list[tuple[str, in
         stack.extend(reversed(below))
 
 
-def _payload(node: dict, members: Spec) -> str:
-    return json.dumps({k: v for k, v in node.items() if k not in ("tables", "cells", "annotations", "children")}, ensure_ascii=False)
+def _names(spec: Spec) -> set[str]:
+    """All members that have rows of their own."""
+    out = set(spec)
+    for _, deeper in spec.values():
+        if deeper != "*":
+            out |= _names(deeper)
+    return out
+
+
+def _payload(node: dict, nested: set[str]) -> str:
+    """The node's own values, those of inner objects and lists under dotted names; what has rows of its own is left out."""
+    out: dict[str, object] = {}
+    stack = [(k, v) for k, v in node.items() if k not in nested]
+    while stack:
+        name, v = stack.pop()
+        if isinstance(v, (dict, list)):
+            stack += [(f"{name}.{k}", x) for k, x in (v.items() if isinstance(v, dict) else enumerate(v))]
+        else:
+            out[name] = v
+    return json.dumps(out, ensure_ascii=False)
 
 
 def _path(label: Column) -> Column:
@@ -100,6 +118,7 @@ def dewey_nodes(df: DataFrame, key: str, body: str, spec: Spec = PAGE_ARTIFACTS,
     """
     kind_of = df.schema[key].dataType.simpleString()
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_of]
+    nested = _names(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("key", arrow_key), ("node_kind", pa.string()), ("label", pa.list_(_STEP))] + [("payload", pa.string())] * payload
@@ -121,7 +140,7 @@ def dewey_nodes(df: DataFrame, key: str, body: str, spec: Spec = PAGE_ARTIFACTS,
                         ords.append(i)
                     ends.append(len(members))
                     if payload:
-                        loads.append(_payload(node, spec))
+                        loads.append(_payload(node, nested))
                 if len(keys) >= 20_000:
                     yield out(keys, kinds, members, ords, ends, loads)
                     keys, kinds, members, ords, ends, loads = [], [], [], [], [0], []
@@ -142,9 +161,26 @@ def dewey_nodes(df: DataFrame, key: str, body: str, spec: Spec = PAGE_ARTIFACTS,
     )
 
 
-def related_tables(df: DataFrame, key: str, body: str, spec: Spec = PAGE_ARTIFACTS) -> dict[str, DataFrame]:
-    """The nodes grouped by kind into flat tables; each row keeps (key, node_path) and its parent's path."""
-    nodes = dewey_nodes(df, key, body, spec, payload=True)
+_BOX = [(c, "int", (f"bbox.{c}", f"bbox.{i}")) for i, c in enumerate("xywh")]
+#: Columns of each kind's table beside its keys: name, type and the members it may come from (fixed values, the first that is there counts).
+COLUMNS: dict[str, list[tuple[str, str, tuple[str, ...]]]] = {
+    "table": [("table_key", "string", ("id",)), ("table_type", "string", ("type",)), ("rows", "int", ("rows",)), ("cols", "int", ("cols",)), *_BOX],
+    "cell": [("row_idx", "int", ("row",)), ("col_idx", "int", ("col",)), ("text", "string", ("text",)), ("translation", "string", ("translation",)), ("row_span", "int", ("row_span",)), ("col_span", "int", ("col_span",))],
+    "rendering": [("diagram_key", "string", ("diagram_id",)), ("mode", "string", ("mode",)), *_BOX],
+    "annotation": [*[(c, "int", (c,)) for c in "xywh"], ("original", "string", ("original",)), ("text", "string", ("text",)), ("mode", "string", ("mode",))],
+}
+
+
+def related_tables(df: DataFrame, key: str, body: str, spec: Spec = PAGE_ARTIFACTS, columns: dict[str, list[tuple[str, str, tuple[str, ...]]]] = COLUMNS) -> dict[str, DataFrame]:
+    """The nodes as one flat table for each kind: (key, node_path), parent_path, schema_path, ordinal, and the kind's own columns.
+
+    The bodies are parsed once (the nodes are written to a reliable checkpoint, of which each table is a
+    filter). A member that is missing, or is no value of the column's type, gives null; numbers
+    written as strings are numbers.
+    """
+    from foliolake.session import checkpointed
+
+    nodes = checkpointed(dewey_nodes(df, key, body, spec, payload=True))
     kinds: dict[str, None] = {}
 
     def collect(members: Spec) -> None:
@@ -154,4 +190,14 @@ def related_tables(df: DataFrame, key: str, body: str, spec: Spec = PAGE_ARTIFAC
                 collect(deeper)
 
     collect(spec)
-    return {kind: nodes.filter(F.col("node_kind") == kind).select(key, "node_path", "parent_path", "schema_path", "payload") for kind in kinds}
+    return {kind: flat(nodes, key, kind, columns.get(kind, [])) for kind in kinds}
+
+
+def flat(nodes: DataFrame, key: str, kind: str, columns: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
+    """The typed table of one kind of ``dewey_nodes`` with payload."""
+    members = [m for _, _, ms in columns for m in ms]
+    some = nodes.filter(F.col("node_kind") == kind)
+    if members:
+        some = some.withColumn("m", F.from_json("payload", ", ".join(f"`{m}` string" for m in dict.fromkeys(members))))
+    typed = [F.coalesce(*[F.col(f"m.`{m}`") if t == "string" else F.col(f"m.`{m}`").try_cast("double").try_cast(t) for m in ms]).alias(name) for name, t, ms in columns]
+    return some.select(key, "node_path", "parent_path", "schema_path", F.element_at("label", -1)["ord"].alias("ordinal"), *typed)

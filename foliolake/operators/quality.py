@@ -43,12 +43,37 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def file_issues(pages: DataFrame) -> DataFrame:
+def file_rules() -> list[Rule]:
     """Missing input or output of finished pages."""
     done = F.col("status").isin("COMPLETED", "NEEDS_REVIEW")
-    return emit(pages, [
+    return [
         (done & blank("original_image_path"), "filesystem", "critical", "missing_input", "Input file missing"),
         (done & blank("output_pdf_path"), "pdf_generation", "critical", "missing_output", "Output file missing"),
+    ]
+
+
+#: Bytes under which an output is suspiciously small (fixed value).
+SMALL_OUTPUT = 1000
+
+
+def file_issues(pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Missing, empty and too small files of finished pages.
+
+    ``files`` (path, length) is what a listing or a ``binaryFile`` source gives; a path that is not
+    among them is missing. Without it only blank paths are told. Files of one path count once, the largest.
+    """
+    if files is None:
+        return emit(pages, file_rules())
+    sizes = files.groupBy("path").agg(F.max("length").alias("length"))
+    done = pages.filter("status in ('COMPLETED', 'NEEDS_REVIEW')").select("page_id", F.explode(F.array(F.struct(F.lit(True).alias("input"), F.col("original_image_path").alias("path")), F.struct(F.lit(False).alias("input"), F.col("output_pdf_path").alias("path")))).alias("f"))
+    known = done.select("page_id", "f.input", "f.path").join(sizes, "path", "left")
+    n = F.col("length")
+    return emit(known, [
+        (F.col("input") & n.isNull(), "filesystem", "critical", "missing_input", "Input file missing"),
+        (F.col("input") & (n == 0), "filesystem", "critical", "empty_input", "Input file empty"),
+        (~F.col("input") & n.isNull(), "pdf_generation", "critical", "missing_output", "Output file missing"),
+        (~F.col("input") & (n == 0), "pdf_generation", "critical", "empty_output", "Output file empty"),
+        (~F.col("input") & (n > 0) & (n < SMALL_OUTPUT), "pdf_generation", "error", "small_output", "Output file too small", n),
     ])
 
 
@@ -62,50 +87,96 @@ def diagram_issues(annotations: DataFrame) -> DataFrame:
     ])
 
 
-def table_issues(cells: DataFrame) -> DataFrame:
-    """Tables: missing cells, many empty cells (of those present), untranslated cells. A table of no size is an error and nothing else."""
-    g = cells.groupBy("page_id", "table_id").agg(
-        (F.max("row_idx") + 1).alias("rows"), (F.max("col_idx") + 1).alias("cols"), F.count("*").alias("k"), F.count_if(blank("text")).alias("empty"), F.count_if(~blank("text") & blank("translation")).alias("open")
-    )
+def table_stats() -> list[Column]:
+    """Aggregates of a table's cells that the table rules read."""
+    return [(F.max("row_idx").cast("long") + 1).alias("rows"), (F.max("col_idx").cast("long") + 1).alias("cols"), F.count("*").alias("k"), F.count_if(blank("text")).alias("empty"), F.count_if(~blank("text") & blank("translation")).alias("open")]
+
+
+def table_rules() -> list[Rule]:
     sized, places = (F.col("rows") > 0) & (F.col("cols") > 0), F.col("rows") * F.col("cols")
-    return emit(g, [
+    return [
         (~sized, "table_agent", "error", "no_size", "Table has no size"),
         (sized & (F.col("k") < places), "table_agent", "error", "missing_cells", "Table lacks cells", places - F.col("k")),
         (sized & (F.col("empty") / F.col("k") > 0.3), "table_agent", "warning", "empty_cells", "Table has many empty cells", F.col("empty")),
         (sized & (F.col("open") > 0), "table_agent", "error", "untranslated", "Table has untranslated cells", F.col("open")),
-    ])
+    ]
 
 
-def chart_issues(charts: DataFrame) -> DataFrame:
-    """Charts (page_id, chart, has_spec, n_values, mark): no spec ends it; no data, no mark."""
+def table_issues(cells: DataFrame) -> DataFrame:
+    """Tables: missing cells, many empty cells (of those present), untranslated cells. A table of no size is an error and nothing else."""
+    return emit(cells.groupBy("page_id", "table_id").agg(*table_stats()), table_rules())
+
+
+def chart_rules() -> list[Rule]:
     spec = F.col("has_spec")
-    return emit(charts, [
+    return [
         (~spec, "chart_agent", "error", "no_spec", "Chart has no spec"),
         (spec & (F.col("n_values") == 0), "chart_agent", "error", "no_data", "Chart has no data"),
         (spec & blank("mark"), "chart_agent", "warning", "no_mark", "Chart has no mark"),
-    ])
+    ]
 
 
-def translation_issues(pages: DataFrame) -> DataFrame:
-    """Only where both texts are there: an empty translation, or one much shorter or longer than the text."""
-    n = lambda c: F.length(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    both = pages.filter("ocr_text <> '' and translated_text <> ''").select("page_id", n("ocr_text").alias("a"), n("translated_text").alias("b"))
+def chart_issues(charts: DataFrame) -> DataFrame:
+    """Charts (page_id, chart, has_spec, n_values, mark): no spec ends it; no data, no mark."""
+    return emit(charts, chart_rules())
+
+
+def _lengths(pages: DataFrame) -> DataFrame:
+    """``pages`` with a and b, the lengths of text and translation without outer white space; null unless both are there."""
+    both = F.coalesce((F.col("ocr_text") != "") & (F.col("translated_text") != ""), F.lit(False))
+    n = lambda c: F.when(both, F.length(F.regexp_replace(c, r"^\s+|\s+$", "")))
+    return pages.withColumn("a", n("ocr_text")).withColumn("b", n("translated_text"))
+
+
+def translation_rules() -> list[Rule]:
     rated, ratio = (F.col("a") > 0) & (F.col("b") > 0), F.col("b") / F.nullif("a", F.lit(0))
-    return emit(both, [
+    return [
         (F.col("b") == 0, "translator", "critical", "empty_translation", "Translation is empty"),
         (rated & (ratio < 0.5), "translator", "warning", "short_translation", "Translation is short"),
         (rated & (ratio > 2.5), "translator", "warning", "long_translation", "Translation is long"),
-    ])
+    ]
+
+
+def translation_issues(pages: DataFrame) -> DataFrame:
+    """Only where both texts are there: an empty translation, or one much shorter or longer than the text."""
+    return emit(_lengths(pages), translation_rules())
+
+
+def processing_rules() -> list[Rule]:
+    return [
+        (F.col("status") == "FAILED", "pdf_generation", "critical", "failed", "PDF creation failed"),
+        ((F.col("status") == "COMPLETED") & F.col("have").isNull(), "processing", "warning", "no_artifacts", "Page has no artifacts"),
+    ]
 
 
 def processing_issues(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Failed pages, and finished pages without artifacts."""
     have = artifacts.select("page_id").distinct().withColumn("have", F.lit(True))
-    j = pages.select("page_id", "status").filter("status in ('FAILED', 'COMPLETED')").join(have, "page_id", "left")
-    return emit(j, [
-        (F.col("status") == "FAILED", "pdf_generation", "critical", "failed", "PDF creation failed"),
-        ((F.col("status") == "COMPLETED") & F.col("have").isNull(), "processing", "warning", "no_artifacts", "Page has no artifacts"),
-    ])
+    return emit(pages.select("page_id", "status").filter("status in ('FAILED', 'COMPLETED')").join(have, "page_id", "left"), processing_rules())
+
+
+def page_issues(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """File, translation and processing rules together: the pages are read once, and only lengths and tests travel, no text."""
+    slim = _lengths(pages).select("page_id", "status", "original_image_path", "output_pdf_path", "a", "b")
+    have = artifacts.select("page_id").distinct().withColumn("have", F.lit(True))
+    return emit(slim.join(have, "page_id", "left"), [*file_rules(), *translation_rules(), *processing_rules()])
+
+
+def pipeline_issues(results: DataFrame) -> DataFrame:
+    """Issues of a page's processing results (page_id, warnings array, pdf_success, pdf_error, has_regions, diagrams).
+
+    One for each warning, one for a failed PDF step (a missing success counts as success) with its
+    error, and one where diagram regions gave no diagrams (a missing number of diagrams is none).
+    """
+    def issue(cond, component, severity, kind, message):
+        return F.when(cond, F.struct(F.lit(component).alias("component"), F.lit(severity).alias("severity"), F.lit(kind).alias("issue_type"), message.alias("message"), F.lit(1).cast("long").alias("n")))
+
+    warned = F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: issue(F.lit(True), "pipeline", "warning", "warning", F.coalesce(w, F.lit(""))))
+    own = F.array(
+        issue(~F.coalesce("pdf_success", F.lit(True)), "pdf_generation", "critical", "failed", F.concat(F.lit("PDF creation failed: "), F.coalesce("pdf_error", F.lit("Unknown error")))),
+        issue(F.coalesce("has_regions", F.lit(False)) & (F.coalesce("diagrams", F.lit(0)) == 0), "diagram_agent", "warning", "no_diagrams", F.lit("Diagram regions detected but no diagram artifacts generated")),
+    )
+    return results.select("page_id", F.explode(F.array_compact(F.concat(warned, own))).alias("i")).select("page_id", "i.*")
 
 
 def weight(severity: str = "severity") -> Column:
@@ -224,7 +295,19 @@ def diagram_key(annotations: DataFrame) -> DataFrame:
     return first.groupBy("page_id", "list").agg(F.array_join(F.transform(ordered, lambda s: s["label"]), "|").alias("labels"))
 
 
+# Rendering modes whose labels stand in the key, and on the image.
+KEY_MODES, IMAGE_MODES = ("key",), ("image", "marker")
+
+
+def rendered_key(annotations: DataFrame) -> DataFrame:
+    """The lists of persisted renderings: annotations (artifact_id, seq, text, mode) go by their mode, the first occurrence of each text counts; other modes are in no list."""
+    some = annotations.withColumn("list", F.when(F.col("mode").isin(*KEY_MODES), "key").when(F.col("mode").isin(*IMAGE_MODES), "on_image")).filter("list is not null")
+    first = some.groupBy("artifact_id", "list", F.coalesce("text", F.lit("")).alias("text")).agg(F.min("seq").alias("seq"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return first.groupBy("artifact_id", "list").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "|").alias("labels"))
+
+
 def normal_annotations(annotations: DataFrame) -> DataFrame:
-    """Annotations with defaults for what is missing: 0 for places, '' for texts."""
+    """Annotations with defaults for what is missing - 0 for places, '' for texts - and an id, the same in every run."""
     z = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)).alias(c)
-    return annotations.select("artifact_id", "node_path", z("x"), z("y"), z("w"), z("h"), F.coalesce("original", F.lit("")).alias("original"), F.coalesce("text", F.lit("")).alias("text"))
+    return annotations.select("artifact_id", "node_path", F.sha2(F.concat_ws("/", F.col("artifact_id").cast("string"), "node_path"), 256).substr(1, 32).alias("annotation_id"), z("x"), z("y"), z("w"), z("h"), F.coalesce("original", F.lit("")).alias("original"), F.coalesce("text", F.lit("")).alias("text"))

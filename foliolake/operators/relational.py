@@ -106,6 +106,36 @@ def counters_after_reset(projects: DataFrame, pages: DataFrame, replaced: DataFr
     return projects.join(gone, "project_id", "left").select("project_id", F.greatest(F.lit(0), F.coalesce("completed_pages", F.lit(0)) - F.coalesce("gone", F.lit(0))).cast("long").alias("completed_pages"))
 
 
+def without_pages(pages: DataFrame, projects: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages without the ``deleted`` ones (page_id), and the counters of all projects less what was deleted: project_id, total_pages, completed_pages. A null counter counts as 0; none falls below 0."""
+    ids = deleted.select("page_id").distinct()
+    gone = pages.join(ids, "page_id", "left_semi").groupBy("project_id").agg(F.count("*").alias("gone"), F.count_if(F.col("status") == "COMPLETED").alias("done"))
+    less = lambda c, by: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)) - F.coalesce(by, F.lit(0))).cast("long").alias(c)
+    counters = projects.join(gone, "project_id", "left").select("project_id", less("total_pages", "gone"), less("completed_pages", "done"))
+    return pages.join(ids, "page_id", "left_anti"), counters
+
+
+def accepted_uploads(incoming: DataFrame, pages: DataFrame) -> DataFrame:
+    """Incoming pages (project_id, page_number, seq) with whether they are accepted: the number must be new to the project; of several for one number the first is accepted."""
+    taken = pages.select("project_id", "page_number", F.lit(True).alias("taken")).distinct()
+    first = F.row_number().over(Window.partitionBy("project_id", "page_number").orderBy("seq")) == 1
+    return incoming.withColumn("first", first).join(taken, ["project_id", "page_number"], "left").select("project_id", "page_number", "seq", (F.col("first") & F.col("taken").isNull()).alias("accepted"))
+
+
+def unique_emails(incoming: DataFrame, users: DataFrame) -> DataFrame:
+    """Registrations (email, seq) with whether they are accepted: the address must not be in ``users`` (email), and of equal ones the first is accepted. Null addresses are refused; case counts."""
+    known = users.select("email", F.lit(True).alias("known")).distinct()
+    first = F.row_number().over(Window.partitionBy("email").orderBy("seq")) == 1
+    return incoming.withColumn("first", first).join(known, "email", "left").select("email", "seq", (F.col("first") & F.col("known").isNull() & F.col("email").isNotNull()).alias("accepted"))
+
+
+def selection(pages: DataFrame, selected: DataFrame, statuses: tuple[str, ...] = ("COMPLETED", "FAILED", "NEEDS_REVIEW")) -> DataFrame:
+    """For each project: selectable pages, how many pages are selected, and what the toggle does next."""
+    s = selected.select("page_id", F.lit(1).alias("on")).distinct()
+    g = pages.select("page_id", "project_id", "status").join(s, "page_id", "left").groupBy("project_id").agg(F.count_if(F.col("status").isin(*statuses)).alias("selectable"), F.count("on").alias("selected"))
+    return g.select("project_id", "selectable", "selected", F.when((F.col("selected") >= F.col("selectable")) & (F.col("selectable") > 0), "deselect").otherwise("select").alias("action"))
+
+
 def without_projects(pages: DataFrame, deleted: DataFrame) -> DataFrame:
     """Cascade of a deletion of projects to their pages."""
     return pages.join(deleted, "project_id", "left_anti")
@@ -199,10 +229,12 @@ def paging(total: Column, offset: Column, size: int) -> list[Column]:
     ]
 
 
-def allocate_page_numbers(uploads: DataFrame) -> DataFrame:
-    """Page numbers for uploads (project_id, seq, name, taken array): the first number in the name that is free, else the largest plus one.
+def allocate_page_numbers(uploads: DataFrame, taken: DataFrame) -> DataFrame:
+    """Page numbers for uploads (project_id, seq, name), given the numbers ``taken`` (project_id, page_number): the first number in the name that is free, else the largest plus one.
 
-    Each choice depends on those before, so it is a fold over the project's uploads in order.
+    Each choice depends on those before, so a project's uploads go in order through one task; they
+    are streamed through it in batches from a sort that spills, and what is held is the numbers
+    given, never the uploads.
     """
     ns = F.filter(
         F.array(
@@ -213,15 +245,28 @@ def allocate_page_numbers(uploads: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    ordered = uploads.select("project_id", "taken", F.struct("seq", "name", ns.alias("ns")).alias("u")).groupBy("project_id").agg(F.first("taken").alias("taken"), F.array_sort(F.collect_list("u")).alias("us"))
-
-    def step(acc: Column, u: Column) -> Column:
-        free = F.filter(u["ns"], lambda n: ~F.array_contains(acc["taken"], n))
-        n = F.coalesce(F.try_element_at(free, F.lit(1)), F.coalesce(F.array_max(acc["taken"]), F.lit(0)) + 1)
-        return F.struct(F.concat(acc["taken"], F.array(n)).alias("taken"), F.concat(acc["out"], F.array(F.struct(u["seq"].alias("seq"), u["name"].alias("name"), n.alias("page_number")))).alias("out"))
-
-    start = F.struct(F.coalesce("taken", F.array().cast("array<int>")).alias("taken"), F.array().cast("array<struct<seq:int,name:string,page_number:int>>").alias("out"))
-    return ordered.select("project_id", F.explode(F.aggregate("us", start, step)["out"]).alias("o")).select("project_id", "o.*")
+    asked = uploads.select("project_id", "seq", "name", ns.alias("ns"))
+    schema = "project_id long, seq int, name string, page_number int"
+    rows = asked.withColumn("kind", F.lit(1)).unionByName(taken.filter("page_number is not null").select("project_id", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("name"), F.array("page_number").alias("ns"), F.lit(0).alias("kind")).distinct())
+    ordered = rows.repartition("project_id").sortWithinPartitions("project_id", "kind", "seq", "name")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        project, used, top = object(), set(), 0
+        for batch in batches:
+            out = []
+            for p, seq, name, wanted, kind in zip(*(batch.column(c).to_pylist() for c in ("project_id", "seq", "name", "ns", "kind")), strict=True):
+                if p != project:
+                    project, used, top = p, set(), 0
+                number = wanted[0] if not kind else next((n for n in wanted if n not in used), top + 1)
+                used.add(number)
+                top = max(top, number)
+                if kind:
+                    out.append((p, seq, name, number))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int32()))], names=["project_id", "seq", "name", "page_number"])
+
+    return ordered.mapInArrow(fold, schema)
 
 
 def select_ids(ids: Column) -> Column:

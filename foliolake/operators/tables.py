@@ -1,8 +1,8 @@
 """Table grids, their CSV and HTML forms, and charts inferred from tables.
 
 Cells have (page_id, table_id, row_idx, col_idx, cell_id, text, translation, row_span, col_span).
-A grid is at most rows x cols of its own cells, so the sequence that fills it is bounded by the
-table; everything is grouped by table with a map-side combine or ordered arrays of one table.
+A grid that is written out has at most ``MAX_PLACES`` places, so one dirty cell far outside can't
+blow it up; everything is grouped by table with a map-side combine or ordered arrays of one table.
 """
 
 from __future__ import annotations
@@ -35,44 +35,56 @@ def shown(cells: DataFrame) -> Column:
     return F.coalesce(F.nullif("translation", F.lit("")), F.col("text"), F.lit(""))
 
 
+#: Places up to which a grid is written out. One cell far outside would make a table of few cells unboundedly large.
+MAX_PLACES = 1_000_000
+
+
 def full_grid(cells: DataFrame) -> DataFrame:
-    """Every place of every grid with what is shown there ('' where there is no cell)."""
-    size = cells.groupBy("table_id").agg(F.max("row_idx").alias("mr"), F.max("col_idx").alias("mc"))
+    """Every place of every grid of at most ``MAX_PLACES`` places with what is shown there ('' where there is no cell)."""
+    size = cells.groupBy("table_id").agg(F.max("row_idx").alias("mr"), F.max("col_idx").alias("mc")).filter((F.col("mr").cast("long") + 1) * (F.col("mc").cast("long") + 1) <= MAX_PLACES)
     places = size.select("table_id", F.explode(F.sequence(F.lit(0), "mr")).alias("row_idx"), "mc").select("table_id", "row_idx", F.explode(F.sequence(F.lit(0), "mc")).alias("col_idx"))
     have = cells.select("table_id", "row_idx", "col_idx", shown(cells).alias("shown"), "row_span", "col_span", F.lit(True).alias("there"))
     return places.join(have, ["table_id", "row_idx", "col_idx"], "left")
 
 
+def oversized(cells: DataFrame, column: str) -> DataFrame:
+    """Tables whose grid has more places than are written out, with a null ``column``."""
+    big = grid_cells(cells).filter(F.col("rows").cast("long") * F.col("cols").cast("long") > MAX_PLACES)
+    return big.select("table_id", F.lit(None).cast("string").alias(column))
+
+
 def csv_lines(cells: DataFrame, sep: str = ",") -> DataFrame:
-    """Each table as unquoted CSV: newlines are spaces, missing cells '', trailing white space off."""
+    """Each table as unquoted CSV: newlines are spaces, missing cells '', trailing white space off. Null for grids of over ``MAX_PLACES`` places."""
     g = full_grid(cells).withColumn("v", F.replace(F.coalesce("shown", F.lit("")), F.lit("\n"), F.lit(" ")))
     rows = g.groupBy("table_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "v"))), lambda s: s["v"]), sep).alias("line"))
     lines = rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda s: s["line"]), "\n").alias("csv"))
-    return lines.select("table_id", F.regexp_replace("csv", r"\s+$", "").alias("csv"))
+    return lines.select("table_id", F.regexp_replace("csv", r"\s+$", "").alias("csv")).unionByName(oversized(cells, "csv"))
 
 
 def html_tables(cells: DataFrame) -> DataFrame:
-    """Each table as HTML with spans; a place covered by an earlier span gives no cell, spans are cut at the grid.
+    """Each table as HTML with spans; a place covered by an earlier span gives no cell. Null for grids of over ``MAX_PLACES`` places.
 
-    Whether a cell's span counts depends on whether the cell itself is covered, so this is a fold
-    over the table's places in reading order.
+    Whether a cell's span counts depends on whether the cell itself is covered, so the spans that
+    count come from a fold over the table's spanning cells in reading order; they are few, and every
+    place is then tested against them alone.
     """
-    g = full_grid(cells).withColumn("rs", F.greatest(F.lit(1), F.coalesce("row_span", F.lit(1)))).withColumn("cs", F.greatest(F.lit(1), F.coalesce("col_span", F.lit(1))))
-    g = g.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), "rs", "cs", F.coalesce("there", F.lit(False)).alias("there"), "shown"))).alias("ps"), F.max("row_idx").alias("mr"), F.max("col_idx").alias("mc"))
-
-    def step(acc: Column, p: Column) -> Column:
-        key = p["r"] * 100_000 + p["c"]
-        covered = F.array_contains(acc["covered"], key)
-        attrs = F.concat(F.when(p["rs"] > 1, F.concat(F.lit(" rowspan='"), p["rs"].cast("string"), F.lit("'"))).otherwise(""), F.when(p["cs"] > 1, F.concat(F.lit(" colspan='"), p["cs"].cast("string"), F.lit("'"))).otherwise(""))
-        cell = F.when(covered, "").when(~p["there"], "<td></td>").otherwise(F.concat(F.lit("<td"), attrs, F.lit(">"), F.coalesce(p["shown"], F.lit("")), F.lit("</td>")))
-        spans = p["there"] & ~covered & ((p["rs"] > 1) | (p["cs"] > 1))
-        rows_ = F.sequence(p["r"], F.least(acc["mr"], p["r"] + p["rs"] - 1))
-        more = F.flatten(F.transform(rows_, lambda i: F.transform(F.sequence(p["c"], F.least(acc["mc"], p["c"] + p["cs"] - 1)), lambda j: i * 100_000 + j)))
-        opened = F.when(p["c"] == 0, F.concat(F.when(p["r"] > 0, "</tr>").otherwise(""), F.lit("<tr>"))).otherwise("")
-        return F.struct(F.when(spans, F.concat(acc["covered"], more)).otherwise(acc["covered"]).alias("covered"), F.concat(acc["html"], opened, cell).alias("html"), acc["mr"].alias("mr"), acc["mc"].alias("mc"))
-
-    start = F.struct(F.array().cast("array<int>").alias("covered"), F.lit("<table>").alias("html"), F.col("mr").alias("mr"), F.col("mc").alias("mc"))
-    return g.select("table_id", F.concat(F.aggregate("ps", start, step)["html"], F.lit("</tr></table>")).alias("html"))
+    rs, cs = F.greatest(F.lit(1), F.coalesce("row_span", F.lit(1))), F.greatest(F.lit(1), F.coalesce("col_span", F.lit(1)))
+    g = full_grid(cells).withColumn("rs", rs).withColumn("cs", cs)
+
+    def covers(s: Column, r: Column, c: Column) -> Column:
+        return (r >= s["r"]) & (r < s["r"] + s["rs"]) & (c >= s["c"]) & (c < s["c"] + s["cs"]) & ((r != s["r"]) | (c != s["c"]))
+
+    wide = cells.select("table_id", F.struct(F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), rs.alias("rs"), cs.alias("cs")).alias("s")).filter("s.rs > 1 or s.cs > 1")
+    spans = wide.groupBy("table_id").agg(F.array_sort(F.collect_list("s")).alias("ss"))
+    none = F.array().cast("array<struct<r:int,c:int,rs:int,cs:int>>")
+    kept = F.aggregate("ss", none, lambda acc, s: F.when(F.exists(acc, lambda o: covers(o, s["r"], s["c"])), acc).otherwise(F.concat(acc, F.array(s))))
+    g = g.join(spans.select("table_id", kept.alias("kept")), "table_id", "left")
+    covered = F.coalesce(F.exists("kept", lambda s: covers(s, F.col("row_idx"), F.col("col_idx"))), F.lit(False))
+    attrs = F.concat(F.when(F.col("rs") > 1, F.concat(F.lit(" rowspan='"), F.col("rs").cast("string"), F.lit("'"))).otherwise(""), F.when(F.col("cs") > 1, F.concat(F.lit(" colspan='"), F.col("cs").cast("string"), F.lit("'"))).otherwise(""))
+    cell = F.when(covered, "").when(F.col("there").isNull(), "<td></td>").otherwise(F.concat(F.lit("<td"), attrs, F.lit(">"), F.coalesce("shown", F.lit("")), F.lit("</td>")))
+    rows = g.select("table_id", "row_idx", F.struct("col_idx", cell.alias("h")).alias("p")).groupBy("table_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["h"]), "").alias("h"))
+    out = rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "h"))), lambda p: p["h"]), "</tr><tr>").alias("h"))
+    return out.select("table_id", F.concat(F.lit("<table><tr>"), "h", F.lit("</tr></table>")).alias("html")).unionByName(oversized(cells, "html"))
 
 
 def in_grid(cells: DataFrame, rows: int, cols: int) -> DataFrame:

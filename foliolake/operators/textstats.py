@@ -31,18 +31,19 @@ def script_languages(pages: DataFrame, text: str = "ocr_text") -> DataFrame:
 
 
 def cascade(pages: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None, text: str = "ocr_text", default: str = "ja") -> DataFrame:
-    """Blank texts get the default, sure ones the heuristic; only the rest reach the model (a split, so it sees no others)."""
-    d = pages.select("page_id", F.col(text).alias("t")).join(script_languages(pages, text).select("page_id", "language", "confidence"), "page_id")
+    """Blank texts get the default, sure ones the heuristic; only the rest reach the model (a split, so it sees no others). No shuffle."""
+    counts = t.script_counts(F.col(text))
+    d = pages.select("page_id", F.col(text).alias("t"), *[c.alias(f"_{k}") for k, c in counts.items()])
+    lang, conf = t.detect_by_script({k: F.col(f"_{k}") for k in counts})
     blank = F.coalesce(t.strip(F.col("t")), F.lit("")) == ""
-    sure = d.filter(~blank & (F.col("confidence") > 0.9)).select("page_id", "language", "confidence", F.lit("heuristic").alias("method"))
-    none = d.filter(blank).select("page_id", F.lit(default).alias("language"), F.lit(0.0).alias("confidence"), F.lit("default").alias("method"))
-    rest = d.filter(~blank & (F.coalesce("confidence", F.lit(0.0)) <= 0.9))
+    method = F.when(blank, "default").when(conf > 0.9, "heuristic").otherwise("fallback" if model is None else "model")
+    d = d.select("page_id", "t", lang.alias("language"), conf.alias("confidence"), method.alias("method"))
+    rest = d.filter("method in ('fallback', 'model')")
+    known = d.filter("method not in ('fallback', 'model')").select("page_id", F.when(F.col("method") == "default", default).otherwise(F.col("language")).alias("language"), F.when(F.col("method") == "default", 0.0).otherwise(F.col("confidence")).alias("confidence"), "method")
     if model is None:
-        fallback = rest.select("page_id", F.coalesce("language", F.lit(default)).alias("language"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.lit("fallback").alias("method"))
-        return sure.unionByName(none).unionByName(fallback)
+        return known.unionByName(rest.select("page_id", F.coalesce("language", F.lit(default)).alias("language"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "method"))
     ask = F.pandas_udf(model, "string")
-    answered = rest.select("page_id", ask("t").alias("language"), F.lit(0.9).alias("confidence"), F.lit("model").alias("method"))
-    return sure.unionByName(none).unionByName(answered)
+    return known.unionByName(rest.select("page_id", ask("t").alias("language"), F.lit(0.9).alias("confidence"), "method"))
 
 
 def language_names(labels: DataFrame, languages: DataFrame) -> DataFrame:
@@ -68,7 +69,11 @@ def stub_translator(texts: pd.Series) -> pd.Series:
 
 
 def translate_once(df: DataFrame, text: str, translator: Callable[[pd.Series], pd.Series] = stub_translator) -> DataFrame:
-    """Translate every different text once and join the answers back. Blank texts give ''; where the translator fails the text stays."""
+    """Translate every different text once and join the answers back. Blank texts give ''; where the translator fails the text stays.
+
+    Texts meet by two hashes, blank ones do not travel, and a text repeated without end is dealt
+    over salts, to each of which its one answer goes.
+    """
 
     def safe(texts: pd.Series) -> pd.Series:
         try:
@@ -84,14 +89,19 @@ def translate_once(df: DataFrame, text: str, translator: Callable[[pd.Series], p
 
     safe.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     ask = F.pandas_udf(safe, "string")
-    some = df.select(F.col(text).alias("_t")).filter(t.strip(F.col("_t")) != "").distinct().withColumn("_a", ask("_t"))
-    return df.join(some, df[text] == some["_t"], "left").withColumn("translated", F.when(F.coalesce(t.strip(F.col(text)), F.lit("")) == "", "").otherwise(F.coalesce("_a", F.col(text)))).drop("_t", "_a")
-
-
-def translate_values(labels, translator: Callable[[pd.Series], pd.Series] = stub_translator):
-    """A map of labels with its values translated."""
-    ask = F.pandas_udf(translator, "string")
-    return F.transform_values(labels, lambda k, v: ask(v))
+    salts, blank = 16, F.coalesce(t.strip(F.col(text)), F.lit("")) == ""
+    keyed = df.withColumn("_h", F.xxhash64(text)).withColumn("_i", F.hash(text)).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    some = keyed.filter(~blank).groupBy("_h", "_i").agg(F.min(text).alias("_t")).withColumn("_a", ask("_t")).select("_h", "_i", "_a", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    answered = keyed.filter(~blank).join(some, ["_h", "_i", "_salt"], "left").withColumn("translated", F.coalesce("_a", F.col(text)))
+    return answered.select(*df.columns, "translated").unionByName(keyed.filter(blank).select(*df.columns, F.lit("").alias("translated")))
+
+
+def translate_values(df: DataFrame, key: str, labels: str, translator: Callable[[pd.Series], pd.Series] = stub_translator) -> DataFrame:
+    """``key`` and the map ``labels`` with its values translated, each different value once; null and empty maps stay, null values too."""
+    flat = df.select(key, F.explode(labels).alias("_k", "_v"))
+    done = translate_once(flat, "_v", translator).select(key, F.struct("_k", F.when(F.col("_v").isNotNull(), F.col("translated")).alias("_v")).alias("_e"))
+    maps = done.groupBy(key).agg(F.map_from_entries(F.collect_list("_e")).alias("_m"))
+    return df.select(key, labels).join(maps, key, "left").select(key, F.coalesce("_m", F.col(labels)).alias(labels))
 
 
 def extract_rows(df: DataFrame, extract: Callable[[pd.DataFrame], Iterator[tuple]], schema: str) -> DataFrame:

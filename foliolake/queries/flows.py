@@ -95,6 +95,19 @@ def recovered_pages(spark, d):
     return status.recover(status.page_stream(spark, d), F.expr(relational.NOW), run_folder(spark))
 
 
+@query("select page_id, cast(count(distinct table_id) as int) as tables, cast(count(*) as int) as cells from (select distinct page_id, table_id, cell_id from table_cells) group by 1")
+def artifact_round_trip(spark, d):
+    """Artifact documents written as JSON by project and read back by their schema."""
+    cells = table(spark, d, "table_cells").repartition("page_id").dropDuplicates(["table_id", "cell_id"])
+    cell = F.struct(F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), "text", "translation", "row_span", "col_span")
+    tables_ = cells.groupBy("page_id", "table_id").agg(F.collect_list(cell).alias("cells"))
+    docs = tables_.groupBy("page_id").agg(F.collect_list(F.struct(F.col("table_id").cast("string").alias("id"), "cells")).alias("tables"))
+    docs = docs.join(table(spark, d, "book_pages").select("page_id", "project_id"), "page_id", "left")
+    folder = f"{run_folder(spark)}/artifacts"
+    files.write_artifacts(docs, folder)
+    return files.read_artifacts(spark, folder).select("page_id", F.size("tables").alias("tables"), F.aggregate("tables", F.lit(0), lambda acc, t: acc + F.size(t["cells"])).alias("cells"))
+
+
 @query()
 def page_paragraphs(spark, d):
     """Pipeline: boxes to translated paragraphs (rows only)."""

@@ -271,12 +271,38 @@ def chart_label_clusters(spark, d):
     return o.label_clusters(_labels(spark, d), 15)
 
 
-@query()
+_TOUCH = "not (t.x > o.x + o.w or o.x > t.x + t.w or t.y > o.y + o.h or o.y > t.y + t.h)"
+_UNION = "struct_pack(x := least(o.x, t.x), y := least(o.y, t.y), w := greatest(o.x + o.w, t.x + t.w) - least(o.x, t.x), h := greatest(o.y + o.h, t.y + t.h) - least(o.y, t.y))"
+
+
+@query(
+    f"with recursive {B}, t as (select *, row_number() over (partition by page_id order by seq, box_id) as i from b), "
+    "f as (select page_id, i, [struct_pack(x := x, y := y, w := w, h := h)] as out from t where i = 1 union all "
+    f"select t.page_id, t.i, case when k = 0 then list_append(f.out, struct_pack(x := t.x, y := t.y, w := t.w, h := t.h)) else list_transform(f.out, lambda o, n: case when n = k then {_UNION} else o end) end "
+    f"from f join t on t.page_id = f.page_id and t.i = f.i + 1, lateral (select coalesce(list_position(list_transform(f.out, lambda o: {_TOUCH}), true), 0) as k)), "
+    "z as (select page_id, out from (select *, row_number() over (partition by page_id order by i desc) as last from f) where last = 1) "
+    "select page_id, cast(n as int) as merged, m.x, m.y, m.w, m.h from (select page_id, unnest(out) as m, unnest(range(len(out))) as n from z)"
+)
 def merge_overlaps(spark, d):
-    """No SQL: each box changes those before; tested against brute force."""
     return o.merge_overlaps(boxes(spark, d))
 
 
+@query(f"with {B} select page_id, box_id from b where confidence > 20 and {STRIP.format('text')} <> '' and w > 3 and w < 1000 and h > 3 and h < 1700")
+def diagram_text_boxes(spark, d):
+    return o.confident(boxes(spark, d), 20, within=(o.PAGE_W, o.PAGE_H)).select("page_id", "box_id")
+
+
+@query(f"with {B} select page_id, box_id from b where confidence >= 10 and {STRIP.format('text')} <> ''")
+def overlay_boxes(spark, d):
+    return o.confident(boxes(spark, d), 10, inclusive=True).select("page_id", "box_id")
+
+
+@query(f"with {B} select page_id, box_id, greatest(4, least(cast(trunc(h*0.7*0.5) as int), 10)) as chart_font, greatest(6, least(cast(trunc(h*0.6*0.5) as int), 10)) as diagram_font from b")
+def label_fonts(spark, d):
+    h = F.col("h")
+    return boxes(spark, d).select("page_id", "box_id", o.label_font(h, 0.5, True).alias("chart_font"), o.label_font(h, 0.5, False).alias("diagram_font"))
+
+
 def _merge_sql(short):
     absorb = f" or (f.st='diagram' and o.section_type='text' and o.y_end-o.y_start < {short})" if short else ""
     return (

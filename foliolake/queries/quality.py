@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from foliolake.operators import quality as q
-from foliolake.operators.nested import dewey_nodes
 from foliolake.session import table
 
 QUERIES, SQL = {}, {}
@@ -25,19 +24,27 @@ def query(sql=None):
 
 
 def cells(spark, d):
-    return table(spark, d, "table_cells").dropDuplicates(["table_id", "cell_id"])
+    return table(spark, d, "table_cells").repartition("table_id").dropDuplicates(["table_id", "cell_id"])
 
 
 def annotations(spark, d):
-    b = table(spark, d, "text_boxes").dropDuplicates(["page_id", "box_id"])
+    b = table(spark, d, "text_boxes").repartition("page_id").dropDuplicates(["page_id", "box_id"])
     dia = F.expr("cast(y div 600 as int)")
     return b.select("page_id", dia.alias("diagram_id"), "seq", "box_id", F.col("text").alias("label"), (F.col("y") - dia * 600).alias("y"), "h", (F.coalesce("confidence", F.lit(0)) > 30).alias("has_region"), F.lit(600).alias("region_h"))
 
 
+def chart_stats():
+    return [
+        F.max(F.when((F.col("row_idx") == 0) & (F.col("col_idx") == 0), F.col("translation"))).alias("mark"),
+        F.count_if(F.col("row_idx") > 1).alias("n_values"),
+        (F.count_if(F.col("row_idx") == 0) > 2).alias("has_spec"),
+    ]
+
+
 def charts(spark, d):
     """Tables as charts: the cell at the origin is the mark, its body the data; untitled ones have no spec."""
-    g = cells(spark, d).groupBy("page_id", "table_id").agg(F.max(F.when((F.col("row_idx") == 0) & (F.col("col_idx") == 0), F.col("translation"))).alias("mark"), F.count_if(F.col("row_idx") > 1).alias("n_values"), F.count_if(F.col("row_idx") == 0).alias("heads"))
-    return g.select("page_id", F.col("table_id").alias("chart"), (F.col("heads") > 2).alias("has_spec"), "n_values", "mark")
+    g = cells(spark, d).groupBy("page_id", "table_id").agg(*chart_stats())
+    return g.withColumnRenamed("table_id", "chart")
 
 
 _CH = f"{C}, ch as (select page_id, table_id, max(case when row_idx=0 and col_idx=0 then translation end) as mark, count(*) filter (row_idx > 1) as n_values, count(*) filter (row_idx = 0) > 2 as has_spec from c group by 1,2)"
@@ -112,8 +119,9 @@ def quality_processing(spark, d):
 
 
 def issues(spark, d):
-    p = table(spark, d, "book_pages")
-    return q.union([q.file_issues(p), q.diagram_issues(annotations(spark, d)), q.table_issues(cells(spark, d)), q.chart_issues(charts(spark, d)), q.translation_issues(p), q.processing_issues(p, table(spark, d, "artifacts"))])
+    """All issues: one scan of the pages, one aggregate of the cells for tables and charts together, one of the annotations."""
+    grids = cells(spark, d).groupBy("page_id", "table_id").agg(*q.table_stats(), *chart_stats())
+    return q.union([q.page_issues(table(spark, d, "book_pages"), table(spark, d, "artifacts")), q.diagram_issues(annotations(spark, d)), q.emit(grids, [*q.table_rules(), *q.chart_rules()])])
 
 
 _W = "sum(case severity when 'critical' then 25 when 'error' then 15 when 'warning' then 5 else 0 end)"
@@ -177,9 +185,41 @@ def diagram_key(spark, d):
     return q.diagram_key(annotations(spark, d).filter("label is not null"))
 
 
-@query()
-def diagram_annotations(spark, d):
-    """Annotations of the artifacts with defaults (no SQL: nested and dirty; tested against brute force)."""
-    n = dewey_nodes(table(spark, d, "artifacts"), "artifact_id", "body", payload=True).filter("node_kind = 'annotation'")
-    j = n.withColumn("j", F.from_json("payload", "x string, y string, w string, h string, original string, text string"))
-    return q.normal_annotations(j.select("artifact_id", "node_path", "j.*"))
+_SIZES = "files as (select path, max(n) as n from (select original_image_path as path, page_id % 11 * 300 as n from book_pages where page_id % 13 <> 0 and original_image_path is not null union all select output_pdf_path, page_id % 7 * 400 from book_pages where page_id % 17 <> 0 and output_pdf_path is not null) group by 1)"
+_DONE = "book_pages b left join files f on f.path = b.{0} where status in ('COMPLETED','NEEDS_REVIEW') and "
+
+
+@query(
+    f"with {_SIZES} "
+    + " union all ".join([
+        _i(_DONE.format("original_image_path") + "n is null", "filesystem", "critical", "missing_input", "Input file missing"),
+        _i(_DONE.format("original_image_path") + "n = 0", "filesystem", "critical", "empty_input", "Input file empty"),
+        _i(_DONE.format("output_pdf_path") + "n is null", "pdf_generation", "critical", "missing_output", "Output file missing"),
+        _i(_DONE.format("output_pdf_path") + "n = 0", "pdf_generation", "critical", "empty_output", "Output file empty"),
+        _i(_DONE.format("output_pdf_path") + "n > 0 and n < 1000", "pdf_generation", "error", "small_output", "Output file too small", "n"),
+    ])
+)
+def quality_file_sizes(spark, d):
+    """Files of finished pages that are missing, empty or too small; the tables hold no files, so sizes are laid by a formula."""
+    p = table(spark, d, "book_pages")
+    inputs = p.filter("page_id % 13 <> 0 and original_image_path is not null").select(F.col("original_image_path").alias("path"), (F.col("page_id") % 11 * 300).alias("length"))
+    outputs = p.filter("page_id % 17 <> 0 and output_pdf_path is not null").select(F.col("output_pdf_path").alias("path"), (F.col("page_id") % 7 * 400).alias("length"))
+    return q.file_issues(p, inputs.unionByName(outputs))
+
+
+_RESULTS = "select page_id, case when status='NEEDS_REVIEW' then ['low confidence', coalesce(error_message, 'late')] when page_id % 5 = 0 then ['slow'] end as w, case when status='FAILED' then false when page_id % 2 = 0 then true end as ok, error_message as e, page_id % 3 = 0 as reg, case when page_id % 4 > 0 then page_id % 2 end as dia from book_pages"
+
+
+@query(
+    f"with r as ({_RESULTS}) select page_id, 'pipeline' as component, 'warning' as severity, 'warning' as issue_type, unnest(w) as message, cast(1 as bigint) as n from r "
+    "union all select page_id, 'pdf_generation', 'critical', 'failed', 'PDF creation failed: '||coalesce(e,'Unknown error'), 1 from r where not ok "
+    "union all select page_id, 'diagram_agent', 'warning', 'no_diagrams', 'Diagram regions detected but no diagram artifacts generated', 1 from r where reg and coalesce(dia,0) = 0"
+)
+def quality_pipeline(spark, d):
+    """Issues of processing results, which are laid by a formula."""
+    warnings = F.when(F.col("status") == "NEEDS_REVIEW", F.array(F.lit("low confidence"), F.coalesce("error_message", F.lit("late")))).when(F.col("page_id") % 5 == 0, F.array(F.lit("slow")))
+    results = table(spark, d, "book_pages").select(
+        "page_id", warnings.alias("warnings"), F.when(F.col("status") == "FAILED", False).when(F.col("page_id") % 2 == 0, True).alias("pdf_success"), F.col("error_message").alias("pdf_error"),
+        (F.col("page_id") % 3 == 0).alias("has_regions"), F.when(F.col("page_id") % 4 > 0, F.col("page_id") % 2).alias("diagrams"),
+    )
+    return q.pipeline_issues(results)

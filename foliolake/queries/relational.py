@@ -189,16 +189,22 @@ def paging_math(spark, d):
     return t.select("project_id", *r.paging(F.col("total"), F.col("off"), 20))
 
 
+_NUMBERS = ", ".join(f"nullif(regexp_extract(lower(name),'{p}',1),'')" for p in (r"page\s*[-_]?\s*(\d{1,9})", r"p\s*[-_]?\s*(\d{1,9})", r"[_-](\d{1,9})\.[a-z0-9]+$", r"^(\d{1,9})\.[a-z0-9]+$"))
+
+
+@query(
+    "with recursive t as (select project_id, list(distinct page_number) as used from book_pages where status='COMPLETED' and page_number is not null group by 1), "
+    "u as (select project_id, cast(row_number() over (partition by project_id order by page_id) as int) as seq, regexp_extract(original_image_path,'([^/]*)$',1) as name from book_pages where status <> 'COMPLETED'), "
+    f"w as (select *, list_transform(list_filter([{_NUMBERS}], lambda x: x is not null), lambda x: cast(x as int)) as ns from u), "
+    "f as (select w.project_id, w.seq, w.name, n as page_number, list_append(used, n) as used from (select w.*, coalesce(t.used, cast([] as int[])) as used from w left join t using (project_id) where w.seq = 1) w, lateral (select coalesce(list_filter(w.ns, lambda x: not list_contains(w.used, x))[1], coalesce(list_max(w.used), 0) + 1) as n) "
+    "union all select w.project_id, w.seq, w.name, n, list_append(f.used, n) from f join w on w.project_id = f.project_id and w.seq = f.seq + 1, lateral (select coalesce(list_filter(w.ns, lambda x: not list_contains(f.used, x))[1], coalesce(list_max(f.used), 0) + 1) as n)) "
+    "select project_id, seq, name, page_number from f"
+)
 def page_number_alloc(spark, d):
-    """No SQL: each allocation depends on those before; tested against brute force."""
     p = pages(spark, d)
-    taken = p.filter("status = 'COMPLETED'").groupBy("project_id").agg(F.collect_set("page_number").alias("taken"))
     seq = F.row_number().over(r.Window.partitionBy("project_id").orderBy("page_id")).cast("int")
     ups = p.filter("status <> 'COMPLETED'").select("project_id", seq.alias("seq"), F.regexp_extract("original_image_path", r"([^/]*)$", 1).alias("name"))
-    return r.allocate_page_numbers(ups.join(taken, "project_id", "left"))
-
-
-QUERIES["page_number_alloc"] = page_number_alloc
+    return r.allocate_page_numbers(ups, p.filter("status = 'COMPLETED'").select("project_id", "page_number"))
 
 
 @query(
@@ -209,17 +215,65 @@ def status_filter_parse(spark, d):
     return pages(spark, d).select("page_id", F.concat_ws("|", F.array_sort(r.parse_statuses(raw))).alias("statuses"))
 
 
-@query("select project_id, count(distinct page_number) as n from book_pages group by 1")
+@query()
 def bulk_selection(spark, d):
-    raw = pages(spark, d).select("project_id", F.explode(F.array(F.col("page_number").cast("string"), F.lit("x1"))).alias("raw"))
-    ids = raw.filter(F.col("raw").try_cast("long").isNotNull()).select("project_id", F.col("raw").try_cast("long").alias("id")).distinct()
-    return ids.groupBy("project_id").agg(F.count("*").alias("n"))
+    """Ids asked for in bulk: some twice, some no ids; the first of equal ones counts."""
+    p = pages(spark, d).filter("status in ('COMPLETED', 'FAILED', 'NEEDS_REVIEW')")
+    raw = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 0, "x").when(F.col("page_id") % 4 == 1, " ").otherwise(""))
+    twice = p.select("project_id", F.explode(F.array(F.struct(F.col("page_id"), F.lit(0).alias("k"), raw.alias("raw")), F.struct(F.col("page_id"), F.lit(1).alias("k"), raw.alias("raw")))).alias("s"))
+    g = twice.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["raw"]).alias("raw"))
+    return g.select("project_id", F.array_join(r.select_ids(F.col("raw")).cast("array<string>"), ",").alias("ids"))
 
 
-def table_catalog(spark, d):
-    """Columns of the tables, as a catalog query sees them."""
-    rows = [(t, f.name, f.dataType.simpleString()) for t in ("projects", "book_pages", "text_boxes", "table_cells", "artifacts") for f in table(spark, d, t).schema]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+SQL["bulk_selection"] = "select project_id, coalesce(string_agg(cast(page_id as varchar), ',' order by page_id) filter (page_id % 4 <> 0), '') as ids from book_pages where status in ('COMPLETED','FAILED','NEEDS_REVIEW') group by 1"
+
+
+@query("select project_id, count(*) filter (status in ('COMPLETED','FAILED','NEEDS_REVIEW')) as selectable, count(a.page_id) as selected, case when count(a.page_id) >= count(*) filter (status in ('COMPLETED','FAILED','NEEDS_REVIEW')) and count(*) filter (status in ('COMPLETED','FAILED','NEEDS_REVIEW')) > 0 then 'deselect' else 'select' end as action from book_pages b left join (select distinct page_id from artifacts) a on a.page_id = b.page_id group by 1")
+def selection_toggle(spark, d):
+    return r.selection(pages(spark, d), table(spark, d, "artifacts"))
+
+
+@query("select page_id, project_id, status from book_pages where page_id not in (select page_id from artifacts where page_id is not null)")
+def page_delete(spark, d):
+    return r.without_pages(pages(spark, d), projects(spark, d), table(spark, d, "artifacts").filter("page_id is not null"))[0].select("page_id", "project_id", "status")
+
+
+@query("with g as (select project_id, count(*) as gone, count(*) filter (status='COMPLETED') as done from book_pages where page_id in (select page_id from artifacts) group by 1) select p.project_id, cast(greatest(0, coalesce(total_pages,0) - coalesce(gone,0)) as bigint) as total_pages, cast(greatest(0, coalesce(completed_pages,0) - coalesce(done,0)) as bigint) as completed_pages from projects p left join g on g.project_id = p.project_id")
+def page_delete_counters(spark, d):
+    return r.without_pages(pages(spark, d), projects(spark, d), table(spark, d, "artifacts"))[1]
 
 
-QUERIES["table_catalog"] = table_catalog
+_INCOMING = "i as (select project_id, page_number + page_id % 3 * 1000 as page_number, page_id as seq from book_pages)"
+
+
+@query(f"with {_INCOMING} select project_id, page_number, seq, row_number() over (partition by project_id, page_number order by seq) = 1 and not exists (select 1 from book_pages b where b.project_id = i.project_id and b.page_number = i.page_number) as accepted from i")
+def upload_check(spark, d):
+    p = pages(spark, d)
+    return r.accepted_uploads(p.select("project_id", (F.col("page_number") + F.col("page_id") % 3 * 1000).alias("page_number"), F.col("page_id").alias("seq")), p)
+
+
+@query("with u as (select distinct 'user'||user_id||'@example.org' as email from projects where project_id % 2 = 0), i as (select 'user'||user_id||'@example.org' as email, project_id as seq from projects) select email, seq, row_number() over (partition by email order by seq) = 1 and email is not null and not exists (select 1 from u where u.email = i.email) as accepted from i")
+def email_check(spark, d):
+    mail = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("email")
+    p = projects(spark, d)
+    return r.unique_emails(p.select(mail, F.col("project_id").alias("seq")), p.filter("project_id % 2 = 0").select(mail))
+
+
+_STATUS_TABLES = ("projects", "book_pages")
+
+
+@query(
+    "with t(type_name, table_name) as (values ('pagestatus', 'book_pages'), ('projectstatus', 'projects')), e as (select 'pagestatus' as type_name, unnest(['UPLOADED','QUEUED','PROCESSING','COMPLETED','FAILED','NEEDS_REVIEW']) as label) "
+    "select t.type_name, e.label, t.table_name, 'status' as column_name from t join e using (type_name)"
+)
+def table_catalog(spark, d):
+    """The catalog's status columns joined to the labels of their type: columns come from the session's catalog of the tables, registered as views."""
+    for name in _STATUS_TABLES:
+        table(spark, d, name).createOrReplaceTempView(name)
+    columns = None
+    for name in _STATUS_TABLES:
+        one = spark.sql(f"describe {name}").select(F.lit(name).alias("table_name"), F.col("col_name").alias("column_name")).filter("column_name = 'status'")
+        columns = one if columns is None else columns.unionByName(one)
+    types = spark.createDataFrame([("pagestatus", "book_pages"), ("projectstatus", "projects")], "type_name string, table_name string")
+    labels = spark.createDataFrame([("pagestatus", s) for s in r.PAGE_STATUSES], "type_name string, label string")
+    return types.join(F.broadcast(labels), "type_name").join(columns, "table_name").select("type_name", "label", "table_name", "column_name")

@@ -218,13 +218,29 @@ def translate_seam(spark, d):
     return s.translate_once(table(spark, d, "text_boxes").select("box_id", "text"), "text").select("box_id", "translated").distinct()
 
 
-@query("select artifact_id, i as part, 'x'||i as label from artifacts, lateral (select unnest([0,1]) as i)")
+@query("with l as (select page_id, cast(row_number() over (partition by page_id order by i) - 1 as int) as part, x as label from (select page_id, unnest(l) as x, unnest(range(len(l))) as i from (select page_id, string_split(translated_text, chr(10)) as l from book_pages where translated_text is not null)) where x <> '') select * from l")
 def extraction_seam(spark, d):
+    """One row for each line of a translation that isn't empty: the extractor of the seam sees batches of pages."""
+
     def extract(f):
-        for a in f["artifact_id"]:
-            yield from ((a, i, f"x{i}") for i in (0, 1))
+        for page, text in zip(f["page_id"], f["translated_text"], strict=True):
+            yield from ((page, i, x) for i, x in enumerate(x for x in (text or "").split("\n") if x))
+
+    return s.extract_rows(pages(spark, d).select("page_id", "translated_text"), extract, "page_id long, part int, label string")
+
+
+@query("select page_id, '[EN]'||status as status, case when quality_level is not null then '[EN]'||quality_level end as level from book_pages where status is not null and trim(status) <> '' and (quality_level is null or trim(quality_level) <> '')")
+def translate_labels(spark, d):
+    """A map of labels with its values translated."""
+    p = pages(spark, d).filter("status is not null and trim(status) <> '' and (quality_level is null or trim(quality_level) <> '')")
+    maps = p.select("page_id", F.create_map(F.lit("status"), F.col("status"), F.lit("level"), F.col("quality_level")).alias("labels"))
+    return s.translate_values(maps, "page_id", "labels").select("page_id", F.col("labels")["status"].alias("status"), F.col("labels")["level"].alias("level"))
+
 
-    return s.extract_rows(table(spark, d, "artifacts").select("artifact_id"), extract, "artifact_id long, part int, label string")
+@query("select page_id, substring(ocr_text, 1, 500) as ocr_preview, substring(translated_text, 1, 500) as translated_preview from book_pages")
+def text_previews(spark, d):
+    """The first 500 characters of both texts."""
+    return pages(spark, d).select("page_id", F.substring("ocr_text", 1, 500).alias("ocr_preview"), F.substring("translated_text", 1, 500).alias("translated_preview"))
 
 
 @query("select page_id, lower(regexp_replace(translated_text,'[^A-Za-z0-9]','','g')) as cleaned, length(translated_text) as n from book_pages where contains(lower(translated_text), 'relay')")

@@ -67,5 +67,8 @@ def test_empty_and_tables(spark):
     one = spark.createDataFrame([(1, '{"tables": [{"id": "a", "cells": [{"text": "x"}]}]}'), (None, '{"tables": {}}')], "artifact_id long, body string")
     flat = related_tables(one, "artifact_id", "body")
     assert set(flat) == {"table", "cell", "rendering", "annotation"}
-    assert [json.loads(r.payload) for r in flat["cell"].collect()] == [{"text": "x"}]
-    assert flat["table"].count() == 2
+    assert [(r.artifact_id, r.parent_path, r.ordinal, r.text, r.row_idx) for r in flat["cell"].collect()] == [(1, "tables[0]", 0, "x", None)]
+    assert sorted((r.artifact_id or 0, r.table_key or "") for r in flat["table"].collect()) == [(0, ""), (1, "a")]
+    boxes = spark.createDataFrame([(1, '{"diagram_renderings": [{"bbox": {"x": "3", "y": 4.7, "w": null}}, {"bbox": [5, 6, 7, 8]}, {"bbox": "odd", "mode": 5}]}')], "artifact_id long, body string")
+    got = related_tables(boxes, "artifact_id", "body")["rendering"].orderBy("ordinal").collect()
+    assert [(r.x, r.y, r.w, r.h, r.mode) for r in got] == [(3, 4, None, None, None), (5, 6, 7, 8, None), (None, None, None, None, "5")]

@@ -71,10 +71,54 @@ def test_paragraph_text_is_anchored(spark):
 
 
 def test_page_numbers_are_allocated_in_order(spark):
-    ups = [(1, i, n, [1, 2]) for i, n in enumerate(["page_2.jpg", "scan-7.png", "x.jpg", "p7.jpg", "page 9_7.jpg"])] + [(2, 0, None, None)]
-    df = spark.createDataFrame(ups, "project_id long, seq int, name string, taken array<int>")
-    got = {(r.project_id, r.seq): r.page_number for r in relational.allocate_page_numbers(df).collect()}
+    ups = [(1, i, n) for i, n in enumerate(["page_2.jpg", "scan-7.png", "x.jpg", "p7.jpg", "page 9_7.jpg"])] + [(2, 0, None)]
+    df = spark.createDataFrame(ups, "project_id long, seq int, name string")
+    taken = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (3, None)], "project_id long, page_number int")
+    got = {(r.project_id, r.seq): r.page_number for r in relational.allocate_page_numbers(df, taken).collect()}
     assert got == {(1, 0): 3, (1, 1): 7, (1, 2): 8, (1, 3): 9, (1, 4): 10, (2, 0): 1}
+    # a hot project goes through in many batches
+    many = spark.range(25_000).selectExpr("1L as project_id", "cast(id as int) as seq", "concat('page_', id % 1000, '.jpg') as name")
+    out = relational.allocate_page_numbers(many, taken.limit(0)).collect()
+    assert len({r.page_number for r in out}) == len(out) == 25_000
+
+
+def test_deletes_uploads_and_selection(spark):
+    pages = spark.createDataFrame([(1, 5, 1, "COMPLETED"), (2, 5, 2, "FAILED"), (3, 6, 1, None), (4, None, None, "COMPLETED")], "page_id long, project_id long, page_number int, status string")
+    projects = spark.createDataFrame([(5, 2, 0), (6, None, None), (7, 3, 1)], "project_id long, total_pages int, completed_pages int")
+    kept, counters = relational.without_pages(pages, projects, spark.createDataFrame([(1,), (1,), (3,), (9,)], "page_id long"))
+    assert {r.page_id for r in kept.collect()} == {2, 4}
+    assert {r.project_id: (r.total_pages, r.completed_pages) for r in counters.collect()} == {5: (1, 0), 6: (0, 0), 7: (3, 1)}
+    incoming = spark.createDataFrame([(5, 2, 1), (5, 3, 2), (5, 3, 3), (None, 1, 4)], "project_id long, page_number int, seq int")
+    assert {r.seq: r.accepted for r in relational.accepted_uploads(incoming, pages).collect()} == {1: False, 2: True, 3: False, 4: True}
+    users = spark.createDataFrame([("a@x",), (None,)], "email string")
+    mails = spark.createDataFrame([("a@x", 1), ("b@x", 2), ("b@x", 3), ("B@x", 4), (None, 5)], "email string, seq int")
+    assert {r.seq: r.accepted for r in relational.unique_emails(mails, users).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
+    s = {r.project_id: (r.selectable, r.selected, r.action) for r in relational.selection(pages, spark.createDataFrame([(1,), (2,), (2,), (77,)], "page_id long")).collect()}
+    assert s == {5: (2, 2, "deselect"), 6: (0, 0, "select"), None: (1, 0, "select")}
+
+
+def test_a_cell_far_outside(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a", None, 2, 1), (1, 1, 1, "b", None, None, None), (2, 1_000_000, 1_000_000, "x", None, 1, 1)], "table_id long, row_idx int, col_idx int, text string, translation string, row_span int, col_span int")
+    assert {r.table_id: r.csv for r in tables.csv_lines(cells).collect()} == {1: "a,\n,b", 2: None}
+    assert {r.table_id: r.html for r in tables.html_tables(cells).collect()} == {1: "<table><tr><td rowspan='2'>a</td><td></td></tr><tr><td>b</td></tr></table>", 2: None}
+
+
+def test_translate_values_and_once(spark):
+    from foliolake.operators import textstats
+
+    df = spark.createDataFrame([(1, {"a": "x", "b": None, "c": "x"}), (2, None), (3, {})], "id long, labels map<string,string>")
+    got = {r.id: r.labels for r in textstats.translate_values(df, "id", "labels").collect()}
+    assert got == {1: {"a": "[EN]x", "b": None, "c": "[EN]x"}, 2: None, 3: {}}
+    texts = spark.createDataFrame([(1, "x", "q"), (2, "x", "q"), (3, " ", "q"), (4, None, "q")], "id long, t string, _a string")
+    assert {r.id: r.translated for r in textstats.translate_once(texts.drop("_a"), "t").collect()} == {1: "[EN]x", 2: "[EN]x", 3: "", 4: ""}
+
+
+def test_file_rules_and_fonts(spark):
+    pages = spark.createDataFrame([(1, "COMPLETED", "a", "b"), (2, "COMPLETED", "c", None), (3, "FAILED", None, None)], "page_id long, status string, original_image_path string, output_pdf_path string")
+    files = spark.createDataFrame([("a", 0), ("b", 999), ("c", 5), (None, 7)], "path string, length long")
+    assert sorted((r.page_id, r.issue_type) for r in quality.file_issues(pages, files).collect()) == [(1, "empty_input"), (1, "small_output"), (2, "missing_output")]
+    h = spark.createDataFrame([(5,), (20,), (100,)], "h int")
+    assert [tuple(r) for r in h.select(layout.label_font(F.col("h"), 0.5, True), layout.label_font(F.col("h"), 0.5, False)).collect()] == [(4, 6), (7, 6), (10, 10)]
 
 
 def test_quality_of_hand_worked_pages(spark):
@@ -146,8 +190,8 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string").withColumn("ts", F.col("t").cast("timestamp"))
     df.select("event_id", "ts", "user_id", "event_type").write.parquet(str(tmp_path / "events.parquet"))
     s = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string").parquet(str(tmp_path / "events.parquet"))
-    out = status.run_once(status.running_state(s), "st", str(tmp_path / "c1"), "update")
+    out = status.rolled_up(status.run_once(status.running_state(s), str(tmp_path / "c1")))
     assert {(r.key, r.status, r.changes) for r in out.collect()} == {(0, "b", 4), (1, "b", 4)}
-    w = status.run_once(status.windowed_counts(s), "wn", str(tmp_path / "c2"), "complete")
+    w = status.run_once(status.windowed_counts(s), str(tmp_path / "c2"), "complete")
     assert sum(r.n for r in w.collect()) == 8
     assert {(r.old, r.new, r.n) for r in status.transitions(df, "user_id", "event_type", "ts", "event_id").collect()} == {("a", "b", 4), ("b", "a", 2)}
