@@ -95,12 +95,11 @@ def consistent_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     return df.mapInArrow(run, StructType([*schema.fields, StructField(out, StringType())]))
 
 
-def same_look_pairs(df: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
-    """Pairs (id_a < id_b) of rows of a group whose texts differ as stored but look the same.
+def _mixed(df: DataFrame, group: list[str], key: str, text: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows (group, look, look2, id, th) of the looks that stand for more than one text of a group, with the names of the group's columns and of the look's key.
 
     Only a 16-byte digest of form and text travels. Groups in which all texts are equal - the
-    hot ones, copies of one text - are dropped by a pre-aggregated minimum and maximum before
-    anything is paired; the rest are joined by key, never crossed.
+    hot ones, copies of one text - are dropped by a pre-aggregated minimum and maximum.
     """
     inner = [f"g{i}" for i in range(len(group))]  # the caller's names can't clash with ours
     some = df.select(*[F.col(c).alias(g) for c, g in zip(group, inner, strict=True)], F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
@@ -108,7 +107,28 @@ def same_look_pairs(df: DataFrame, group: list[str], key: str, text: str) -> Dat
     slim = checkpointed(rows.select(*inner, "id", F.xxhash64("form").alias("look"), F.xxhash64(F.lit(7), "form").alias("look2"), F.xxhash64("t").alias("th")).distinct())
     by = [*inner, "look", "look2"]
     mixed = slim.groupBy(*by).agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select(*by)
-    some = slim.join(mixed, by, "left_semi")
+    return slim.join(mixed, by, "left_semi"), inner, by
+
+
+def same_look_pairs(df: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
+    """Pairs (id_a < id_b) of rows of a group whose texts differ as stored but look the same.
+
+    The rows are joined by group and look, never crossed; the pairs are the result asked for. Where
+    classes with their members are enough, ``same_look_classes`` gives one row for each row.
+    """
+    some, inner, by = _mixed(df, group, key, text)
     a, b = some.withColumnRenamed("id", "id_a").withColumnRenamed("th", "ta"), some.withColumnRenamed("id", "id_b").withColumnRenamed("th", "tb")
     pairs = a.join(b, by).filter("id_a < id_b and ta <> tb").distinct()
     return pairs.select(*[F.col(g).alias(c) for c, g in zip(group, inner, strict=True)], "id_a", "id_b").distinct()
+
+
+def same_look_classes(df: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
+    """The rows of texts that look like another, differently stored text of their group: group, id, class_id (the least id of the look), text_id (the least id of the same text) and links (rows of other texts of the class).
+
+    Representatives and membership in place of pairs: in proportion to the rows, however many share a look.
+    """
+    some, inner, by = _mixed(df, group, key, text)
+    texts = some.groupBy(*by, "th").agg(F.min("id").alias("text_id"), F.count("*").alias("n"))
+    looks = texts.groupBy(*by).agg(F.min("text_id").alias("class_id"), F.sum("n").alias("all"))
+    known = texts.join(looks, by).select(*by, "th", "text_id", "class_id", (F.col("all") - F.col("n")).alias("links"))
+    return some.join(known, [*by, "th"]).select(*[F.col(g).alias(c) for c, g in zip(group, inner, strict=True)], "id", "class_id", "text_id", "links")

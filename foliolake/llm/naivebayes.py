@@ -22,7 +22,6 @@ DAMP = 0.4
 BLOCK = 200_000
 #: How much better (a character, damped) a language's own model must explain its texts than any other's.
 TWIN_GAP = 0.08
-DEBUG = False
 _CODE = re.compile(r"[A-Z]{1,2}[-/]?\d+|[0-9０-９]+(?:[.,][0-9]+)*")
 _OTHER = re.compile(r"[\W_]+")
 
@@ -128,7 +127,7 @@ def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, f
     half = np.array([zlib.crc32(t.encode()) & 1 for t in texts], int)
     now = labels.copy()
     sizes = np.array([max(1, len(t)) for t in texts], float)
-    for r in range(0 if fixed else rounds):
+    for _ in range(0 if fixed else rounds):
         ll = np.zeros((len(texts), len(langs)))
         for h in (0, 1):
             train = (half != h) & (now >= 0)
@@ -157,8 +156,6 @@ def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, f
         own = np.where(now >= 0, ll[np.arange(len(texts)), np.maximum(now, 0)], -1e9)
         best = ll.argmax(axis=1)
         now = np.where((ll.max(axis=1) - own > 2.0) | (own <= -1e8), best, now)
-        if DEBUG:
-            print("round", r, "dead", [langs[k] for k in dead], Counter(langs[k] for k in now))
     shares = np.bincount(now[now >= 0], minlength=len(langs)) / max(1, (now >= 0).sum())
     keep = now >= 0
     model = NaiveBayes(langs, count_grams([t for t, m in zip(texts, keep, strict=True) if m], now[keep], weights[keep], len(langs)), shares)

@@ -78,6 +78,11 @@ def p4_found(spark, sf_dir):
     return lookalike.same_look_pairs(records(spark, sf_dir, "page_id", "text"), ["rec_kind", "page_id"], "rec_id", "text").select("rec_kind", "id_a", "id_b")
 
 
+def p4_classes(spark, sf_dir):
+    """The same as classes with their members: one row for each box or cell that looks like another."""
+    return lookalike.same_look_classes(records(spark, sf_dir, "page_id", "text"), ["rec_kind", "page_id"], "rec_id", "text").select("rec_kind", F.col("id").alias("rec_id"), "class_id", "text_id", "links")
+
+
 def p4_forms(spark, sf_dir):
     """The consistent form of every text of boxes and cells."""
     return lookalike.consistent_form(records(spark, sf_dir, "text").distinct(), "text").select("rec_kind", "rec_id", "form")
@@ -129,8 +134,7 @@ def p7_found(spark, sf_dir):
 def p7_units(spark, sf_dir):
     """The units with their text."""
     pages = titled_pages(spark, sf_dir)
-    units = sentences.unit_starts(pages, sentences.fit_on(pages))
-    return units.join(table(spark, sf_dir, "book_pages").select("page_id", "ocr_text"), "page_id").select("page_id", "start_pos", F.expr("substring(ocr_text, start_pos + 1, end_pos - start_pos)").alias("unit"))
+    return sentences.unit_starts(pages, sentences.fit_on(pages), with_text=True).select("page_id", "start_pos", "unit")
 
 
 def p8_ids(spark, sf_dir):
@@ -163,11 +167,12 @@ def p10_found(spark, sf_dir):
     return splitting.stretches(wide(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").filter(F.size("sizes") > 1).select(F.col("key").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_labels": p6_labels, "p7_found": p7_found, "p7_units": p7_units, "p8_ids": p8_ids, "p9_found": p9_found, "p9_runs": p9_runs, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 _TEXTS = "t as (select distinct 'text_box' as rec_kind, page_id, box_id as rec_id, text from text_boxes union all select distinct 'table_cell', page_id, cell_id, text from table_cells)"
 #: The forms are made by DuckDB in the query as well; what this checks is that they reach every row once, and the pairs.
 SQL: dict[str, str] = {
     "p4_forms": f"with {_TEXTS} select distinct rec_kind, rec_id, {lookalike.form_sql('text')} as form from t",
     "p4_found": f"with {_TEXTS}, f as (select *, {lookalike.form_sql('text')} as form from t where text <> '') select distinct a.rec_kind, a.rec_id as id_a, b.rec_id as id_b from f a join f b on a.rec_kind = b.rec_kind and a.page_id = b.page_id and a.form = b.form and a.text <> b.text and a.rec_id < b.rec_id",
+    "p4_classes": f"with {_TEXTS}, f as (select *, {lookalike.form_sql('text')} as form from t where text <> ''), k as (select rec_kind, page_id, form, min(rec_id) as class_id, count(*) as n from f group by 1,2,3 having count(distinct text) > 1), x as (select rec_kind, page_id, form, text, min(rec_id) as text_id, count(*) as m from f group by 1,2,3,4) select f.rec_kind, f.rec_id, class_id, text_id, cast(n - m as bigint) as links from f join k using (rec_kind, page_id, form) join x using (rec_kind, page_id, form, text)",
 }

@@ -478,21 +478,23 @@ def fit_on(pages, rows: int = SAMPLE_PAGES, text: str = "ocr_text"):
     return pages.sparkSession.sparkContext.broadcast(fit_model(found))
 
 
-def unit_starts(pages, model, text: str = "ocr_text"):
-    """page_id, start_pos, end_pos of the units of ``pages`` (page_id, title, page_number, text). One pass, no shuffle."""
+def unit_starts(pages, model, text: str = "ocr_text", with_text: bool = False):
+    """page_id, start_pos, end_pos (and unit, the text itself) of the units of ``pages`` (page_id, title, page_number, text). One pass."""
     import pyarrow as pa
 
-    schema = pa.schema([("page_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
+    schema = pa.schema([("page_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32())] + [("unit", pa.string())] * with_text)
 
     def run(batches):
         segmenter = Segmenter(model.value)
         for batch in slices(batches):
-            ids, starts, ends = [], [], []
+            ids, starts, ends, units = [], [], [], []
             for page, t, title, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a, b in page_units(t, title, number, segmenter) if t else ():
                     ids.append(page)
                     starts.append(a)
                     ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=schema)
+                    if with_text:
+                        units.append(t[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())] + [pa.array(units, pa.string())] * with_text, schema=schema)
 
-    return pages.select("page_id", text, "title", "page_number").mapInArrow(run, "page_id long, start_pos int, end_pos int")
+    return pages.select("page_id", text, "title", "page_number").mapInArrow(run, "page_id long, start_pos int, end_pos int" + ", unit string" * with_text)

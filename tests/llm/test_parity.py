@@ -36,3 +36,9 @@ def test_runs(spark, name):
         assert rows and (name in ("p8_ids",) or len(set(rows)) == len(rows))
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_classes", "p4_forms", "p8_ids", "p9_found", "p9_runs", "p10_found", "p10_pieces"])
+def test_no_cross_joins(spark, name):
+    plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
