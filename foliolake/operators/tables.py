@@ -65,25 +65,44 @@ def html_tables(cells: DataFrame) -> DataFrame:
     """Each table as HTML with spans; a place covered by an earlier span gives no cell. Null for grids of over ``MAX_PLACES`` places.
 
     Whether a cell's span counts depends on whether the cell itself is covered, so the spans that
-    count come from a fold over the table's spanning cells in reading order; they are few, and every
-    place is then tested against them alone.
+    count come from a fold over the table's spanning cells in reading order; they are few. Rows are
+    made of their own cells and the gaps between, so nothing but the table's key moves the data.
     """
     rs, cs = F.greatest(F.lit(1), F.coalesce("row_span", F.lit(1))), F.greatest(F.lit(1), F.coalesce("col_span", F.lit(1)))
-    g = full_grid(cells).withColumn("rs", rs).withColumn("cs", cs)
+    td = F.lit("<td></td>")
 
     def covers(s: Column, r: Column, c: Column) -> Column:
         return (r >= s["r"]) & (r < s["r"] + s["rs"]) & (c >= s["c"]) & (c < s["c"] + s["cs"]) & ((r != s["r"]) | (c != s["c"]))
 
-    wide = cells.select("table_id", F.struct(F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), rs.alias("rs"), cs.alias("cs")).alias("s")).filter("s.rs > 1 or s.cs > 1")
-    spans = wide.groupBy("table_id").agg(F.array_sort(F.collect_list("s")).alias("ss"))
+    def covered(kept: Column, r: Column, c: Column) -> Column:
+        return F.exists(kept, lambda s: covers(s, r, c))
+
+    def gap(kept: Column, r: Column, lo: Column, hi: Column) -> Column:
+        """The places of row r from lo to before hi, which have no cell."""
+        free = F.filter(F.sequence(lo, hi - 1), lambda c: ~covered(kept, r, c))
+        return F.when(hi <= lo, "").when(F.size(kept) == 0, F.repeat(td, hi - lo)).otherwise(F.repeat(td, F.size(free)))
+
+    own = F.struct(F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), rs.alias("rs"), cs.alias("cs"))
     none = F.array().cast("array<struct<r:int,c:int,rs:int,cs:int>>")
-    kept = F.aggregate("ss", none, lambda acc, s: F.when(F.exists(acc, lambda o: covers(o, s["r"], s["c"])), acc).otherwise(F.concat(acc, F.array(s))))
-    g = g.join(spans.select("table_id", kept.alias("kept")), "table_id", "left")
-    covered = F.coalesce(F.exists("kept", lambda s: covers(s, F.col("row_idx"), F.col("col_idx"))), F.lit(False))
-    attrs = F.concat(F.when(F.col("rs") > 1, F.concat(F.lit(" rowspan='"), F.col("rs").cast("string"), F.lit("'"))).otherwise(""), F.when(F.col("cs") > 1, F.concat(F.lit(" colspan='"), F.col("cs").cast("string"), F.lit("'"))).otherwise(""))
-    cell = F.when(covered, "").when(F.col("there").isNull(), "<td></td>").otherwise(F.concat(F.lit("<td"), attrs, F.lit(">"), F.coalesce("shown", F.lit("")), F.lit("</td>")))
-    rows = g.select("table_id", "row_idx", F.struct("col_idx", cell.alias("h")).alias("p")).groupBy("table_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["h"]), "").alias("h"))
-    out = rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "h"))), lambda p: p["h"]), "</tr><tr>").alias("h"))
+    kept = F.aggregate(F.array_sort("ss"), none, lambda acc, s: F.when(F.exists(acc, lambda o: covers(o, s["r"], s["c"])), acc).otherwise(F.concat(acc, F.array(s))))
+    whole = cells.groupBy("table_id").agg(F.max("row_idx").alias("mr"), F.max("col_idx").alias("mc"), F.collect_list(F.when((rs > 1) | (cs > 1), own)).alias("ss"))
+    whole = whole.filter((F.col("mr").cast("long") + 1) * (F.col("mc").cast("long") + 1) <= MAX_PLACES).select("table_id", "mr", "mc", kept.alias("kept"))
+    attrs = F.concat(F.when(rs > 1, F.concat(F.lit(" rowspan='"), rs.cast("string"), F.lit("'"))).otherwise(""), F.when(cs > 1, F.concat(F.lit(" colspan='"), cs.cast("string"), F.lit("'"))).otherwise(""))
+    cell = F.struct(F.col("col_idx").alias("c"), F.concat(F.lit("<td"), attrs, F.lit(">"), shown(cells), F.lit("</td>")).alias("h"))
+    rows = cells.groupBy("table_id", "row_idx").agg(F.array_sort(F.collect_list(cell)).alias("cells")).join(whole, "table_id")
+    r = F.col("row_idx")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("hs"))
+    step = lambda acc, x: F.struct((x["c"] + 1).alias("at"), F.concat(acc["hs"], F.array(F.concat(gap(F.col("kept"), r, acc["at"], x["c"]), F.when(covered(F.col("kept"), r, x["c"]), "").otherwise(x["h"])))).alias("hs"))
+    line = F.aggregate("cells", start, step, lambda acc: F.concat(F.array_join(acc["hs"], ""), gap(F.col("kept"), r, acc["at"], F.col("mc") + 1)))
+    rows = rows.select("table_id", F.struct(r.alias("r"), line.alias("h")).alias("row"), "mr", "mc", "kept")
+    g = rows.groupBy("table_id").agg(F.array_sort(F.collect_list("row")).alias("rows"), F.first("mr").alias("mr"), F.first("mc").alias("mc"), F.first("kept").alias("kept"))
+
+    def missing(lo: Column, hi: Column) -> Column:
+        """Rows from lo to before hi, which have no cell."""
+        return F.when(hi <= lo, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(lo, hi - 1), lambda i: gap(F.col("kept"), i, F.lit(0), F.col("mc") + 1)))
+
+    stack = lambda acc, x: F.struct((x["r"] + 1).alias("at"), F.concat(acc["hs"], missing(acc["at"], x["r"]), F.array(x["h"])).alias("hs"))
+    out = g.select("table_id", F.array_join(F.aggregate("rows", start, stack)["hs"], "</tr><tr>").alias("h"))
     return out.select("table_id", F.concat(F.lit("<table><tr>"), "h", F.lit("</tr></table>")).alias("html")).unionByName(oversized(cells, "html"))
 
 
