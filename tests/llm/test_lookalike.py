@@ -19,3 +19,22 @@ def test_pairs(spark):
     got = {(r.id_a, r.id_b) for r in k.same_look_pairs(df, ["id"], "t", "look").collect()}
     assert got == {(1, 2), (2, 3)}
     assert k.same_look_pairs(df.limit(0), ["id"], "t", "look").count() == 0
+
+
+def test_classes_against_pairs(spark):
+    import random
+
+    rnd = random.Random(3)
+    forms = ["Pump", "Рump", "Pu​mp", "Filter", "Fi‌lter", "x", None, ""]
+    rows = [(i, rnd.randint(1, 4), rnd.choice(forms), "clash") for i in range(120)] + [(1, 1, "Pump", "clash")]
+    df = spark.createDataFrame(rows, "id long, page long, text string, class_id string")
+    pairs = {(r.id_a, r.id_b) for r in k.same_look_pairs(df, ["page"], "id", "text").collect()}
+    classes = k.same_look_classes(df, ["page"], "id", "text").collect()
+    by = {}
+    for r in classes:
+        by.setdefault((r.page, r.class_id), []).append(r)
+    spread = {(a.id, b.id) for rs in by.values() for a in rs for b in rs if a.id < b.id and a.text_id != b.text_id}
+    assert spread == {p for p in pairs}
+    linked = {r.id: r.links for r in classes}
+    assert all(linked[i] == sum(i in p for p in pairs) for i in linked if i != 1)
+    assert k.same_look_classes(df.limit(0), ["page"], "id", "text").count() == 0

@@ -376,3 +376,26 @@ def test_refusals_in_other_wordings():
     assert m.defects([src], ["Unfortunately, the pump can't be repaired here."], ["en"])[0][0] is None
     # in the source's language, and quoting a number of the text
     assert m.defects(["Falls die Pumpe 17 Lärm macht, ersetzen Sie das Ventil."], ["Sorry, but I am not able to translate such content (17)."], ["en"])[0][0] == "refusal"
+
+
+def test_languages_held_out():
+    rnd = random.Random(21)
+    de = lambda: f"Falls {TEIL[rnd.choice(PARTS)]} {rnd.choice(('Lärm', 'Rauch', 'Staub'))} macht, ersetzen Sie {TEIL[rnd.choice(PARTS)]} sofort."
+    es = lambda: f"Cambie {rnd.choice(('la bomba', 'el filtro', 'la junta', 'el muelle'))} y guarde la pieza en {rnd.choice(('un lugar seco', 'la caja', 'el taller'))}."
+    make = {"en": lambda: en(rnd)[0], "de": de, "es": es}
+    langs = sorted(make)
+    # a tenth of the labels are wrong
+    nb = naivebayes.fit([(make[x](), x if rnd.random() < 0.9 else rnd.choice(langs)) for x in langs for _ in range(150)], langs)
+    seg = sentences.Segmenter(sentences.fit_model([("\n".join(f"- {make[x]()}" for _ in range(5)), None, None) for x in langs for _ in range(60)]))
+    hits = found = total = 0
+    for _ in range(60):
+        parts = [(x, rnd.randint(1, 4)) for x in rnd.sample(langs, rnd.randint(1, 3))]
+        text, want = "", set()
+        for x, n in parts:
+            want.add((len(text), x))
+            text += "".join(make[x]() + "\n" for _ in range(n))
+        units = sentences.page_units(text, None, None, seg)
+        path = languages.decode(languages.unit_likelihoods(text, units, nb), nb.prior * 0)
+        got = {(units[i][0], langs[k]) for i, k in enumerate(path) if i == 0 or path[i - 1] != k}
+        hits, found, total = hits + len(got & want), found + len(got), total + len(want)
+    assert hits >= 0.95 * total and hits >= 0.95 * found
