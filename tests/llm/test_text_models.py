@@ -399,3 +399,16 @@ def test_languages_held_out():
         got = {(units[i][0], langs[k]) for i, k in enumerate(path) if i == 0 or path[i - 1] != k}
         hits, found, total = hits + len(got & want), found + len(got), total + len(want)
     assert hits >= 0.95 * total and hits >= 0.95 * found
+
+
+def test_sentence_model_of_all_pages(spark):
+    rows = [(k, f"- Part w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000]} is warm.\n- Part is cold.\n- 泵已停止运转。", None, k % 50) for k in range(9_000)]
+    rows.append((9_000, "\n".join("- Zeppelin units are long." for _ in range(1_000)), None, None))  # over 20,000 characters
+    pages = spark.createDataFrame([*rows, (9_001, None, None, None)], "page_id long, ocr_text string, title string, page_number int").repartition(6)
+    got = sentences.fit_on(pages).value
+    want = sentences.fit_model([r[1:] for r in rows])
+    assert got.ctx.keys() == want.ctx.keys() and got.size == want.size
+    assert all(got.ctx[h][1].keys() == x.keys() and abs(got.ctx[h][0] - r) < 1e-9 for h, (r, x) in want.ctx.items())
+    assert sum(len(w) == 5 and w[0] == "w" for w in got.ctx[()][1]) == 9_000 and "Zeppelin" in got.ctx[()][1]
+    both = alignment.fit_on(pages.withColumn("translated_text", pages.ocr_text)).value
+    assert len(both.ctx[()][1]) == len(got.ctx[()][1])
