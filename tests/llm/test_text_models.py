@@ -412,3 +412,18 @@ def test_sentence_model_of_all_pages(spark):
     assert sum(len(w) == 5 and w[0] == "w" for w in got.ctx[()][1]) == 9_000 and "Zeppelin" in got.ctx[()][1]
     both = alignment.fit_on(pages.withColumn("translated_text", pages.ocr_text)).value
     assert len(both.ctx[()][1]) == len(got.ctx[()][1])
+
+
+def test_work_is_done_once(corpus):
+    model = sentences.fit_model([(t, None, None) for t in corpus])
+    seg, calls, plain = sentences.Segmenter(model), [], model._lp
+    model._lp = lambda *x: calls.append(x) or plain(*x)
+    units = [seg.units(t, [None] * (t.count("\n") + 1)) for t in corpus[:40]]
+    assert calls and len(calls) == len(set(calls))
+    model.known.clear(), model.cache.clear()
+    assert units == [sentences.Segmenter(model).units(t, [None] * (t.count("\n") + 1)) for t in corpus[:40]]
+    lexicon = alignment.Lexicon({"de": {"eins": {"one": 0.5}, "zwei": {"two": 0.25, "one": 0.125}}})
+    source = [alignment.tokens(x) for x in ("one two", "two two six")]
+    for _ in range(2):  # nothing of a page stays
+        assert lexicon.masses("de", ["zwei", "drei", "eins"], source).tolist() == [[0, 0.375, 0.5], [0, 0, 0], [0, 0.5, 0]]
+    assert (lexicon.slots["de"] == -1).all()
