@@ -427,3 +427,17 @@ def test_work_is_done_once(corpus):
     for _ in range(2):  # nothing of a page stays
         assert lexicon.masses("de", ["zwei", "drei", "eins"], source).tolist() == [[0, 0.375, 0.5], [0, 0, 0], [0, 0.5, 0]]
     assert (lexicon.slots["de"] == -1).all()
+
+
+def test_editor_of_all_pages(spark):
+    rnd = random.Random(3)
+    texts = list(book(rnd, 300))
+    rows = [(k, k % 3, k % 9, f"Pump Book\n{texts[k % 300]}\nPart q{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000]} is warm.\n{k % 9}") for k in range(10_000)]
+    rows.append((10_000, 0, None, "\n".join("Zeppelin units are long." for _ in range(1_000))))  # over 20,000 characters
+    pages = spark.createDataFrame([*rows, (10_001, 1, 1, None)], "page_id long, project_id long, page_number int, ocr_text string")
+    projects = spark.createDataFrame([(0, "Pump Book"), (1, None)], "project_id long, title string")
+    got = noise.fit_on(pages, projects).value
+    assert got.counts["Zeppelin"] == 1_000 and sum(len(w) == 5 and w[0] == "q" for w in got.counts) == 10_000
+    want = noise.fit_editor([r[3] for r in rows], [("Pump Book" if r[1] == 0 else None, r[2]) for r in rows])
+    assert got.counts == want.counts and got.w == want.w and got.furniture.w == want.furniture.w
+    assert got.furniture(["Pump Book", "Remove the pump.", "7"], "Pump Book", 7) == ["header", None, "page_number"]
