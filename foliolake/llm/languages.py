@@ -25,7 +25,6 @@ import numpy as np
 
 from foliolake.llm import naivebayes, pagetext, sentences
 
-SAMPLE_PAGES = 3_000
 #: Weight (in pages) of the user's shares in a project's prior, and of the whole in a user's.
 HOST_WEIGHT, USER_WEIGHT = 2.0, 5.0
 #: Most that a declared label or an address suffix may add to its language's log-odds, however reliable they are.
@@ -41,17 +40,16 @@ def suffix_label(path: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
+def pieces(text: str, title: str | None, number: int | None) -> list[str]:
+    """Short pieces of a page without its furniture: pages may mix languages, and headings must count too."""
+    lines = text.split("\n")
+    body = [s for s, k in zip(lines, pagetext.furniture(lines, title, number), strict=True) if not k and s.strip()]
+    return [" ".join(body[i : i + 3]) for i in range(0, len(body), 3)]
+
+
 def fit_languages(rows: list[tuple[str, str | None, int | None, str | None]], langs: list[str], codes: dict[str, str]) -> naivebayes.NaiveBayes:
-    """From (text, title, number, declared label) of sample pages; the furniture is left out."""
-    data = []
-    for text, title, number, label in rows:
-        lines = text.split("\n")
-        kinds = pagetext.furniture(lines, title, number)
-        body = [s for s, k in zip(lines, kinds, strict=True) if not k and s.strip()]
-        lab = naivebayes.normal_label(label, codes)
-        # short pieces: pages may mix languages, and headings must count too
-        data += [(" ".join(body[i : i + 3]), lab) for i in range(0, len(body), 3)]
-    return naivebayes.fit(data, langs)
+    """From (text, title, number, declared label) of pages."""
+    return naivebayes.fit([(x, naivebayes.normal_label(label, codes)) for text, title, number, label in rows for x in pieces(text, title, number)], langs)
 
 
 def unit_likelihoods(text: str, units: list[tuple[int, int]], nb: naivebayes.NaiveBayes) -> np.ndarray:
@@ -81,6 +79,24 @@ def decode(ll: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> list[in
 # -- Spark ------------------------------------------------------------------------------------------
 
 
+def fit_on(pages, langs: list[str], codes: dict[str, str]):
+    """``fit_languages`` on all ``pages`` (ocr_text, title, page_number, detected_language), broadcast."""
+    import pyarrow as pa
+
+    index = {c: k for k, c in enumerate(langs)}
+
+    def run(batches):
+        for batch in sentences.slices(batches):
+            found: Counter[tuple[str, int]] = Counter()
+            for t, title, number, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lab = index.get(naivebayes.normal_label(label, codes) or "", -1)
+                found.update((naivebayes.clean(x), lab) for x in pieces(t, title, number))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["t", "lab", "n"])
+
+    texts = pages.filter("ocr_text is not null").select("ocr_text", "title", "page_number", "detected_language").mapInArrow(run, "t string, lab int, n long")
+    return pages.sparkSession.sparkContext.broadcast(naivebayes.fit_on(texts, langs))
+
+
 def evidence(pages, model, nb, codes):
     """First pass: page_id, project_id, declared label, the languages (as places in the list, null if none) that label and suffix name, the likeliest one, starts, sizes, ll (units x languages, flat)."""
     import pyarrow as pa

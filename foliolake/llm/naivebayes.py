@@ -109,13 +109,22 @@ def count_grams(texts: list[str], labels: np.ndarray, weights: np.ndarray, n_lan
         some = [t for t, lab in zip(texts, labels, strict=True) if lab == k]
         own = weights[labels == k]
         for lo, hi in blocks(some):
-            w = np.repeat(own[lo:hi], [len(t) for t in some[lo:hi]])
-            for g in grams(codepoints("".join(some[lo:hi]))):
+            part = [f"  {t}  " for t in some[lo:hi]]  # apart, so that no n-gram is of two texts
+            w = np.repeat(own[lo:hi], [len(t) for t in part])
+            for g in grams(codepoints("".join(part))):
                 out[:, k] += np.bincount(g, weights=w, minlength=1 << BITS)
     out[0] = 0
     return out
 
 
+def relabelled(ll: np.ndarray, now: np.ndarray, usable: list[int]) -> np.ndarray:
+    """New labels from the likelihoods: short texts keep their label unless another fits clearly better."""
+    ll = ll.copy()
+    ll[:, [k for k in range(ll.shape[1]) if k not in usable]] = -1e9
+    own = np.where(now >= 0, ll[np.arange(len(now)), np.maximum(now, 0)], -1e9)
+    return np.where((ll.max(axis=1) - own > 2.0) | (own <= -1e8), ll.argmax(axis=1), now)
+
+
 def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, fixed: bool = False) -> NaiveBayes:
     """From (text, label or None). Equal texts count once for each label (with the logarithm of their number)."""
     index = {c: k for k, c in enumerate(langs)}
@@ -149,19 +158,101 @@ def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, f
                 dead.add(k)
         if dead:
             ll[:, sorted(dead)] = -1e9
-        usable = [k for k in alive if k not in dead]
-        rest = [k for k in range(len(langs)) if k not in usable]
-        ll[:, rest] = -1e9
-        # short texts keep their label unless another fits clearly better
-        own = np.where(now >= 0, ll[np.arange(len(texts)), np.maximum(now, 0)], -1e9)
-        best = ll.argmax(axis=1)
-        now = np.where((ll.max(axis=1) - own > 2.0) | (own <= -1e8), best, now)
+        now = relabelled(ll, now, [k for k in alive if k not in dead])
     shares = np.bincount(now[now >= 0], minlength=len(langs)) / max(1, (now >= 0).sum())
     keep = now >= 0
     model = NaiveBayes(langs, count_grams([t for t, m in zip(texts, keep, strict=True) if m], now[keep], weights[keep], len(langs)), shares)
     return model
 
 
+def fit_on(texts, langs: list[str], rounds: int = 3) -> NaiveBayes:
+    """``fit`` on all rows of ``texts`` (t: cleaned text, lab: place of its label in ``langs`` or -1, n: count), by grouped counts.
+
+    The texts stay on the cluster with their labels and likelihoods (a checkpoint a round). What reaches the driver are
+    the n-gram counts by language and, of each class, how many texts another class explains as well.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from foliolake.session import checkpointed
+
+    spark, k = texts.sparkSession, len(langs)
+    sc = spark.sparkContext
+    items = texts.filter("length(t) > 2").repartition(2 * sc.defaultParallelism, "t", "lab").groupBy("t", "lab").agg(F.sum("n").alias("n"))
+    state = checkpointed(items.select("t", "n", F.col("lab").alias("now"), F.array().cast("array<float>").alias("ll")))
+
+    def read(batch, usable):
+        """Texts, weights, halves and labels of a batch."""
+        t, n, now, ll = batch.columns
+        t, now = t.to_pylist(), now.to_numpy(zero_copy_only=False).astype(int)
+        if usable is not None and t:
+            now = relabelled(ll.flatten().to_numpy(zero_copy_only=False).reshape(len(t), k).astype(float), now, usable)
+        return t, n.to_numpy(zero_copy_only=False), np.array([zlib.crc32(x.encode()) & 1 for x in t], int), now
+
+    def counted(state, usable):
+        """(half, language) -> counts of n-grams; and numbers of texts."""
+
+        def run(batches):
+            sums, sizes = np.zeros((2, 1 << BITS, k)), np.zeros((2, k), np.int64)
+            for batch in batches:
+                t, n, half, now = read(batch, usable)
+                for h in (0, 1):
+                    mine = np.flatnonzero((half == h) & (now >= 0))
+                    if len(mine):
+                        sums[h] += count_grams([t[i] for i in mine], now[mine], 1.0 + np.log(n[mine]), k)
+                        sizes[h] += np.bincount(now[mine], minlength=k)
+            for h in (0, 1):
+                for lang in np.flatnonzero(sizes[h]).tolist():
+                    some = np.flatnonzero(sums[h, :, lang])
+                    grams_ = np.concatenate([[-1], some])
+                    values = np.concatenate([[sizes[h, lang]], sums[h, some, lang]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams_), h), pa.int32()), pa.array(np.full(len(grams_), lang), pa.int32()), pa.array(grams_, pa.int32()), pa.array(values, pa.float64())], names=["half", "lang", "gram", "n"])
+
+        got = state.mapInArrow(run, "half int, lang int, gram int, n double").groupBy("half", "lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        half, lang, gram, n = (c.to_numpy() for c in got.columns)
+        sums, sizes = np.zeros((2, 1 << BITS, k)), np.zeros((2, k))
+        own = gram >= 0
+        sums[half[own], gram[own], lang[own]] = n[own]
+        sizes[half[~own], lang[~own]] = n[~own]
+        return sums, sizes
+
+    usable = None
+    for _ in range(rounds):
+        sums, sizes = counted(state, usable)
+        if not sizes.sum(axis=1).all():
+            return NaiveBayes(langs, np.zeros((1 << BITS, k), np.float32), np.full(k, 1 / k))
+        # each half is labelled by the model of the other
+        models = sc.broadcast([NaiveBayes(langs, sums[1 - h].astype(np.float32), sizes[1 - h] / sizes[1 - h].sum()) for h in (0, 1)])
+
+        def score(batches, usable=usable, models=models):
+            for batch in batches:
+                t, n, half, now = read(batch, usable)
+                ll = np.zeros((len(t), k), np.float32)
+                for h in (0, 1):
+                    mine = np.flatnonzero(half == h)
+                    if len(mine):
+                        ll[mine] = models.value[h].many([t[i] for i in mine])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.int32()), pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * k, pa.array(ll.ravel(), pa.float32()))], names=["t", "n", "now", "ll"])
+
+        state = checkpointed(state.mapInArrow(score, "t string, n long, now int, ll array<float>"))
+        # a small class whose texts another class explains as well is a wrong label, no language
+        close = [F.expr(f"(ll[{j}] - ll[now]) / length(t) > {-TWIN_GAP} and now <> {j}").cast("string") for j in range(k)]
+        near = state.filter("now >= 0").groupBy("now", F.concat_ws(",", *close).alias("close")).count().collect()
+        size = {r["now"]: 0 for r in near}
+        for r in near:
+            size[r["now"]] += r["count"]
+        alive = sorted(sorted(size), key=lambda x: size[x])
+        dead: set[int] = set()
+        for x in alive[:-1]:
+            others = [j for j in alive if j != x and j not in dead]
+            as_well = sum(r["count"] for r in near if r["now"] == x and any(r["close"].split(",")[j] == "true" for j in others))
+            if 2 * as_well > size[x] and size[x] < 0.5 * max(size[j] for j in others):
+                dead.add(x)
+        usable = [x for x in alive if x not in dead]
+    sums, sizes = counted(state, usable)
+    return NaiveBayes(langs, sums.sum(axis=0).astype(np.float32), sizes.sum(axis=0) / max(1, sizes.sum()))
+
+
 # Spellings of language labels beyond the codes and names of the languages table.
 SPELLINGS = {
     "ger": "de", "deutsch": "de", "fre": "fr", "français": "fr", "francais": "fr", "español": "es", "espanol": "es", "castellano": "es",

@@ -441,3 +441,18 @@ def test_editor_of_all_pages(spark):
     want = noise.fit_editor([r[3] for r in rows], [("Pump Book" if r[1] == 0 else None, r[2]) for r in rows])
     assert got.counts == want.counts and got.w == want.w and got.furniture.w == want.furniture.w
     assert got.furniture(["Pump Book", "Remove the pump.", "7"], "Pump Book", 7) == ["header", None, "page_number"]
+
+
+def test_languages_of_all_pages(spark):
+    import numpy as np
+
+    rnd = random.Random(8)
+    de = ["Die Pumpe ist warm und trocken.", "Ersetzen Sie das Ventil ohne Verzug.", "Der Filter liegt neben dem Sensor.", "Bitte lesen Sie das Handbuch der Kupplung."]
+    rows = [(k, en(rnd)[0] + " " + en(rnd)[0], None, k, "en") if k % 2 else (k, f"{rnd.choice(de)} {rnd.choice(de)}", None, k, "de" if k % 10 else "nl" if k % 20 else "en") for k in range(600)]
+    rows.append((600, "\n".join("Zxqv zxqv wkkj." for _ in range(1_500)), None, 1, "de"))  # over 20,000 characters
+    langs, codes = ["de", "en", "nl"], {x: x for x in ("de", "en", "nl")}
+    pages = spark.createDataFrame([*rows, (601, None, None, None, None)], "page_id long, ocr_text string, title string, page_number int, detected_language string").repartition(5)
+    got = languages.fit_on(pages, langs, codes).value
+    want = languages.fit_languages([r[1:] for r in rows], langs, codes)
+    assert np.allclose(got.prior, want.prior, atol=1e-5) and np.allclose(got.table, want.table, atol=1e-4)
+    assert got.many([naivebayes.clean("Zxqv wkkj")])[0].any() and got.prior[2] < -20
