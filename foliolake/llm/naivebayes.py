@@ -22,6 +22,8 @@ DAMP = 0.4
 BLOCK = 200_000
 #: How much better (a character, damped) a language's own model must explain its texts than any other's.
 TWIN_GAP = 0.08
+#: A class is a wrong label if larger classes explain so much of its texts as well, or it so much of a larger one's.
+TWIN_OWN, TWIN_OTHER = 0.7, 0.2
 _CODE = re.compile(r"[A-Z]{1,2}[-/]?\d+|[0-9０-９]+(?:[.,][0-9]+)*")
 _OTHER = re.compile(r"[\W_]+")
 
@@ -125,6 +127,26 @@ def relabelled(ll: np.ndarray, now: np.ndarray, usable: list[int]) -> np.ndarray
     return np.where((ll.max(axis=1) - own > 2.0) | (own <= -1e8), ll.argmax(axis=1), now)
 
 
+def wrong_classes(near: Counter[tuple[int, tuple[bool, ...]]]) -> tuple[list[int], set[int]]:
+    """Classes, smallest first, and those that are a wrong label and no language; from the numbers of texts by class and, for each class, whether it explains them as well.
+
+    A small class of wrong labels may explain its own few texts, of one book, better than the language they are in
+    does; but then it explains the texts of that language as well, as no other language could. So both
+    directions count, and only a larger class stands against a smaller one.
+    """
+    size: Counter[int] = Counter()
+    for (x, _), n in near.items():
+        size[x] += n
+    alive = sorted(sorted(size), key=lambda x: size[x])
+    share = lambda x, others: sum(n for (y, close), n in near.items() if y == x and any(close[j] for j in others)) / size[x]
+    dead: set[int] = set()
+    for at, x in enumerate(alive[:-1], 1):
+        larger = alive[at:]
+        if size[x] < 0.5 * size[alive[-1]] and (share(x, larger) > TWIN_OWN or any(share(j, [x]) > TWIN_OTHER for j in larger)):
+            dead.add(x)
+    return alive, dead
+
+
 def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, fixed: bool = False) -> NaiveBayes:
     """From (text, label or None). Equal texts count once for each label (with the logarithm of their number)."""
     index = {c: k for k, c in enumerate(langs)}
@@ -147,15 +169,10 @@ def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, f
             model = NaiveBayes(langs, count_grams(tt, now[train], weights[train], len(langs)), shares)
             mine = np.flatnonzero(half == h)
             ll[mine] = model.many([texts[i] for i in mine])
-        # a small class whose texts another class explains as well is a wrong label, no language
-        alive = sorted({int(k) for k in now[now >= 0]}, key=lambda k: (now == k).sum())
-        dead: set[int] = set()
-        for k in alive[:-1]:
-            mine = np.flatnonzero(now == k)
-            others = [j for j in alive if j != k and j not in dead]
-            gap = (ll[mine][:, others].max(axis=1) - ll[mine, k]) / sizes[mine]
-            if np.median(gap) > -TWIN_GAP and len(mine) < 0.5 * max((now == j).sum() for j in others):
-                dead.add(k)
+        mine = np.flatnonzero(now >= 0)
+        close = (ll[mine] - ll[mine, now[mine]][:, None]) / sizes[mine][:, None] > -TWIN_GAP
+        close[np.arange(len(mine)), now[mine]] = False
+        alive, dead = wrong_classes(Counter(zip(now[mine].tolist(), map(tuple, close.tolist()), strict=True)))
         if dead:
             ll[:, sorted(dead)] = -1e9
         now = relabelled(ll, now, [k for k in alive if k not in dead])
@@ -235,19 +252,9 @@ def fit_on(texts, langs: list[str], rounds: int = 3) -> NaiveBayes:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.int32()), pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * k, pa.array(ll.ravel(), pa.float32()))], names=["t", "n", "now", "ll"])
 
         state = checkpointed(state.mapInArrow(score, "t string, n long, now int, ll array<float>"))
-        # a small class whose texts another class explains as well is a wrong label, no language
-        close = [F.expr(f"(ll[{j}] - ll[now]) / length(t) > {-TWIN_GAP} and now <> {j}").cast("string") for j in range(k)]
-        near = state.filter("now >= 0").groupBy("now", F.concat_ws(",", *close).alias("close")).count().collect()
-        size = {r["now"]: 0 for r in near}
-        for r in near:
-            size[r["now"]] += r["count"]
-        alive = sorted(sorted(size), key=lambda x: size[x])
-        dead: set[int] = set()
-        for x in alive[:-1]:
-            others = [j for j in alive if j != x and j not in dead]
-            as_well = sum(r["count"] for r in near if r["now"] == x and any(r["close"].split(",")[j] == "true" for j in others))
-            if 2 * as_well > size[x] and size[x] < 0.5 * max(size[j] for j in others):
-                dead.add(x)
+        close = [F.expr(f"(ll[{j}] - ll[now]) / length(t) > {-TWIN_GAP} and now <> {j}") for j in range(k)]
+        near = state.filter("now >= 0").groupBy("now", F.array(*close).alias("close")).count().collect()
+        alive, dead = wrong_classes(Counter({(r["now"], tuple(r["close"])): r["count"] for r in near}))
         usable = [x for x in alive if x not in dead]
     sums, sizes = counted(state, usable)
     return NaiveBayes(langs, sums.sum(axis=0).astype(np.float32), sizes.sum(axis=0) / max(1, sizes.sum()))

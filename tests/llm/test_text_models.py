@@ -1,6 +1,7 @@
 """The fitted operators on small corpora made here, with held-out cases."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -378,6 +379,18 @@ def test_refusals_in_other_wordings():
     assert m.defects(["Falls die Pumpe 17 Lärm macht, ersetzen Sie das Ventil."], ["Sorry, but I am not able to translate such content (17)."], ["en"])[0][0] == "refusal"
 
 
+def test_small_wrong_labels_do_not_remove_their_language():
+    # as found in tables poor in Thai: 382 pieces labelled vi, explained by th in 45 of 100 cases only; but vi explains th as well
+    de, en, th, vi = range(4)
+    near = Counter({(vi, (False, False, True, False)): 172, (vi, (False,) * 4): 210})
+    near += Counter({(th, (False, False, False, True)): 5_832, (th, (False,) * 4): 1_944, (de, (False,) * 4): 33_273, (en, (True, False, False, False)): 3_000, (en, (False,) * 4): 23_463})
+    alive, dead = naivebayes.wrong_classes(near)
+    assert alive == [vi, th, en, de] and dead == {vi}
+    # a small language of which many labels are wrong is one nevertheless, as it explains no other's texts
+    near = Counter({(th, (True, False, False, False)): 600, (th, (False,) * 4): 400, (de, (False,) * 4): 33_273})
+    assert naivebayes.wrong_classes(near) == ([th, de], set())
+
+
 def test_languages_held_out():
     rnd = random.Random(21)
     de = lambda: f"Falls {TEIL[rnd.choice(PARTS)]} {rnd.choice(('Lärm', 'Rauch', 'Staub'))} macht, ersetzen Sie {TEIL[rnd.choice(PARTS)]} sofort."
