@@ -14,7 +14,7 @@
 * truncated - by the end-of-text n-gram likelihood: the longest known ending of the translation is
   one after which texts seldom end; or it is left open (…), or ends within a code or number of the text.
 
-At most one defect, in this order. Defined results: null translations and blank texts have none.
+All models are fitted on all pairs, by grouped counts (``fit_on``). At most one defect, in this order. Defined results: null translations and blank texts have none.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ import numpy as np
 from foliolake.llm import naivebayes
 from foliolake.llm.noise import plain_form
 
-#: Pairs that fit the models, and the longest text (in characters) among them.
-SAMPLE_PAIRS, FIT_CHARS = 40_000, 4_000
 #: Ending n-grams: longest length, least count to be known, and the likelihood below which a text is cut off.
 END_ORDER, END_SEEN, END_LEAST = 10, 3, 0.075
 #: Factor on the likelihood of an end without mark where the text has one.
@@ -130,12 +128,25 @@ class Refusals:
         return out + (LONGER if len(t) > 3 * len(s) + 20 else 0.0)
 
 
+def first_refusal(s: str, t: str, target: str | None) -> bool:
+    """True for an example to begin with: seed words, none in the text, and no number of the text."""
+    return refuses(t, target) and not refuses(s, target) and not any(x in s for x in _NUMBER.findall(t))
+
+
+def refusal_model(yes: dict[str, int], no: dict[str, int], n: int, rest: int) -> Refusals:
+    """From the features' counts in n refusals and the rest."""
+    weights = {f: max(-WORD_ODDS, min(WORD_ODDS, float(np.log((k + 0.1) / (n + 1.0) * (rest + 1.0) / (no.get(f, 0) + 0.1))))) for f, k in yes.items() if k >= 2}
+    # a word of renderings alone speaks against
+    weights |= {f: -min(WORD_ODDS, float(np.log(k * (n + 1.0) / (rest + 1.0) / 0.3))) for f, k in no.items() if f not in yes and k * (n + 1.0) / (rest + 1.0) > 0.3}
+    return Refusals({f: 0.4 * w for f, w in weights.items()}, -1.0)
+
+
 def fit_refusals(rows: list[tuple[str, str, str, str | None]], rounds: int = 2) -> Refusals:
     """From (text, translation, cleaned translation, target), each different translation once."""
     kinds = {(shape(t), target): (s, t, c, target) for s, t, c, target in rows}
     items = [kinds[k] for k in sorted(kinds, key=lambda k: (k[0], k[1] or ""))]
     feats = [refusal_features(c) for _, _, c, _ in items]
-    now = [refuses(t, target) and not refuses(s, target) and not any(x in s for x in _NUMBER.findall(t)) for s, t, _, target in items]
+    now = [first_refusal(s, t, target) for s, t, _, target in items]
     model = Refusals({})
     for _ in range(rounds):
         n = sum(now)
@@ -145,15 +156,59 @@ def fit_refusals(rows: list[tuple[str, str, str, str | None]], rounds: int = 2)
         no: Counter[str] = Counter()
         for f, x in zip(feats, now, strict=True):
             (yes if x else no).update(f)
-        rest = len(items) - n
-        weights = {f: max(-WORD_ODDS, min(WORD_ODDS, float(np.log((k + 0.1) / (n + 1.0) * (rest + 1.0) / (no[f] + 0.1))))) for f, k in yes.items() if k >= 2}
-        # a word of renderings alone speaks against
-        weights |= {f: -min(WORD_ODDS, float(np.log(k * (n + 1.0) / (rest + 1.0) / 0.3))) for f, k in no.items() if f not in yes and k * (n + 1.0) / (rest + 1.0) > 0.3}
-        model = Refusals({f: 0.4 * w for f, w in weights.items()}, -1.0)
+        model = refusal_model(yes, no, n, len(items) - n)
         now = [model.score(s, t, c, (target,)) > REFUSAL_LEAST for s, t, c, target in items]
     return model
 
 
+def ending(text: str) -> str:
+    """The longest ending that is looked up; codes and numbers are short: the shape of the last characters is enough."""
+    t = f"^{shape(text)}" if len(text) < 64 else shape(text[-64:])
+    return t[-END_ORDER:]
+
+
+#: Hash of an n-gram: the sum of its characters, from the last, times these.
+_PLACES = np.random.default_rng(11).integers(1, 1 << 63, END_ORDER, np.uint64) | np.uint64(1)
+
+
+class EndingTable:
+    """The different endings, of one to ``END_ORDER`` characters, of the longest ones; counts their places in texts."""
+
+    def __init__(self, longest: list[str]):
+        self.hashes: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
+        codes = [naivebayes.codepoints(t)[::-1].astype(np.uint64) for t in longest]
+        for k in range(1, END_ORDER + 1):
+            some = [i for i, c in enumerate(codes) if len(c) >= k]
+            wide = np.array([codes[i][:k] for i in some], np.uint64).reshape(len(some), k)
+            h, at = np.unique((wide * _PLACES[:k]).sum(axis=1, dtype=np.uint64), return_index=True)
+            self.hashes.append(h)
+            self.first.append(np.array(some, int)[at])
+        self.offsets = np.concatenate([[0], np.cumsum([len(h) for h in self.hashes])]).astype(int)
+
+    def add(self, sums: np.ndarray, texts: list[str], weights: list[int]) -> None:
+        """Add to ``sums`` how often each ending stands in texts."""
+        for lo, hi in naivebayes.blocks(texts):
+            c = naivebayes.codepoints("".join(f"\U0010ffff{t}" for t in texts[lo:hi])).astype(np.uint64)
+            w = np.repeat(np.array(weights[lo:hi], float), [len(t) + 1 for t in texts[lo:hi]])
+            at, h = np.arange(len(c)), np.zeros(len(c), np.uint64)
+            # an ending's own ending is one too, so only the places found go on
+            for k, known in enumerate(self.hashes):
+                some = at >= k
+                at, h = at[some], h[some]
+                h = h + c[at - k] * _PLACES[k]
+                found = np.searchsorted(known, h)
+                hit = known[np.minimum(found, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                at, h = at[hit], h[hit]
+                if not len(at):
+                    break
+                a, b = self.offsets[k], self.offsets[k + 1]
+                sums[a:b] += np.bincount(found[hit], weights=w[at], minlength=b - a)
+
+    def grams(self, longest: list[str]) -> list[str]:
+        return [longest[i][-k:] for k, first in enumerate(self.first, 1) for i in first.tolist()]
+
+
 class Endings:
     """How often a text ends after each of its endings, by target language."""
 
@@ -174,14 +229,20 @@ class Endings:
             self.all[lang] = {g: n for g, n in every.items() if n >= END_SEEN}
             self.end[lang] = {g: n for g, n in last.items() if g in self.all[lang]}
 
+    @classmethod
+    def counted(cls, every: dict[str, dict[str, float]], last: dict[str, dict[str, float]]) -> Endings:
+        """From counts of the endings: of all their places in texts, and of those at a text's end."""
+        out = cls({})
+        out.all = {lang: {g: n for g, n in c.items() if n >= END_SEEN} for lang, c in every.items()}
+        out.end = {lang: {g: last[lang][g] for g in c if last[lang].get(g)} for lang, c in out.all.items()}
+        return out
+
     def likelihood(self, text: str, lang: str) -> float:
         """The probability that a text ends here, interpolated over its endings, this text itself left out."""
         every, last = self.all.get(lang), self.end.get(lang)
         if not every:
             return 1.0
-        # codes and numbers are short: the shape of the last characters is enough
-        t = f"^{shape(text)}" if len(text) < 64 else shape(text[-64:])
-        t = t[-END_ORDER:]
+        t = ending(text)
         known = self.known.get((lang, t))
         if known is not None:
             return known
@@ -263,6 +324,17 @@ class PairModel:
         return None, ""
 
 
+def word_languages(uses: dict[str, Counter[int]], sizes: Counter[int]) -> dict[str, frozenset[int]]:
+    """The languages of each wording, from its uses by language and the uses of all."""
+    words = {}
+    for w, c in uses.items():
+        if c.total() >= WORD_SEEN:
+            rates = {k: n / (sizes[k] + 50) for k, n in c.items()}
+            # a few uses may be wrong labels
+            words[w] = frozenset(k for k, r in rates.items() if r >= WORD_RATE * max(rates.values()) and c[k] >= max(3, WORD_PART * c.total()))
+    return words
+
+
 def fit_model(rows: list[tuple[str | None, str | None, str | None, str | None]], langs: list[str]) -> PairModel:
     """From (text, its language label, translation, target)."""
     data = [(plain_form(s), lang) for s, lang, _, _ in rows if s] + [(plain_form(t), target) for _, _, t, target in rows if t]
@@ -279,12 +351,7 @@ def fit_model(rows: list[tuple[str | None, str | None, str | None, str | None]],
     sizes: Counter[int] = Counter()
     for c in uses.values():
         sizes.update(c)
-    words = {}
-    for w, c in uses.items():
-        if c.total() >= WORD_SEEN:
-            rates = {k: n / (sizes[k] + 50) for k, n in c.items()}
-            # a few uses may be wrong labels
-            words[w] = frozenset(k for k, r in rates.items() if r >= WORD_RATE * max(rates.values()) and c[k] >= max(3, WORD_PART * c.total()))
+    words = word_languages(uses, sizes)
     seen = [(plain_form(s or ""), plain_form(t), target) for s, _, t, target in rows if t]
     return PairModel(nb, Endings(by), words, fit_refusals([(s, t, naivebayes.clean(t), target) for s, t, target in seen]))
 
@@ -292,6 +359,128 @@ def fit_model(rows: list[tuple[str | None, str | None, str | None, str | None]],
 # -- Spark ------------------------------------------------------------------------------------------
 
 
+def fit_on(pairs, langs: list[str], codes: dict[str, str]):
+    """``fit_model`` on all ``pairs`` (text, label, translation, target), broadcast.
+
+    One pass takes from the pairs the cleaned texts, the short wordings and the different translations (by shape and
+    target), counted together within a slice. What reaches the driver: the n-gram counts of the languages, the
+    wordings seen ``WORD_SEEN`` times, the different longest endings with their counts, and the words that
+    tell refusals from renderings.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from foliolake.llm import sentences
+    from foliolake.session import checkpointed
+
+    sc = pairs.sparkSession.sparkContext
+    index = {c: k for k, c in enumerate(langs)}
+    fields = pa.schema([("kind", pa.int32()), ("a", pa.string()), ("lab", pa.int32()), ("target", pa.string()), ("n", pa.int64()), ("s", pa.string()), ("t", pa.string()), ("tail", pa.string())])
+
+    def parts(batches):
+        for batch in sentences.slices(batches, 5_000):
+            texts: Counter[tuple[str, int]] = Counter()
+            words: Counter[tuple[str, int]] = Counter()
+            kinds: dict[tuple[str, str | None], list] = {}
+            for s, label, t, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s, t = plain_form(s), plain_form(t)
+                for x, lab in ((s, index.get(naivebayes.normal_label(label, codes) or "", -1)), (t, index.get(target or "", -1))):
+                    if x:
+                        texts[naivebayes.clean(x), lab] += 1
+                        if lab >= 0 and len(x) <= 2 * WORD_CHARS and (w := stem(x)) and len(w) <= WORD_CHARS:
+                            words[w, lab] += 1
+                if t:
+                    whole = t.rstrip()
+                    one = kinds.setdefault((shape(whole), target), [0, s, t, ending(whole) if target and letters(t) else None])
+                    one[0] += one[3] is not None and not _OPEN_END.search(whole)
+            rows = [(kind, a, lab, None, n, None, None, None) for kind, c in enumerate((texts, words)) for (a, lab), n in c.items()]
+            rows += [(2, a, -1, target, *x) for (a, target), x in kinds.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, fields, strict=True)], schema=fields)
+
+    rows = pairs.select("text", "label", "translation", "target").filter("text is not null and translation is not null")
+    seen = checkpointed(rows.mapInArrow(parts, "kind int, a string, lab int, target string, n long, s string, t string, tail string"))
+    nb = naivebayes.fit_on(seen.filter("kind = 0").select(F.col("a").alias("t"), "lab", "n"), langs)
+
+    alive = [k for k in range(len(langs)) if nb.prior[k] > -20]
+    used = seen.filter(F.col("kind") == 1).filter(F.col("lab").isin(alive)).groupBy("a", "lab").agg(F.sum("n").alias("n"))
+    sizes = Counter({r["lab"]: r["n"] for r in used.groupBy("lab").agg(F.sum("n").alias("n")).collect()})
+    common = used.groupBy("a").agg(F.collect_list(F.struct("lab", "n")).alias("c"), F.sum("n").alias("all")).filter(F.col("all") >= WORD_SEEN)
+    words = word_languages({r["a"]: Counter({x["lab"]: x["n"] for x in sorted(r["c"])}) for r in common.select("a", "c").toLocalIterator()}, sizes)
+
+    kinds = seen.filter("kind = 2").groupBy("a", "target").agg(F.sum("n").alias("n"), F.min(F.struct("s", "t", "tail")).alias("x"))
+    kinds = checkpointed(kinds.select("a", "target", "n", "x.*"))
+    return sc.broadcast(PairModel(nb, endings_on(kinds), words, refusals_on(kinds)))
+
+
+def endings_on(kinds) -> Endings:
+    """``Endings`` of ``kinds`` (a: shape, target, n, tail): the places of all endings that any translation has."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    longest: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in kinds.filter("tail is not null").groupBy("target", "tail").agg(F.sum("n").alias("n")).orderBy("target", "tail").toLocalIterator():
+        longest[r["target"]][r["tail"]] = r["n"]
+    tables = kinds.sparkSession.sparkContext.broadcast({lang: EndingTable(list(c)) for lang, c in longest.items()})
+
+    def count(batches):
+        sums = {lang: np.zeros(t.offsets[-1]) for lang, t in tables.value.items()}
+        for batch in batches:
+            by: dict[str, list[tuple[str, int]]] = defaultdict(list)
+            for a, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by[lang].append((f"^{a}", n))
+            for lang, some in by.items():
+                tables.value[lang].add(sums[lang], [a for a, _ in some], [n for _, n in some])
+        for lang, c in sums.items():
+            some = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(c[some])], names=["target", "gram", "n"])
+
+    got = kinds.filter("tail is not null and n > 0").select("a", "target", "n").mapInArrow(count, "target string, gram long, n double")
+    got = got.groupBy("target", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= END_SEEN).toArrow()
+    names = {lang: tables.value[lang].grams(list(c)) for lang, c in longest.items()}
+    every: dict[str, dict[str, float]] = {lang: {} for lang in longest}
+    for lang, gram, n in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        every[lang][names[lang][gram]] = n
+    last: dict[str, dict[str, float]] = {lang: defaultdict(float) for lang in longest}
+    for lang, c in longest.items():
+        for t, n in c.items():
+            for k in range(1, len(t) + 1):
+                last[lang][t[-k:]] += n
+    return Endings.counted(every, last)
+
+
+def refusals_on(kinds, rounds: int = 2) -> Refusals:
+    """``fit_refusals`` on ``kinds`` (s, t, target), each different translation once."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from foliolake.session import checkpointed
+
+    sc, model = kinds.sparkSession.sparkContext, None
+    for _ in range(rounds):
+        now = model and sc.broadcast(model)
+
+        def count(batches, now=now):
+            for batch in batches:
+                yes: Counter[str] = Counter()
+                no: Counter[str] = Counter()
+                for s, t, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    c = naivebayes.clean(t)
+                    hit = now.value.score(s, t, c, (target,)) > REFUSAL_LEAST if now else first_refusal(s, t, target)
+                    # the empty word counts the translations
+                    (yes if hit else no).update(refusal_features(c) | {""})
+                keys = list({**yes, **no})
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([yes[k] for k in keys], pa.int64()), pa.array([no[k] for k in keys], pa.int64())], names=["f", "yes", "no"])
+
+        counts = checkpointed(kinds.select("s", "t", "target").mapInArrow(count, "f string, yes long, no long").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+        total = counts.filter("f = ''").first()
+        if total is None or total["yes"] < 5 or total["yes"] > (total["yes"] + total["no"]) // 2:
+            return Refusals({})
+        n, rest = total["yes"], total["no"]
+        got = counts.filter((F.col("f") != "") & ((F.col("yes") >= 2) | (F.col("yes") == 0) & (F.col("no") * (n + 1.0) / (rest + 1.0) > 0.3))).collect()
+        model = refusal_model({r["f"]: r["yes"] for r in got if r["yes"]}, {r["f"]: r["no"] for r in got if r["no"]}, n, rest)
+    return model
+
+
 def broken_pairs(pairs, model):
     """rec_kind, rec_id, defect of ``pairs`` (rec_kind, rec_id, text, translation, target).
 

@@ -469,3 +469,32 @@ def test_languages_of_all_pages(spark):
     want = languages.fit_languages([r[1:] for r in rows], langs, codes)
     assert np.allclose(got.prior, want.prior, atol=1e-5) and np.allclose(got.table, want.table, atol=1e-4)
     assert got.many([naivebayes.clean("Zxqv wkkj")])[0].any() and got.prior[2] < -20
+
+
+def test_pairs_model_of_all_rows(spark, tmp_path):
+    import numpy as np
+
+    from foliolake.llm import queries
+
+    rnd = random.Random(13)
+    rows = []
+    for k in range(600):
+        s, a, b = en(rnd)
+        no = f"I am sorry, but I will not translate passage {'abcdefgh'[k % 8]} of the {a}."
+        rows.append((s, "en" if k % 9 else "de", no if k % 20 == 0 else f"Ersetzen Sie {TEIL[a]} oder {TEIL[b]} unverzüglich{'' if k % 7 else ', und'}", "de" if k % 11 else None))
+    rows += [("Valve", "en", "Ventil", "de")] * 9 + [("KS-12", None, " ", "de")]
+    rows += [("Replace the pump.", "en", "Ersetzen Sie die Pumpe oder", "de"), ("Replace the filter.", "en", "Ersetzen Sie den Fil", "de")]
+    rows += [("The valve. " * 500, "en", "Wxq wxqz. " * 500, "de")] * 2  # over 4,000 characters
+    names = {x: x for x in ("de", "en")}
+    df = spark.createDataFrame([*rows, (None, "en", "x", "de")], "text string, label string, translation string, target string").repartition(5)
+    got, want = pairs.fit_on(df, ["de", "en"], names).value, pairs.fit_model(rows, ["de", "en"])
+    assert np.allclose(got.nb.prior, want.nb.prior, atol=1e-5) and np.allclose(got.nb.table, want.nb.table, atol=1e-4)
+    assert got.words == want.words and got.words["ventil"] == {0}
+    assert got.refusals.weights and got.refusals.base == want.refusals.base
+    ends = [t.rstrip() for _, _, t, target in rows if t.strip() and target]  # as they are looked up
+    assert np.allclose([got.endings.likelihood(t, "de") for t in ends], [want.endings.likelihood(t, "de") for t in ends])
+    assert got.endings.all["de"]["wxqz."] == 1_000 and got.endings.end["de"]["wxqz."] == 2
+    assert not hasattr(pairs, "SAMPLE_PAIRS")
+    # a table of nothing has a model too
+    assert pairs.fit_on(df.limit(0), ["de", "en"], names).value.defects(["a"], ["a"], ["de"]) == [("copy", "a")]
+    assert "fit_on" in queries.p1_found.__code__.co_names
