@@ -25,12 +25,24 @@ TWIN_GAP = 0.08
 #: A class is a wrong label if larger classes explain so much of its texts as well, or it so much of a larger one's.
 TWIN_OWN, TWIN_OTHER = 0.7, 0.5
 _CODE = re.compile(r"[A-Z]{1,2}[-/]?\d+|[0-9０-９]+(?:[.,][0-9]+)*")
-_OTHER = re.compile(r"[\W_]+")
+_OTHER, _DIGIT = re.compile(r"[\W_]+"), re.compile(r"\d")
+_ASCII_OTHER = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Between texts that are looked at together, so that no n-gram is of two of them: an end's n-grams reach so far.
+GAP = "  "
 
 
 def clean(text: str) -> str:
     """Letters with single spaces; codes, numbers and punctuation are spaces."""
-    return f" {_OTHER.sub(' ', _CODE.sub(' ', text)).strip().casefold()} "
+    if _DIGIT.search(text):
+        text = _CODE.sub(" ", text)
+    if text.isascii():
+        return f" {' '.join(text.translate(_ASCII_OTHER).split()).lower()} "
+    return f" {_OTHER.sub(' ', text).strip().casefold()} "
+
+
+def weight(n):
+    """What a text seen n times counts; of few binary places, so that sums are exact in any order."""
+    return np.round((1.0 + np.log(n)) * 65_536) / 65_536
 
 
 def grams(codes: np.ndarray) -> list[np.ndarray]:
@@ -68,28 +80,34 @@ class NaiveBayes:
         table = table - table.mean(axis=1, keepdims=True)
         table[counts.sum(axis=1) == 0] = 0.0
         table[0] = 0.0
-        self.table = np.ascontiguousarray(table * DAMP, dtype=np.float32)
-
-    def running(self, codes: np.ndarray) -> np.ndarray:
-        """(len + 1, languages): running sums of the log-likelihoods."""
-        out = np.zeros((len(codes) + 1, len(self.langs)), np.float64)
-        if len(codes):
-            per = self.table[(g := grams(codes))[0]]
-            for x in g[1:]:
-                per = per + self.table[x]
-            np.cumsum(per, axis=0, out=out[1:])
-        return out
+        # languages without any count have the same column
+        none = counts.sum(axis=0) == 0
+        kept = [*np.flatnonzero(~none), *np.flatnonzero(none)[:1]]
+        self.place = np.where(none, len(kept) - 1, np.cumsum(~none) - 1)
+        self.columns = np.ascontiguousarray(table[:, kept] * DAMP, dtype=np.float32)
+
+    @property
+    def table(self) -> np.ndarray:
+        """(n-gram, language): weighted log-probabilities."""
+        return self.columns[:, self.place]
 
     def many(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages) log-likelihoods of cleaned texts, in blocks of bounded size."""
-        out = np.zeros((len(texts), len(self.langs)))
+        """(texts, languages) log-likelihoods of cleaned texts, in blocks of bounded size; each of its own n-grams alone."""
+        out = np.zeros((len(texts), self.columns.shape[1]))
         owner, pieces = zip(*[(i, t[k : k + BLOCK]) for i, t in enumerate(texts) for k in range(0, len(t), BLOCK)], strict=True) if any(texts) else ((), ())
         for lo, hi in blocks(pieces):
             part = pieces[lo:hi]
-            ends = np.cumsum([len(t) for t in part])
-            sums = self.running(codepoints("".join(part)))
-            np.add.at(out, list(owner[lo:hi]), sums[ends] - sums[np.concatenate([[0], ends[:-1]])])
-        return out
+            places = grams(codepoints(GAP + GAP.join(part) + GAP))
+            per = self.columns.take(places[0], axis=0)
+            for g in places[1:]:
+                per += self.columns.take(g, axis=0)
+            starts = len(GAP) + np.cumsum([0, *(len(t) + len(GAP) for t in part[:-1])])
+            sums = np.add.reduceat(per, starts, axis=0, dtype=np.float64)
+            if len(set(owner[lo:hi])) == hi - lo:
+                out[list(owner[lo:hi])] += sums
+            else:
+                np.add.at(out, list(owner[lo:hi]), sums)
+        return out[:, self.place]
 
 
 def blocks(texts, chars: int = BLOCK) -> list[tuple[int, int]]:
@@ -106,14 +124,14 @@ def blocks(texts, chars: int = BLOCK) -> list[tuple[int, int]]:
 
 
 def count_grams(texts: list[str], labels: np.ndarray, weights: np.ndarray, n_langs: int) -> np.ndarray:
-    out = np.zeros((1 << BITS, n_langs), np.float32)
+    out = np.zeros((1 << BITS, n_langs))
     for k in range(n_langs):
-        some = [t for t, lab in zip(texts, labels, strict=True) if lab == k]
-        own = weights[labels == k]
+        mine = np.flatnonzero(labels == k)
+        some, own = [texts[i] for i in mine.tolist()], weights[mine]
         for lo, hi in blocks(some):
-            part = [f"  {t}  " for t in some[lo:hi]]  # apart, so that no n-gram is of two texts
-            w = np.repeat(own[lo:hi], [len(t) for t in part])
-            for g in grams(codepoints("".join(part))):
+            part = some[lo:hi]
+            w = np.concatenate([np.zeros(len(GAP)), np.repeat(own[lo:hi], [len(t) + len(GAP) for t in part])])
+            for g in grams(codepoints(GAP + GAP.join(part) + GAP)):
                 out[:, k] += np.bincount(g, weights=w, minlength=1 << BITS)
     out[0] = 0
     return out
@@ -151,7 +169,7 @@ def fit(rows: list[tuple[str, str | None]], langs: list[str], rounds: int = 3, f
     """From (text, label or None). Equal texts count once for each label (with the logarithm of their number)."""
     index = {c: k for k, c in enumerate(langs)}
     seen = Counter((clean(t), lab if lab in index else None) for t, lab in rows if t)
-    items = [(t, index.get(lab, -1), 1.0 + np.log(n)) for (t, lab), n in sorted(seen.items(), key=lambda x: (x[0][0], x[0][1] or "")) if len(t) > 2]
+    items = [(t, index.get(lab, -1), weight(n)) for (t, lab), n in sorted(seen.items(), key=lambda x: (x[0][0], x[0][1] or "")) if len(t) > 2]
     texts = [t for t, _, _ in items]
     labels = np.array([k for _, k, _ in items], int)
     weights = np.array([w for _, _, w in items])
@@ -193,33 +211,34 @@ def fit_on(texts, langs: list[str], rounds: int = 3) -> NaiveBayes:
 
     from foliolake.session import checkpointed
 
-    spark, k = texts.sparkSession, len(langs)
+    spark, k, usable = texts.sparkSession, len(langs), None
     sc = spark.sparkContext
     items = texts.filter("length(t) > 2").repartition(2 * sc.defaultParallelism, "t", "lab").groupBy("t", "lab").agg(F.sum("n").alias("n"))
-    state = checkpointed(items.select("t", "n", F.col("lab").alias("now"), F.array().cast("array<float>").alias("ll")))
+    state = checkpointed(items.select("t", (F.crc32("t") % 2).cast("int").alias("half"), "n", F.col("lab").alias("now"), F.array().cast("array<float>").alias("ll")))
 
     def read(batch, usable):
-        """Texts, weights, halves and labels of a batch."""
-        t, n, now, ll = batch.columns
-        t, now = t.to_pylist(), now.to_numpy(zero_copy_only=False).astype(int)
-        if usable is not None and t:
-            now = relabelled(ll.flatten().to_numpy(zero_copy_only=False).reshape(len(t), k).astype(float), now, usable)
-        return t, n.to_numpy(zero_copy_only=False), np.array([zlib.crc32(x.encode()) & 1 for x in t], int), now
+        """Texts, weights, halves, labels before and labels of a batch."""
+        t, half, n, old, ll = batch.columns
+        old = now = old.to_numpy(zero_copy_only=False).astype(int)
+        if usable is not None and len(t):
+            now = relabelled(ll.flatten().to_numpy(zero_copy_only=False).reshape(len(t), k).astype(float), old, usable)
+        return t, n.to_numpy(zero_copy_only=False), half.to_numpy(zero_copy_only=False), old, now
 
     def counted(state, usable):
-        """(half, language) -> counts of n-grams; and numbers of texts."""
+        """(half, n-gram, language) -> counts, and (half, language) -> numbers of texts; from the second time on, what the new labels change in them."""
 
         def run(batches):
             sums, sizes = np.zeros((2, 1 << BITS, k)), np.zeros((2, k), np.int64)
             for batch in batches:
-                t, n, half, now = read(batch, usable)
-                for h in (0, 1):
-                    mine = np.flatnonzero((half == h) & (now >= 0))
-                    if len(mine):
-                        sums[h] += count_grams([t[i] for i in mine], now[mine], 1.0 + np.log(n[mine]), k)
-                        sizes[h] += np.bincount(now[mine], minlength=k)
+                t, n, half, old, now = read(batch, usable)
+                for labels, sign in ((now, 1), (old, -1)) if usable is not None else ((now, 1),):
+                    for h in (0, 1):
+                        mine = np.flatnonzero((half == h) & (labels >= 0) & ((old != now) | (usable is None)))
+                        if len(mine):
+                            sums[h] += sign * count_grams([t[i].as_py() for i in mine.tolist()], labels[mine], weight(n[mine]), k)
+                            sizes[h] += sign * np.bincount(labels[mine], minlength=k)
             for h in (0, 1):
-                for lang in np.flatnonzero(sizes[h]).tolist():
+                for lang in np.flatnonzero(sums[h].any(axis=0) | (sizes[h] != 0)).tolist():
                     some = np.flatnonzero(sums[h, :, lang])
                     grams_ = np.concatenate([[-1], some])
                     values = np.concatenate([[sizes[h, lang]], sums[h, some, lang]])
@@ -233,9 +252,8 @@ def fit_on(texts, langs: list[str], rounds: int = 3) -> NaiveBayes:
         sizes[half[~own], lang[~own]] = n[~own]
         return sums, sizes
 
-    usable = None
+    sums, sizes = counted(state, None)
     for _ in range(rounds):
-        sums, sizes = counted(state, usable)
         if not sizes.sum(axis=1).all():
             return NaiveBayes(langs, np.zeros((1 << BITS, k), np.float32), np.full(k, 1 / k))
         # each half is labelled by the model of the other
@@ -243,20 +261,21 @@ def fit_on(texts, langs: list[str], rounds: int = 3) -> NaiveBayes:
 
         def score(batches, usable=usable, models=models):
             for batch in batches:
-                t, n, half, now = read(batch, usable)
-                ll = np.zeros((len(t), k), np.float32)
+                t, _, half, _, now = read(batch, usable)
+                t, ll = t.to_pylist(), np.zeros((batch.num_rows, k), np.float32)
                 for h in (0, 1):
                     mine = np.flatnonzero(half == h)
                     if len(mine):
-                        ll[mine] = models.value[h].many([t[i] for i in mine])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.int32()), pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * k, pa.array(ll.ravel(), pa.float32()))], names=["t", "n", "now", "ll"])
+                        ll[mine] = models.value[h].many([t[i] for i in mine.tolist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(now, pa.int32()), pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * k, pa.array(ll.ravel(), pa.float32()))], names=["t", "half", "n", "now", "ll"])
 
-        state = checkpointed(state.mapInArrow(score, "t string, n long, now int, ll array<float>"))
+        state = checkpointed(state.mapInArrow(score, "t string, half int, n long, now int, ll array<float>"))
         close = [F.expr(f"(ll[{j}] - ll[now]) / length(t) > {-TWIN_GAP} and now <> {j}") for j in range(k)]
         near = state.filter("now >= 0").groupBy("now", F.array(*close).alias("close")).count().collect()
         alive, dead = wrong_classes(Counter({(r["now"], tuple(r["close"])): r["count"] for r in near}))
         usable = [x for x in alive if x not in dead]
-    sums, sizes = counted(state, usable)
+        more, moved = counted(state, usable)
+        sums, sizes = sums + more, sizes + moved
     return NaiveBayes(langs, sums.sum(axis=0).astype(np.float32), sizes.sum(axis=0) / max(1, sizes.sum()))
 
 

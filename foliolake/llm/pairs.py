@@ -57,9 +57,47 @@ REFUSALS = {
     "zh": r"翻译|译文|我(?:不能|无法|没)|您的请求|请求|上下文|无法提供|无法协助",
     "th": r"แปล(?!น)|คำขอ|ฉัน|ผม|บริบท|ไม่สามารถช่วย",
 }
-_REFUSAL = re.compile("|".join(f"(?:{p})" for k, p in REFUSALS.items() if k != "en"), re.I)
-_REFUSAL_EN = re.compile(REFUSALS["en"])
-_REFUSAL_BY = {k: re.compile(p, re.I) for k, p in REFUSALS.items() if k != "en"}
+
+
+def _split(pattern: str) -> list[str]:
+    """The alternatives of a pattern, groups of alternatives multiplied out."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    if len(out) > 1:
+        return [x for p in out for x in _split(p)]
+    if m := re.search(r"\(\?:([^()]*)\)(?![?*+{])", pattern):
+        return [x for part in m[1].split("|") for x in _split(pattern[: m.start()] + part + pattern[m.end() :])]
+    return out
+
+
+class Words:
+    """A pattern of many alternatives; each is looked for only where its longest plain piece stands (several times faster)."""
+
+    def __init__(self, pattern: str, flags: re.RegexFlag = re.NOFLAG):
+        self.whole, self.fold = re.compile(pattern, flags), bool(flags & re.I)
+        self.parts = []
+        for x in _split(pattern):
+            piece = max(re.split(r"\\.[*+?]?|\(.*?\)|\[.*?\][*+?]?|.[*+?]", x), key=len)
+            self.parts.append((piece.casefold() if self.fold else piece, re.compile(x, flags)))
+
+    def search(self, text: str) -> bool:
+        low = text
+        if self.fold:
+            # these two equal i where case is ignored, but not by their folded forms
+            if not text.isascii() and ("\u0130" in text or "\u0131" in text):
+                return self.whole.search(text) is not None
+            low = text.casefold()
+        return any([part.search(text) for piece, part in self.parts if piece in low])
+
+
+_REFUSAL = Words("|".join(p for k, p in REFUSALS.items() if k != "en"), re.I)
+_REFUSAL_EN = Words(REFUSALS["en"])
+_REFUSAL_BY = {k: Words(p, re.I) for k, p in REFUSALS.items() if k != "en"}
 _NUMBER, _NO_WORD = re.compile(r"\d+"), re.compile(r"[\W_]+")
 _TOKEN = re.compile(r"[A-Z]{1,2}[-/]?\d+|\d+(?:[.,]\d+)*")
 _UNIT = re.compile(r"(?<![^\W\d_])(?:°C|m²|m³|l/min|mm|cm|kg|kW|kΩ|Nm|bar|Ω|Hz|rpm|[VWAgms%])(?![^\W\d_])")
@@ -69,6 +107,8 @@ _FINAL = re.compile(r"[.!?。！？…][\"'”’»」』）)]*$")
 _TAIL = re.compile(r"[A-Z]{1,2}[-/]?\d*$|\d+[.,]?\d*$")
 _SPOKEN = re.compile(r"[^\W\d_]")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿฀-๿]")
+#: Different pairs whose decisions a worker keeps, and of which counts are held together.
+KEPT, HELD = 100_000, 20_000
 #: Parts that the rows which need no look-up, and a hot word, are dealt into.
 SALTS = 16
 
@@ -80,21 +120,26 @@ def letters(text: str) -> str:
 
 def stem(text: str, cleaned: str | None = None) -> str:
     """The words of a text without codes, numbers and units (which stand by numbers only)."""
-    if cleaned is not None and not _NUMBER.search(text):
-        return cleaned.strip()
-    return _NO_WORD.sub(" ", _UNIT.sub(" ", _TOKEN.sub(" ", text))).strip().casefold()
+    if not _NUMBER.search(text):
+        if cleaned is not None:
+            return cleaned.strip()
+    else:
+        text = _TOKEN.sub(" ", text)
+    return _NO_WORD.sub(" ", _UNIT.sub(" ", text)).strip().casefold()
 
 
 _DIGITS, _CODES = re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"[A-Z]{1,2}[-/]?\d+")
 
 
 def shape(text: str) -> str:
+    if not _NUMBER.search(text):
+        return text
     return _DIGITS.sub("0", _CODES.sub("#", text))
 
 
 def refuses(text: str, lang: str | None) -> bool:
     """True if the text speaks of itself or of translating, in English or in the language asked for."""
-    return _REFUSAL_EN.search(text) is not None or lang != "en" and _REFUSAL_BY.get(lang or "", _REFUSAL).search(text) is not None
+    return _REFUSAL_EN.search(text) or lang != "en" and _REFUSAL_BY.get(lang or "", _REFUSAL).search(text)
 
 
 def refusal_features(cleaned: str) -> set[str]:
@@ -102,7 +147,7 @@ def refusal_features(cleaned: str) -> set[str]:
     words = cleaned.split()
     out = set(words)
     out.update(map(" ".join, zip(words, words[1:], strict=False)))
-    for w in words:
+    for w in words if not cleaned.isascii() else ():
         if _UNSPACED.search(w):
             out.discard(w)
             out.update(w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1))
@@ -118,7 +163,7 @@ class Refusals:
 
     def score(self, s: str, t: str, cleaned: str, langs: tuple[str | None, ...]) -> float:
         seed = any(refuses(t, x) for x in langs)
-        if not seed and not any(f in self.leaning for f in (refusal_features(cleaned) if _UNSPACED.search(cleaned) else cleaned.split())):
+        if not seed and self.leaning.isdisjoint(refusal_features(cleaned) if not cleaned.isascii() and _UNSPACED.search(cleaned) else cleaned.split()):
             return -99.0
         get = self.weights.get
         out = self.base + (SEED if seed else 0.0) + sum(get(f, 0.0) for f in refusal_features(cleaned))
@@ -270,26 +315,45 @@ class PairModel:
         src = [plain_form(t) for t in texts]
         tgt = [plain_form(t) for t in translations]
         cs, ct = [naivebayes.clean(t) for t in src], [naivebayes.clean(t) for t in tgt]
-        ls, lt = self.nb.many(cs) + self.nb.prior, self.nb.many(ct) + np.where(self.nb.prior < -20, -1e9, 0.0)
-        return [self._one(*x) for x in zip(src, tgt, cs, ct, targets, ls, lt, strict=True)]
-
-    def _one(self, s: str, t: str, cs: str, ct: str, target: str | None, a: np.ndarray, b: np.ndarray) -> tuple[str | None, str]:
-        kt, ks = letters(t), letters(s)
+        at: dict[str, int] = {}
+        places = [np.array([at.setdefault(c, len(at)) for c in some], int) for some in (cs, ct)]
+        ll = self.nb.many(list(at))
+        ls, lt = ll[places[0]] + self.nb.prior, ll[places[1]] + np.where(self.nb.prior < -20, -1e9, 0.0)
+        near = [np.flatnonzero(x).tolist() for x in ls >= ls.max(axis=1, keepdims=True) - 3.0]
+        return [self._one(*x) for x in zip(src, tgt, cs, ct, targets, ls.argmax(axis=1).tolist(), lt.argmax(axis=1).tolist(), near, lt.tolist(), strict=True)]
+
+    def decided(self, rows, kept: dict) -> list[tuple[str | None, str]]:
+        """``defects`` of (text, translation, target), each different one decided once and kept for later rows."""
+        if len(kept) > KEPT:
+            kept.clear()
+        rows = list(rows)
+        new = list(dict.fromkeys(r for r in rows if r not in kept))
+        if new:
+            kept.update(zip(new, self.defects(*map(list, zip(*new, strict=True))), strict=True))
+        return [kept[r] for r in rows]
+
+    def _one(self, s: str, t: str, cs: str, ct: str, target: str | None, first: int, k: int, near: list[int], b: list[float]) -> tuple[str | None, str]:
+        """``first`` and ``k``: the likeliest languages of text and translation; ``near``: all near the text's best; ``b``: the translation's likelihoods."""
+        # both forms are made character by character, so different beginnings tell that neither holds the other
+        ps, pt = letters(s[:8]), letters(t[:8])
+        n = min(len(ps), len(pt))
+        differ = n > 0 and ps[:n] != pt[:n]
+        kt, ks = (pt, ps) if differ else (letters(t), letters(s))
         if not kt:
             return ("empty", "") if ks else (None, "")
         # in the language asked for or, if it reads like that, in the text's own
-        own = self.nb.langs[int(a.argmax())] if a.argmax() == b.argmax() else "en"
+        own = self.nb.langs[first] if first == k else "en"
         langs = (target,) if own in (target, "en") else (target, own)
         if self.refusals.score(s, t, ct, langs) > REFUSAL_LEAST and not (_REFUSAL_EN.search(s) or _REFUSAL.search(s)):
             return "refusal", ""
         want = self.index.get(target or "", -1)
         st = stem(s, cs)
-        if ks and len(kt) % len(ks) == 0 and kt == ks * (n := len(kt) // len(ks)):
+        if not differ and ks and len(kt) % len(ks) == 0 and kt == ks * (n := len(kt) // len(ks)):
             if n > 1:
                 return "copy", ""
             if not st:
                 return None, ""
-            if want >= 0 and a.argmax() == want and len(st) > 24:
+            if want >= 0 and first == want and len(st) > 24:
                 return None, ""
             return "copy", st if len(st) <= COPY_WORD else ""
         if want < 0:
@@ -297,10 +361,9 @@ class PairModel:
         wt = stem(t, ct)
         if _SPOKEN.search(wt):
             # the text's language: all that are near its best, as short words belong to several
-            ours = {want, *np.flatnonzero(a >= a.max() - 3.0).tolist()} if _SPOKEN.search(st) else {want, *range(len(a))} if not st else {want}
+            ours = {want, *near} if _SPOKEN.search(st) else {want, *range(len(b))} if not st else {want}
             ours |= self.words.get(st, frozenset())
             best = max(b[k] for k in ours)
-            k = int(b.argmax())
             known = self.words.get(wt)
             if known is not None:
                 if known and not (known & ours):
@@ -363,7 +426,7 @@ def fit_on(pairs, langs: list[str], codes: dict[str, str]):
     """``fit_model`` on all ``pairs`` (text, label, translation, target), broadcast.
 
     One pass takes from the pairs the cleaned texts, the short wordings and the different translations (by shape and
-    target), counted together within a slice. What reaches the driver: the n-gram counts of the languages, the
+    target), counted together, equal pairs once, as far as a worker holds them. What reaches the driver: the n-gram counts of the languages, the
     wordings seen ``WORD_SEEN`` times, the different longest endings with their counts, and the words that
     tell refusals from renderings.
     """
@@ -377,25 +440,56 @@ def fit_on(pairs, langs: list[str], codes: dict[str, str]):
     index = {c: k for k, c in enumerate(langs)}
     fields = pa.schema([("kind", pa.int32()), ("a", pa.string()), ("lab", pa.int32()), ("target", pa.string()), ("n", pa.int64()), ("s", pa.string()), ("t", pa.string()), ("tail", pa.string())])
 
+    def tallied(batches):
+        seen: Counter[tuple] = Counter()
+        for batch in batches:
+            for part in sentences.slices([batch], 5_000):
+                seen.update(zip(*(c.to_pylist() for c in part.columns), strict=True))
+                if len(seen) > HELD:
+                    yield seen
+                    seen = Counter()
+        yield seen
+
     def parts(batches):
-        for batch in sentences.slices(batches, 5_000):
+        for seen in tallied(batches):
             texts: Counter[tuple[str, int]] = Counter()
             words: Counter[tuple[str, int]] = Counter()
             kinds: dict[tuple[str, str | None], list] = {}
-            for s, label, t, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, t = plain_form(s), plain_form(t)
-                for x, lab in ((s, index.get(naivebayes.normal_label(label, codes) or "", -1)), (t, index.get(target or "", -1))):
+            forms: dict[str, tuple[str, str, str]] = {}
+            labels = {x: index.get(naivebayes.normal_label(x, codes) or "", -1) for x in {row[1] for row in seen}}
+
+            def formed(x, forms=forms):
+                """Plain form, cleaned and, of a short one, its stem."""
+                found = forms.get(x)
+                if found is None:
+                    p = plain_form(x)
+                    w = stem(p) if len(p) <= 2 * WORD_CHARS else ""
+                    found = forms[x] = p, naivebayes.clean(p), w if len(w) <= WORD_CHARS else ""
+                return found
+
+            for (s, label, t, target), n in seen.items():
+                (s, *more), (t, *most) = formed(s), formed(t)
+                for x, (c, w), lab in ((s, more, labels[label]), (t, most, index.get(target or "", -1))):
                     if x:
-                        texts[naivebayes.clean(x), lab] += 1
-                        if lab >= 0 and len(x) <= 2 * WORD_CHARS and (w := stem(x)) and len(w) <= WORD_CHARS:
-                            words[w, lab] += 1
+                        texts[c, lab] += n
+                        if lab >= 0 and w:
+                            words[w, lab] += n
                 if t:
                     whole = t.rstrip()
-                    one = kinds.setdefault((shape(whole), target), [0, s, t, ending(whole) if target and letters(t) else None])
-                    one[0] += one[3] is not None and not _OPEN_END.search(whole)
-            rows = [(kind, a, lab, None, n, None, None, None) for kind, c in enumerate((texts, words)) for (a, lab), n in c.items()]
-            rows += [(2, a, -1, target, *x) for (a, target), x in kinds.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, fields, strict=True)], schema=fields)
+                    a = shape(whole)
+                    one = kinds.get((a, target))
+                    if one is None:
+                        one = kinds[a, target] = [0, s, t, (f"^{a}"[-END_ORDER:] if len(whole) < 64 else ending(whole)) if target and (letters(t[:8]) or letters(t)) else None]
+                    if one[3] is not None and not _OPEN_END.search(whole):
+                        one[0] += n
+            for kind, c in enumerate((texts, words)):
+                yield record({"kind": [kind] * len(c), "a": [a for a, _ in c], "lab": [lab for _, lab in c], "n": list(c.values())})
+            ns, ss, ts, tails = zip(*kinds.values(), strict=True) if kinds else ((), (), (), ())
+            yield record({"kind": [2] * len(kinds), "a": [a for a, _ in kinds], "lab": [-1] * len(kinds), "target": [x for _, x in kinds], "n": ns, "s": ss, "t": ts, "tail": tails})
+
+    def record(columns):
+        size = len(columns["kind"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in fields], schema=fields)
 
     rows = pairs.select("text", "label", "translation", "target").filter("text is not null and translation is not null")
     seen = checkpointed(rows.mapInArrow(parts, "kind int, a string, lab int, target string, n long, s string, t string, tail string"))
@@ -455,28 +549,50 @@ def refusals_on(kinds, rounds: int = 2) -> Refusals:
 
     from foliolake.session import checkpointed
 
-    sc, model = kinds.sparkSession.sparkContext, None
-    for _ in range(rounds):
-        now = model and sc.broadcast(model)
-
-        def count(batches, now=now):
-            for batch in batches:
-                yes: Counter[str] = Counter()
-                no: Counter[str] = Counter()
-                for s, t, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    c = naivebayes.clean(t)
-                    hit = now.value.score(s, t, c, (target,)) > REFUSAL_LEAST if now else first_refusal(s, t, target)
-                    # the empty word counts the translations
-                    (yes if hit else no).update(refusal_features(c) | {""})
-                keys = list({**yes, **no})
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([yes[k] for k in keys], pa.int64()), pa.array([no[k] for k in keys], pa.int64())], names=["f", "yes", "no"])
-
-        counts = checkpointed(kinds.select("s", "t", "target").mapInArrow(count, "f string, yes long, no long").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+    sc = kinds.sparkSession.sparkContext
+    rows, every, hits = kinds.select("s", "t", "target"), None, None
+
+    def emitted(names, *counters):
+        keys = list(counters[0])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counters)], names=names)
+
+    def first(batches):
+        for batch in batches:
+            both: Counter[str] = Counter()
+            yes: Counter[str] = Counter()
+            for s, t, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # the empty word counts the translations
+                f = refusal_features(naivebayes.clean(t))
+                f.add("")
+                both.update(f)
+                if first_refusal(s, t, target):
+                    yes.update(f)
+            yield emitted(["f", "n", "yes"], both, yes)
+
+    for turn in range(rounds):
+        if not turn:
+            every = checkpointed(rows.mapInArrow(first, "f string, n long, yes long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")))
+            counts = every
+        else:
+            # the features of all stay counted; anew only those of the refusals
+            now = sc.broadcast(model)
+
+            def again(batches, now=now):
+                for batch in batches:
+                    yes: Counter[str] = Counter()
+                    for s, t, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        c = naivebayes.clean(t)
+                        if now.value.score(s, t, c, (target,)) > REFUSAL_LEAST:
+                            yes.update(refusal_features(c) | {""})
+                    yield emitted(["f", "yes"], yes)
+
+            hits = rows.mapInArrow(again, "f string, yes long").groupBy("f").agg(F.sum("yes").alias("yes"))
+            counts = checkpointed(every.drop("yes").join(hits, "f", "left").select("f", "n", F.coalesce("yes", F.lit(0)).alias("yes")))
         total = counts.filter("f = ''").first()
-        if total is None or total["yes"] < 5 or total["yes"] > (total["yes"] + total["no"]) // 2:
+        if total is None or total["yes"] < 5 or total["yes"] > total["n"] // 2:
             return Refusals({})
-        n, rest = total["yes"], total["no"]
-        got = counts.filter((F.col("f") != "") & ((F.col("yes") >= 2) | (F.col("yes") == 0) & (F.col("no") * (n + 1.0) / (rest + 1.0) > 0.3))).collect()
+        n, rest = total["yes"], total["n"] - total["yes"]
+        got = counts.withColumn("no", F.col("n") - F.col("yes")).filter((F.col("f") != "") & ((F.col("yes") >= 2) | (F.col("yes") == 0) & (F.col("no") * (n + 1.0) / (rest + 1.0) > 0.3))).collect()
         model = refusal_model({r["f"]: r["yes"] for r in got if r["yes"]}, {r["f"]: r["no"] for r in got if r["no"]}, n, rest)
     return model
 
@@ -493,10 +609,10 @@ def broken_pairs(pairs, model):
     schema = pa.schema([("rec_kind", pa.string()), ("rec_id", pa.int64()), ("defect", pa.string()), ("stem", pa.string()), ("target", pa.string())])
 
     def run(batches):
-        m = model.value
+        m, kept_pairs = model.value, {}
         for batch in batches:
             kinds, ids, texts, translations, targets = (c.to_pylist() for c in batch.columns)
-            found = m.defects(texts, translations, targets)
+            found = m.decided(zip(texts, translations, targets, strict=True), kept_pairs)
             # a row that needs no look-up gets a key of its own, so that these are no hot group
             rows = [(k, i, d, s or f"\0{n}", t) for n, (k, i, (d, s), t) in enumerate(zip(kinds, ids, found, targets, strict=True)) if d]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in enumerate(schema)], schema=schema)
@@ -504,10 +620,13 @@ def broken_pairs(pairs, model):
     some = pairs.filter("translation is not null and trim(text) rlike '\\\\S'").select("rec_kind", "rec_id", "text", "translation", "target")
     found = some.mapInArrow(run, "rec_kind string, rec_id long, defect string, stem string, target string")
     code = r"[A-Z]{1,2}[-/]?\d+|\d+([.,]\d+)*"
-    word = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, code, " "), r"[^\p{L}\p{M}\p{N}]+", " ")))
+    bare = lambda c: F.when(F.col(c).rlike(r"\d"), F.regexp_replace(c, code, " ")).otherwise(F.col(c))
+    word = lambda c: F.lower(F.trim(F.regexp_replace(bare(c), r"[^\p{L}\p{M}\p{N}]+", " ")))
+    # as one element of an array, so that each word is made once and not again for every condition on it
+    short = F.filter(F.array(word("text")), lambda x: (x != "") & (F.length(x) <= COPY_WORD))
+    same = lambda x: F.when(F.col("text") == F.col("translation"), True).otherwise(x == word("translation"))
     kept = (
-        some.select("rec_kind", "rec_id", word("text").alias("stem"), "target", (word("text") == word("translation")).alias("same"))
-        .filter(f"stem <> '' and length(stem) <= {COPY_WORD}")
+        some.select("rec_kind", "rec_id", "target", F.inline(F.transform(short, lambda x: F.struct(x.alias("stem"), same(x).alias("same")))))
         .distinct()
         .groupBy("stem", "target")
         .agg(F.avg(F.col("same").cast("int")).alias("share"), F.count("*").alias("n"))
