@@ -102,7 +102,9 @@ class NaiveBayes:
             for g in places[1:]:
                 per += self.columns.take(g, axis=0)
             starts = len(GAP) + np.cumsum([0, *(len(t) + len(GAP) for t in part[:-1])])
-            sums = np.add.reduceat(per, starts, axis=0, dtype=np.float64)
+            # the n-grams of the gaps, of how a text ends, stay out: of a short one they would be half the evidence
+            ends = starts + [len(t) for t in part]
+            sums = np.add.reduceat(per, np.stack([starts, ends], axis=1).ravel(), axis=0, dtype=np.float64)[::2]
             if len(set(owner[lo:hi])) == hi - lo:
                 out[list(owner[lo:hi])] += sums
             else:
